@@ -126,8 +126,7 @@ def normalize(df: DataFrame) -> DataFrame:
         .withColumn("audio_tracks", audio_tracks(F.col("streams")))
         .withColumn("subtitle_tracks", subtitle_tracks(F.col("streams")))
         .withColumn("duration_seconds", F.coalesce(fmt["duration"].try_cast("double"), F.lit(0.0)))
-        .withColumn("size", F.when(to_int(fmt["size"]) != 0, to_int(fmt["size"]))
-                    .otherwise(F.col("stat_size")))
+        .withColumn("size", F.coalesce(to_int(fmt["size"]), F.col("stat_size")))
         .withColumn("bit_depth", bit_depth(F.col("video.pix_fmt"))))
     v = F.col("video")
     return staged.select(
