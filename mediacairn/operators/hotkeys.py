@@ -73,9 +73,9 @@ def latest_per_key(df: DataFrame, keys, version) -> DataFrame:
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    head = [c for c in version] + [c for c in rest if c not in version]
-    return (df.groupBy(*keys).agg(F.max(F.struct(*head)).alias("__v"))
-            .select(*[k for k in keys], *[F.col("__v")[c].alias(c) for c in rest])
+    newest = F.max_by(F.struct(*rest), F.struct(*version))
+    return (df.groupBy(*keys).agg(newest.alias("__v"))
+            .select(*keys, *[F.col("__v")[c].alias(c) for c in rest])
             .select(*df.columns))
 
 

@@ -34,7 +34,7 @@ def probe_delta(listing: DataFrame, probes: DataFrame, force=False) -> DataFrame
     return listing.join(probes.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
 
 
-def probe_upsert(probes: DataFrame, fresh: DataFrame, version=("last_probed_at",)) -> DataFrame:
+def probe_upsert(probes: DataFrame, fresh: DataFrame, version=("last_probed_at", "mtime", "size")) -> DataFrame:
     """Latest row per path."""
     return latest_per_key(probes.unionByName(fresh), ["path"], list(version))
 
@@ -46,7 +46,7 @@ def skip_rows(small: DataFrame, seen_at) -> DataFrame:
 
 
 def skip_upsert(skipped: DataFrame, fresh: DataFrame) -> DataFrame:
-    return latest_per_key(skipped.unionByName(fresh), ["path"], ["last_seen_at"])
+    return latest_per_key(skipped.unionByName(fresh), ["path"], ["last_seen_at", "mtime", "size"])
 
 
 def evict(table: DataFrame, paths: DataFrame) -> DataFrame:

@@ -60,9 +60,11 @@ def plan_gate(probes: DataFrame, listing: DataFrame, decisions: DataFrame,
         rows = rows.withColumn("__todo", F.when(~F.col("__tagged") & F.col("__l").isNotNull(),
                                                 F.col("stem")))
         rows = naming.rewrite_name(rows, "__todo", "__new", "av1")
-        rows = rows.withColumn("__want", F.concat(
+        # a row with no output name keeps its own path as key: it matches nothing
+        # (see the condition) and keyless rows do not pile up in one task
+        rows = rows.withColumn("__want", F.coalesce(F.concat(
             F.when(F.col("dir") == "/", "").otherwise(F.col("dir")), F.lit("/"),
-            F.col("__new"), F.lit("." + fixed.REENCODE_TOKEN + ".mkv")))
+            F.col("__new"), F.lit("." + fixed.REENCODE_TOKEN + ".mkv")), F.col("path")))
         have = listing.select(F.col("path").alias("__out")).distinct()
         rows = rows.join(have, (F.col("__want") == F.col("__out"))
                          & (F.col("__out") != F.col("path")), "left").drop("__todo", "__new", "__want")
