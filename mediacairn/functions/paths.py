@@ -51,6 +51,11 @@ def relative_dir(path: Column, root: str) -> Column:
     return F.regexp_extract(below, r"(?s)^(.*)/[^/]*$", 1)
 
 
+def dirs_of(path: Column, root: str | None) -> Column:
+    """Directories that count for dir filters: below the root, or all without one."""
+    return parent_dir(path) if root is None else relative_dir(path, root)
+
+
 def any_dir_in(rel_dir: Column, names) -> Column:
     return F.arrays_overlap(F.split(rel_dir, "/"), F.array(*[F.lit(n) for n in names]))
 

@@ -6,11 +6,11 @@ from ..functions import fixed, paths as p, probe as pr, rules as r
 from .planning import plan_gate
 
 
-def _audit_rows(listing: DataFrame) -> DataFrame:
+def _audit_rows(listing: DataFrame, root=None) -> DataFrame:
     """Video files with their role (output, original) and release stem."""
     rows = p.with_path_parts(listing.select("path", "size"))
     rows = rows.filter(F.lower("suffix").isin(fixed.AUDIT_EXTENSIONS)
-                       & ~p.any_dir_in(F.col("dir"), fixed.SYSTEM_DIRS))
+                       & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
     upper_stem, upper_name = F.upper("stem"), F.upper("name")
     output = upper_stem.contains(fixed.AUDIT_OUTPUT_MARK)
     original = F.lit(False)
@@ -25,37 +25,37 @@ def _audit_rows(listing: DataFrame) -> DataFrame:
             .select("path", "size", "dir", "release_stem", "role"))
 
 
-def orphan_groups(listing: DataFrame) -> DataFrame:
+def orphan_groups(listing: DataFrame, root=None) -> DataFrame:
     """(dir, release_stem) that hold both outputs and originals, with totals."""
     out, orig = F.col("role") == "output", F.col("role") == "original"
-    return (_audit_rows(listing).groupBy("dir", "release_stem").agg(
+    return (_audit_rows(listing, root).groupBy("dir", "release_stem").agg(
         F.count_if(out).alias("n_outputs"), F.count_if(orig).alias("n_originals"),
         F.coalesce(F.sum(F.when(orig, F.col("size"))), F.lit(0)).alias("originals_bytes"))
         .filter("n_outputs > 0 AND n_originals > 0"))
 
 
-def orphan_pairs(listing: DataFrame) -> DataFrame:
+def orphan_pairs(listing: DataFrame, root=None) -> DataFrame:
     """One row per output that has originals beside it, with their number and size.
 
     The originals themselves are in `orphan_originals`, under the same
     (dir, release_stem): together they state every pair without writing out
     the product of a large group.
     """
-    return _audit_rows(listing).filter("role = 'output'").join(
-        orphan_groups(listing), ["dir", "release_stem"]).select(
+    return _audit_rows(listing, root).filter("role = 'output'").join(
+        orphan_groups(listing, root), ["dir", "release_stem"]).select(
         "path", "dir", "release_stem", "n_originals", "originals_bytes")
 
 
-def orphan_originals(listing: DataFrame) -> DataFrame:
+def orphan_originals(listing: DataFrame, root=None) -> DataFrame:
     """One row per original that has an output beside it."""
-    return _audit_rows(listing).filter("role = 'original'").join(
-        orphan_groups(listing), ["dir", "release_stem"]).select(
+    return _audit_rows(listing, root).filter("role = 'original'").join(
+        orphan_groups(listing, root), ["dir", "release_stem"]).select(
         "path", "size", "dir", "release_stem", "n_outputs")
 
 
-def orphan_totals(listing: DataFrame) -> DataFrame:
+def orphan_totals(listing: DataFrame, root=None) -> DataFrame:
     """pair_* repeat an original once per output beside it; distinct_* do not."""
-    return orphan_groups(listing).agg(
+    return orphan_groups(listing, root).agg(
         F.coalesce(F.sum("n_outputs"), F.lit(0)).alias("pairs"),
         F.coalesce(F.sum(F.col("n_outputs") * F.col("n_originals")), F.lit(0)).alias("pair_originals"),
         F.coalesce(F.sum(F.col("n_outputs") * F.col("originals_bytes")), F.lit(0)).alias("pair_bytes"),

@@ -40,35 +40,35 @@ def output_path(probes: DataFrame, target="av1+mkv", mode="keep", rewrite=True,
             .drop("__path", "__stem", "dir", "name", "suffix", "stem"))
 
 
-def _tagged(listing: DataFrame) -> DataFrame:
+def _tagged(listing: DataFrame, root=None) -> DataFrame:
     rows = p.with_path_parts(listing.select("path"))
     rows = rows.filter(
         F.lower("suffix").isin(fixed.VIDEO_EXTENSIONS) & p.has_reencode_marker(F.col("stem"))
-        & ~p.any_dir_in(F.col("dir"), fixed.SYSTEM_DIRS))
+        & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
     rows = naming.rewrite_name(rows, "stem", "new_stem", "av1")
     return (rows.filter(F.col("new_stem") != F.col("stem"))
             .withColumn("new_path", _join_path(F.col("dir"), F.concat("new_stem", "suffix"))))
 
 
-def rename_plan(listing: DataFrame) -> DataFrame:
+def rename_plan(listing: DataFrame, root=None) -> DataFrame:
     """Tagged videos whose clean name differs and is free."""
     have = listing.select(F.col("path").alias("new_path")).distinct()
-    return _tagged(listing).join(have, "new_path", "left_anti").select(
+    return _tagged(listing, root).join(have, "new_path", "left_anti").select(
         "path", "new_path", "dir", "stem", "new_stem")
 
 
-def rename_collisions(listing: DataFrame) -> DataFrame:
+def rename_collisions(listing: DataFrame, root=None) -> DataFrame:
     have = listing.select(F.col("path").alias("new_path")).distinct()
-    return _tagged(listing).join(have, "new_path", "left_semi").select("path", "new_path")
+    return _tagged(listing, root).join(have, "new_path", "left_semi").select("path", "new_path")
 
 
-def rename_sidecars(listing: DataFrame) -> DataFrame:
+def rename_sidecars(listing: DataFrame, root=None) -> DataFrame:
     """Every file that moves with a planned video: same directory, same stem.
 
     One row per moving file, not per (video, file) pair. `blocked` marks files
     whose new name is taken.
     """
-    groups = rename_plan(listing).select("dir", "stem", "new_stem").distinct()
+    groups = rename_plan(listing, root).select("dir", "stem", "new_stem").distinct()
     files = p.with_path_parts(listing.select("path"))
     moves = files.join(groups, ["dir", "stem"]).withColumn(
         "new_path", _join_path(F.col("dir"), F.concat("new_stem", "suffix")))
@@ -77,9 +77,9 @@ def rename_sidecars(listing: DataFrame) -> DataFrame:
             .select("path", "new_path", F.col("__have").isNotNull().alias("blocked")))
 
 
-def rename_conflicts(listing: DataFrame) -> DataFrame:
+def rename_conflicts(listing: DataFrame, root=None) -> DataFrame:
     """Planned moves that claim the same new name as another one."""
-    moves = rename_sidecars(listing).select("path", "new_path")
+    moves = rename_sidecars(listing, root).select("path", "new_path")
     claims = (moves.groupBy(F.col("new_path").alias("__n")).agg(F.count(F.lit(1)).alias("n_claims"))
               .filter("n_claims > 1"))
     return (moves.join(claims, F.col("new_path") == F.col("__n"))
