@@ -1,8 +1,4 @@
-"""Name rewriting as staged columns.
-
-Each stage is its own column: nesting them in one expression makes generated
-code too large to compile. Rewrite only rows that need it.
-"""
+"""Name rewriting columns. The regex work is the cost: rewrite only rows that need it."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -52,7 +48,8 @@ def substitute_hdr_tokens(stem: Column, codec: str) -> Column:
     named = stem.rlike("(?iu)" + _NOT_WORD_BEFORE + r"HDR(?:10|2000)?(?![A-Za-z0-9+])")
     first = F.regexp_replace(
         stem, "(?ius)^(.*?)" + _token_regex(tokens, flags=""), "$1HDR10")
-    return F.regexp_replace(F.when(named, stem).otherwise(first), any_lost, "")
+    rest = F.regexp_replace(F.when(named, stem).otherwise(first), any_lost, "")
+    return F.when(stem.rlike(any_lost), rest).otherwise(stem)
 
 
 def cleanup_separators(stem: Column) -> Column:
@@ -67,30 +64,46 @@ def cleanup_separators(stem: Column) -> Column:
         (_NOT_WORD_BEFORE + r"\+" + _NOT_WORD_AFTER, ""),
         (r"\.{2,}", "."),
     ]
-    for pattern, repl in steps:
-        stem = F.regexp_replace(stem, "(?U)" + pattern, repl)
-    return F.btrim(stem, F.lit(" .-_+"))
+    def clean(s):
+        out = s
+        for pattern, repl in steps:
+            out = F.regexp_replace(out, "(?U)" + pattern, repl)
+        # most stems hold nothing that any step looks for: one test settles those
+        needed = s.rlike(r"(?U)\.\.|\.-|-\.|[\[(+]|" + _WS + r"[\s\x1c-\x1f.-]|[.-]" + _WS)
+        return F.btrim(F.when(needed, out).otherwise(s), F.lit(" .-_+"))
+    return _let(stem, clean)
 
 
 def has_codec_token(stem: Column, canonical: str) -> Column:
     return stem.rlike(_token_regex([canonical.replace(".", r"\.")]))
 
 
-def rewrite_name(df: DataFrame, stem: str, out: str, codec: str = "av1",
-                 dotted: bool = True) -> DataFrame:
-    """Add column `out` with the rewritten stem; an unknown codec changes nothing."""
+def rewrite_stem(stem: Column, codec: str = "av1", dotted: bool = True) -> Column:
+    """The whole rewrite of one stem; an unknown codec changes nothing."""
     canonical = fixed.CANONICAL_TOKEN.get(codec)
     if canonical is None:
-        return df.withColumn(out, F.col(stem))
-    t = "__rw_" + out
-    df = df.withColumn(t, strip_foreign_tokens(F.col(stem), codec))
-    df = df.withColumn(t, substitute_hdr_tokens(F.col(t), codec))
-    df = df.withColumn(t, cleanup_separators(F.col(t)))
-    c = F.col(t)
-    sep = F.lit(".") if dotted else F.when(looks_dotted(c), ".").otherwise(" ")
-    df = df.withColumn(t, F.when(has_codec_token(c, canonical), c)
-                       .when(c == "", canonical)
-                       .otherwise(F.concat(c, sep, F.lit(canonical))))
-    if dotted:
-        df = df.withColumn(t, to_dotted(F.col(t)))
-    return df.withColumn(out, cleanup_separators(F.col(t))).drop(t)
+        return stem
+
+    def finish(c):
+        sep = F.lit(".") if dotted else F.when(looks_dotted(c), ".").otherwise(" ")
+        named = (F.when(has_codec_token(c, canonical), c).when(c == "", canonical)
+                 .otherwise(F.concat(c, sep, F.lit(canonical))))
+        return cleanup_separators(to_dotted(named) if dotted else named)
+
+    return _let(strip_foreign_tokens(stem, codec), lambda bare: _let(
+        cleanup_separators(substitute_hdr_tokens(bare, codec)), finish))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once.
+
+    The lambda also keeps the two dozen replacements out of whole-stage code,
+    which they would push over the size a method may have.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rewrite_name(df: DataFrame, stem: str, out: str, codec: str = "av1",
+                 dotted: bool = True) -> DataFrame:
+    """Add column `out` with the rewritten stem."""
+    return df.withColumn(out, rewrite_stem(F.col(stem), codec, dotted))

@@ -27,13 +27,21 @@ def last_two_parts(path: Column) -> Column:
     return F.when(F.instr(clean, "/") > 0, F.substring_index(clean, "/", -2)).otherwise(path)
 
 
-def with_path_parts(df, path="path"):
-    """Add dir, name, stem and suffix. Split once, used by every name job."""
-    return (df.withColumn("dir", parent_dir(F.col(path)))
-            .withColumn("name", file_name(F.col(path)))
-            .withColumn("suffix", suffix(F.col("name")))
-            .withColumn("stem", F.substring(
-                F.col("name"), F.lit(1), F.length("name") - F.length("suffix"))))
+def with_path_parts(df, path="path", prefix=""):
+    """Add dir, name, stem and suffix (with a prefix). Split once per row."""
+    n, x = prefix + "name", prefix + "suffix"
+    return (df.withColumn(prefix + "dir", parent_dir(F.col(path)))
+            .withColumn(n, file_name(F.col(path)))
+            .withColumn(x, suffix(F.col(n)))
+            .withColumn(prefix + "stem", F.substring(
+                F.col(n), F.lit(1), F.length(n) - F.length(x))))
+
+
+PARTS = ["dir", "name", "suffix", "stem"]
+
+
+def join_path(directory: Column, name: Column) -> Column:
+    return F.concat(F.when(directory == "/", "").otherwise(directory), F.lit("/"), name)
 
 
 def under_root(path: Column, root: str) -> Column:

@@ -18,18 +18,24 @@ def stall_strikes(decisions: DataFrame) -> DataFrame:
             .groupBy("path").agg(F.count(F.lit(1)).alias("strikes")))
 
 
+def _output_beside(rows: DataFrame, out: str, wanted) -> DataFrame:
+    """Add `out`: where a finished encode would be, null where `wanted` is false.
+
+    Needs __dir and __stem. Only wanted stems are rewritten.
+    """
+    stem = naming.rewrite_stem(F.when(wanted, F.col("__stem")))
+    return rows.withColumn(out, p.join_path(
+        F.col("__dir"), F.concat(stem, F.lit(f".{fixed.REENCODE_TOKEN}.mkv"))))
+
+
 def expected_output(df: DataFrame) -> DataFrame:
     """Add `expected_path`, the name a finished encode would have beside the source.
 
-    Null where the source is itself an output. Only the other rows are rewritten.
+    Null where the source is itself an output.
     """
-    df = p.with_path_parts(df.withColumn("__path", F.col("path")), "__path")
-    df = df.withColumn("__todo", F.when(~p.has_reencode_word(F.col("stem")), F.col("stem")))
-    df = naming.rewrite_name(df, "__todo", "__new", "av1")
-    return (df.withColumn("expected_path", F.concat(
-                F.when(F.col("dir") == "/", "").otherwise(F.col("dir")), F.lit("/"),
-                F.col("__new"), F.lit("." + fixed.REENCODE_TOKEN + ".mkv")))
-            .drop("__path", "__todo", "__new", "dir", "name", "suffix", "stem"))
+    rows = p.with_path_parts(df, prefix="__")
+    rows = _output_beside(rows, "expected_path", ~p.has_reencode_word(F.col("__stem")))
+    return rows.drop(*["__" + c for c in p.PARTS])
 
 
 def existing_output(probes: DataFrame, listing: DataFrame) -> DataFrame:
@@ -51,23 +57,16 @@ def plan_gate(probes: DataFrame, listing: DataFrame, decisions: DataFrame,
     strikes = stall_strikes(decisions).select(F.col("path").alias("__sp"), "strikes")
     rows = (probes.join(listed, F.col("path") == F.col("__l"), "left")
             .join(strikes, F.col("path") == F.col("__sp"), "left"))
-    rows = p.with_path_parts(rows.withColumn("__path", F.col("path")), "__path")
-    parts = ["dir", "name", "suffix", "stem"]
-    rows = rows.withColumn("__tagged", p.has_reencode_word(F.col("stem")))
-    if allow_reencoded:
-        rows = rows.withColumn("__out", F.lit(None).cast("string"))
-    else:
-        rows = rows.withColumn("__todo", F.when(~F.col("__tagged") & F.col("__l").isNotNull(),
-                                                F.col("stem")))
-        rows = naming.rewrite_name(rows, "__todo", "__new", "av1")
+    rows = p.with_path_parts(rows, prefix="__").withColumn(
+        "__tagged", p.has_reencode_word(F.col("__stem")))
+    if not allow_reencoded:
+        rows = _output_beside(rows, "__want", ~F.col("__tagged") & F.col("__l").isNotNull())
         # a row with no output name keeps its own path as key: it matches nothing
         # (see the condition) and keyless rows do not pile up in one task
-        rows = rows.withColumn("__want", F.coalesce(F.concat(
-            F.when(F.col("dir") == "/", "").otherwise(F.col("dir")), F.lit("/"),
-            F.col("__new"), F.lit("." + fixed.REENCODE_TOKEN + ".mkv")), F.col("path")))
+        rows = rows.withColumn("__want", F.coalesce("__want", "path"))
         have = listing.select(F.col("path").alias("__out")).distinct()
         rows = rows.join(have, (F.col("__want") == F.col("__out"))
-                         & (F.col("__out") != F.col("path")), "left").drop("__todo", "__new", "__want")
+                         & (F.col("__out") != F.col("path")), "left")
     codec = r.codec()
     skip = [s.strip().lower() for s in skip_codecs if s.strip()]
     chain = (F.when(F.col("__l").isNull(), "missing")
@@ -84,10 +83,8 @@ def plan_gate(probes: DataFrame, listing: DataFrame, decisions: DataFrame,
         chain = chain.when(g.below_target_bitrate(F.col("video_bitrate"), F.col("height")),
                            "low_bitrate")
     if not allow_extras:
-        chain = chain.when(p.has_extras_suffix(F.col("stem")), "extras")
-    return (rows.withColumn("gate", chain.otherwise("ok"))
-            .drop("__l", "__sp", "strikes", "__path", "__tagged", "__out", *parts)
-            .select(*probes.columns, "gate"))
+        chain = chain.when(p.has_extras_suffix(F.col("__stem")), "extras")
+    return rows.select(*probes.columns, chain.otherwise("ok").alias("gate"))
 
 
 def plan_skip_counts(probes, listing, decisions, scope=None, **flags) -> DataFrame:

@@ -6,10 +6,6 @@ from ..functions import fixed, naming, paths as p
 from .hotkeys import running
 
 
-def _join_path(directory, name):
-    return F.concat(F.when(directory == "/", "").otherwise(directory), F.lit("/"), name)
-
-
 def output_path(probes: DataFrame, target="av1+mkv", mode="keep", rewrite=True, tag=True,
                 tag_token=fixed.REENCODE_TOKEN, name_suffix="", dotted=True,
                 source_root=None, output_root=None) -> DataFrame:
@@ -19,25 +15,23 @@ def output_path(probes: DataFrame, target="av1+mkv", mode="keep", rewrite=True,
     if mode == "side" and not output_root:
         raise ValueError("side mode needs output_root")
     codec, ext = fixed.TARGETS[target]
-    rows = p.with_path_parts(probes.withColumn("__path", F.col("path")), "__path")
+    rows = p.with_path_parts(probes, prefix="__")
     if rewrite:
-        rows = naming.rewrite_name(rows, "stem", "__stem", codec, dotted)
-    else:
-        rows = rows.withColumn("__stem", F.col("stem"))
+        rows = rows.withColumn("__stem", naming.rewrite_stem(F.col("__stem"), codec, dotted))
     if tag:
         rows = rows.withColumn("__stem", naming.append_token(
             F.col("__stem"), tag_token or fixed.REENCODE_TOKEN, True if rewrite and dotted else None))
     name = F.concat("__stem", F.lit(f"{name_suffix}.{ext}"))
-    place = F.col("dir")
+    place = F.col("__dir")
     if mode == "side":
         base = output_root.rstrip("/")
-        below = F.regexp_replace(F.col("dir"), "^/+", "")
+        below = F.regexp_replace(F.col("__dir"), "^/+", "")
         if source_root is not None:
             rel = p.relative_dir(F.col("path"), source_root)
             below = F.when(p.under_root(F.col("path"), source_root), rel).otherwise(below)
         place = F.when(below == "", base).otherwise(F.concat(F.lit(base + "/"), below))
-    return (rows.withColumn("output_path", _join_path(place, name))
-            .drop("__path", "__stem", "dir", "name", "suffix", "stem"))
+    return (rows.withColumn("output_path", p.join_path(place, name))
+            .drop(*["__" + c for c in p.PARTS]))
 
 
 def _tagged(listing: DataFrame, root=None) -> DataFrame:
@@ -45,9 +39,9 @@ def _tagged(listing: DataFrame, root=None) -> DataFrame:
     rows = rows.filter(
         F.lower("suffix").isin(fixed.VIDEO_EXTENSIONS) & p.has_reencode_marker(F.col("stem"))
         & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
-    rows = naming.rewrite_name(rows, "stem", "new_stem", "av1")
+    rows = rows.withColumn("new_stem", naming.rewrite_stem(F.col("stem")))
     return (rows.filter(F.col("new_stem") != F.col("stem"))
-            .withColumn("new_path", _join_path(F.col("dir"), F.concat("new_stem", "suffix"))))
+            .withColumn("new_path", p.join_path(F.col("dir"), F.concat("new_stem", "suffix"))))
 
 
 def rename_plan(listing: DataFrame, root=None) -> DataFrame:
@@ -71,7 +65,7 @@ def rename_sidecars(listing: DataFrame, root=None) -> DataFrame:
     groups = rename_plan(listing, root).select("dir", "stem", "new_stem").distinct()
     files = p.with_path_parts(listing.select("path"))
     moves = files.join(groups, ["dir", "stem"]).withColumn(
-        "new_path", _join_path(F.col("dir"), F.concat("new_stem", "suffix")))
+        "new_path", p.join_path(F.col("dir"), F.concat("new_stem", "suffix")))
     have = listing.select(F.col("path").alias("__have")).distinct()
     return (moves.join(have, F.col("new_path") == F.col("__have"), "left")
             .select("path", "new_path", F.col("__have").isNotNull().alias("blocked")))
@@ -116,7 +110,7 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
     root = F.regexp_replace("stem", r"(?s)_recycled[1-9]\d{0,17}$", "")
     taken = held.select(F.col("path").alias("__name"), F.lit(0).cast("long").alias("__slot")).unionByName(
         held.filter(number != "").select(
-            _join_path(F.col("dir"), F.concat(root, F.col("suffix"))).alias("__name"),
+            p.join_path(F.col("dir"), F.concat(root, F.col("suffix"))).alias("__name"),
             number.cast("long").alias("__slot")))
     wanted = rows.select(F.col("__want").alias("__name")).distinct()
     taken = taken.join(wanted, "__name", "left_semi").distinct().withColumn(

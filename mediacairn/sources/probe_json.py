@@ -15,15 +15,18 @@ def read_probe_files(spark: SparkSession, where: str) -> DataFrame:
 
 def parse_probe_text(df: DataFrame, doc="doc") -> DataFrame:
     """Replace the JSON text column by format, streams and corrupt (text when bad)."""
-    shape = "struct<" + ", ".join([_colon(schemas.PROBE_DOC), "corrupt:string"]) + ">"
-    parsed = F.from_json(F.col(doc), shape.removeprefix("struct<").removesuffix(">"), {
+    parsed = F.from_json(F.col(doc), schemas.PROBE_DOC + ", corrupt string", {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    return (df.withColumn("__d", parsed)
-            .select(*[c for c in df.columns if c != doc], "__d.format", "__d.streams", "__d.corrupt"))
+    return df.select(*[c for c in df.columns if c != doc], _parse_once(parsed))
 
 
-def _colon(ddl):
-    return ddl.replace("format struct", "format:struct").replace("streams array", "streams:array")
+def _parse_once(parsed):
+    """The fields of a parsed text as columns, parsed once per row.
+
+    As a plain projection the optimizer would copy the parse into every field
+    and filter that uses it; a generator keeps it in one place.
+    """
+    return F.inline(F.array(parsed))
 
 
 def _bad_number(text, kind):
@@ -53,7 +56,7 @@ def probes_to_json(probes: DataFrame) -> DataFrame:
 
 def probes_from_json(texts: DataFrame) -> DataFrame:
     """Inverse. Fields absent from older text come back null, lists empty."""
-    rows = texts.select(F.from_json("probe_json", schemas.PROBE).alias("p")).select("p.*")
+    rows = texts.select(_parse_once(F.from_json("probe_json", schemas.PROBE)))
     for c in ("audio_tracks", "subtitle_tracks"):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
     return rows
