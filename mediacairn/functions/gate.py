@@ -3,12 +3,11 @@
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .probe import resolution_class
 from .rules import codec, target_mbps
 
 
 def below_target_bitrate(bps: Column, height: Column) -> Column:
-    return F.coalesce((bps > 0) & (bps / 1e6 < target_mbps(resolution_class(height))), F.lit(False))
+    return F.coalesce((bps > 0) & (bps / 1e6 < target_mbps(height)), F.lit(False))
 
 
 def dv_strategy(profile: Column, allow_p7_convert=False, tools_present=False) -> Column:

@@ -101,10 +101,16 @@ def video_bitrate(stream_bps: Column, format_bps: Column, size: Column,
             .otherwise(F.lit(0).cast("long")))
 
 
+# bucket -> largest height in it
+BUCKET_TOPS = [("480p", 480), ("720p", 720), ("1080p", 1080), ("1440p", 1440), ("2160p", None)]
+
+
 def resolution_class(height: Column) -> Column:
     h = F.coalesce(height, F.lit(0))
-    return (F.when(h <= 0, "unknown").when(h <= 480, "480p").when(h <= 720, "720p")
-            .when(h <= 1080, "1080p").when(h <= 1440, "1440p").otherwise("2160p"))
+    chain = F.when(h <= 0, "unknown")
+    for bucket, top in BUCKET_TOPS:
+        chain = chain.when(h <= top, bucket) if top else chain.otherwise(bucket)
+    return chain
 
 
 def tier_of_height(height: Column) -> Column:

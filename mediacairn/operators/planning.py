@@ -100,9 +100,8 @@ def plan_skip_counts(probes, listing, decisions, scope=None, **flags) -> DataFra
 
 def candidates(probes: DataFrame, enabled=None, target="av1+mkv") -> DataFrame:
     """Files with at least one firm verdict, with savings and the remux flag."""
-    rows = r.evaluate_rules(probes, enabled)
-    rows = rows.withColumn("rules_fired", r.firm_names(F.col("fired")))
-    return (rows.filter(F.size("rules_fired") > 0)
+    rows = r.evaluate_rules(probes.filter(r.any_firm(enabled)), enabled)
+    return (rows.withColumn("rules_fired", r.firm_names(F.col("fired")))
             .withColumn("target", F.lit(target))
             .withColumn("remux_only", r.remux_only(F.col("rules_fired"), F.col("video_codec")))
             .withColumn("projected_savings_mb", r.projected_savings(F.col("fired"))))
@@ -159,10 +158,8 @@ def apply_queue(decisions, probes, min_height=None, max_height=None, limit=None)
 def plan_summary(probes, listing, decisions, scope=None, enabled=None, **flags) -> DataFrame:
     """One row per outcome: every gate, candidates, files with no rule, cleared pending."""
     scoped = plan_gate(path_scope(probes, scope), listing, decisions, **flags)
-    scoped = r.evaluate_rules(scoped, enabled)
-    admitted = F.col("gate") == "ok"
-    fires = F.size(r.firm_names(F.col("fired"))) > 0
-    outcome = (F.when(~admitted, F.col("gate")).when(fires, "candidate").otherwise("no_rule"))
+    outcome = (F.when(F.col("gate") != "ok", F.col("gate"))
+               .when(r.any_firm(enabled), "candidate").otherwise("no_rule"))
     counts = scoped.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     cleared = decisions.filter("status = 'pending'").groupBy(
         F.lit("cleared_pending").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
