@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
+from .let import let
 
 _NOT_WORD_BEFORE = "(?<![A-Za-z0-9])"
 _NOT_WORD_AFTER = "(?![A-Za-z0-9])"
@@ -71,7 +72,7 @@ def cleanup_separators(stem: Column) -> Column:
         # most stems hold nothing that any step looks for: one test settles those
         needed = s.rlike(r"(?U)\.\.|\.-|-\.|[\[(+]|" + _WS + r"[\s\x1c-\x1f.-]|[.-]" + _WS)
         return F.btrim(F.when(needed, out).otherwise(s), F.lit(" .-_+"))
-    return _let(stem, clean)
+    return let(stem, clean)
 
 
 def has_codec_token(stem: Column, canonical: str) -> Column:
@@ -90,19 +91,10 @@ def rewrite_stem(stem: Column, codec: str = "av1", dotted: bool = True) -> Colum
                  .otherwise(F.concat(c, sep, F.lit(canonical))))
         return cleanup_separators(to_dotted(named) if dotted else named)
 
-    return _let(strip_foreign_tokens(stem, codec), lambda bare: _let(
+    return let(strip_foreign_tokens(stem, codec), lambda bare: let(
         cleanup_separators(substitute_hdr_tokens(bare, codec)), finish))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once.
-
-    The lambda also keeps the two dozen replacements out of whole-stage code,
-    which they would push over the size a method may have.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def rewrite_name(df: DataFrame, stem: str, out: str, codec: str = "av1",
                  dotted: bool = True) -> DataFrame:
     """Add column `out` with the rewritten stem."""

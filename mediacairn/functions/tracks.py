@@ -1,8 +1,9 @@
 """Track choice inside nested arrays: no shuffle, one row per file."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .let import let
 from .rules import _lookup
 
 
@@ -49,19 +50,21 @@ def _with_pos(tracks: Column) -> Column:
         F.coalesce(t["default"], F.lit(False)).alias("default")))
 
 
-def with_eligible(df: DataFrame, langs, tracks="audio_tracks") -> DataFrame:
-    """Add `eligible`: array of candidate tracks, never empty when there is audio."""
+def eligible(tracks: Column, langs) -> Column:
+    """Array of candidate tracks, never empty when there is audio."""
     want = expand_languages(langs)
-    df = (df.withColumn("__pos", _with_pos(F.coalesce(F.col(tracks), F.array().cast(
-            df.schema[tracks].dataType))))
-          .withColumn("__any_default", F.exists("__pos", lambda t: t["default"]))
-          .withColumn("__plain", F.filter("__pos", lambda t: ~is_commentary(t["title"])))
-          .withColumn("__match", F.filter("__plain", lambda t: t["lang"].isin(want)
-                                          | (~F.col("__any_default") & (t["pos"] == 0)))))
-    return (df.withColumn("eligible", F.when(F.size("__match") > 0, F.col("__match"))
-                          .when(F.size("__plain") > 0, F.slice("__plain", 1, 1))
-                          .otherwise(F.slice("__pos", 1, 1)))
-            .drop("__pos", "__any_default", "__plain", "__match"))
+
+    def choose(pos):
+        any_default = F.exists(pos, lambda t: t["default"])
+        plain = F.filter(pos, lambda t: ~is_commentary(t["title"]))
+        return let(F.struct(any_default.alias("d"), plain.alias("plain"), pos.alias("all")), match)
+
+    def match(x):
+        hits = F.filter(x["plain"], lambda t: t["lang"].isin(want) | (~x["d"] & (t["pos"] == 0)))
+        return let(hits, lambda h: F.when(F.size(h) > 0, h)
+                   .when(F.size(x["plain"]) > 0, F.slice(x["plain"], 1, 1))
+                   .otherwise(F.slice(x["all"], 1, 1)))
+    return let(_with_pos(tracks), choose)
 
 
 def _best(tracks: Column) -> Column:
@@ -71,34 +74,31 @@ def _best(tracks: Column) -> Column:
     return F.array_max(keyed)["track"]
 
 
-def with_audio_ladder(df: DataFrame, langs, add_compat=True, tracks="audio_tracks") -> DataFrame:
-    """Add `ladder`: array of (slot, kind, track) in output order."""
-    df = with_eligible(df, langs, tracks).withColumn("__s0", _best(F.col("eligible")))
-    slot_type = ("array<struct<slot:int, kind:string, track:struct<pos:int, codec:string, "
-                 "lang:string, channels:int, title:string, default:boolean>>>")
-    none = F.array().cast(slot_type)
-
-    def slot(kind, track):
-        return F.array(F.struct(F.lit(0).alias("slot"), F.lit(kind).alias("kind"),
-                                track.alias("track"))).cast(slot_type)
-
-    s0 = F.col("__s0")
-    first = F.when(s0.isNotNull(), slot("copy", s0)).otherwise(none)
-    if add_compat:
-        for name, ch in (("__s1", 6), ("__s2", 2)):
-            df = df.withColumn(name, _best(F.filter(
-                "eligible", lambda t, ch=ch: (t["channels"] == ch)
-                & (t["pos"] != F.col("__s0.pos")))))
-        s1, s2 = F.col("__s1"), F.col("__s2")
-        second = (F.when(s0.isNull(), none).when(s1.isNotNull(), slot("copy", s1))
-                  .when(s0["channels"] >= 6, slot("opus51", s0)).otherwise(none))
-        third = (F.when(s0.isNull(), none).when(s2.isNotNull(), slot("copy", s2))
-                 .when((s0["channels"] > 2) | is_lossless(s0["codec"], s0["channels"]),
-                       slot("aac20", s0)).otherwise(none))
-        first = F.concat(first, second, third)
-    return (df.withColumn("ladder", F.transform(first, lambda e, i: F.struct(
-                i.cast("int").alias("slot"), e["kind"].alias("kind"), e["track"].alias("track"))))
-            .drop("__s0", "__s1", "__s2"))
+def _best_other(pool: Column, first: Column, channels: int) -> Column:
+    return _best(F.filter(pool, lambda t: (t["channels"] == channels) & (t["pos"] != first["pos"])))
+
+
+def _slot(kind: str, track: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), track.alias("track"))
+
+
+def audio_ladder(tracks: Column, langs, add_compat=True) -> Column:
+    """Array of (slot, kind, track) in output order; empty without audio."""
+    def fill(x):
+        s0, s1, s2 = x["s0"], x["s1"], x["s2"]
+        wide = F.when(s1.isNotNull(), _slot("copy", s1)).when(s0["channels"] >= 6, _slot("opus51", s0))
+        stereo = F.when(s2.isNotNull(), _slot("copy", s2)).when(
+            (s0["channels"] > 2) | is_lossless(s0["codec"], s0["channels"]), _slot("aac20", s0))
+        first = F.when(s0.isNotNull(), _slot("copy", s0))
+        picked = F.array(first, wide, stereo) if add_compat else F.array(first)
+        return F.transform(F.array_compact(picked), lambda e, i: F.struct(
+            i.cast("int").alias("slot"), e["kind"].alias("kind"), e["track"].alias("track")))
+
+    def others(y):
+        return let(F.struct(y["s0"].alias("s0"), _best_other(y["pool"], y["s0"], 6).alias("s1"),
+                            _best_other(y["pool"], y["s0"], 2).alias("s2")), fill)
+    return let(eligible(tracks, langs), lambda pool: let(
+        F.struct(pool.alias("pool"), _best(pool).alias("s0")), others))
 
 
 def setting(kind: Column, field: str, cast: str) -> Column:

@@ -77,13 +77,12 @@ def audio_ladder(tracks: DataFrame, langs, add_compat=True, key="k") -> DataFram
 
 def ladder_rows(probes: DataFrame, langs, add_compat=True, key="path") -> DataFrame:
     """Same rows from probes with nested tracks; no shuffle."""
-    rows = t.with_audio_ladder(probes, langs, add_compat)
-    return (rows.select(key, F.explode("ladder").alias("__e"))
-            .select(key, F.col("__e.slot").alias("slot"), F.col("__e.kind").alias("kind"),
-                    F.col("__e.track.pos").alias("src_pos"), F.col("__e.track.codec").alias("codec"),
-                    F.col("__e.track.lang").alias("lang"),
-                    F.col("__e.track.channels").alias("channels"),
-                    F.col("__e.track.title").alias("title")))
+    ladder = t.audio_ladder(F.col("audio_tracks"), langs, add_compat)
+    rows = probes.select(key, F.inline(ladder))
+    return rows.select(
+        key, "slot", "kind", F.col("track.pos").alias("src_pos"), F.col("track.codec").alias("codec"),
+        F.col("track.lang").alias("lang"), F.col("track.channels").alias("channels"),
+        F.col("track.title").alias("title"))
 
 
 def ladder_settings(ladder: DataFrame) -> DataFrame:
@@ -113,17 +112,15 @@ def subtitle_selection(probes: DataFrame, langs, box="mkv", keep_all=False, key=
 def stream_usage(probes: DataFrame, langs, box="mkv", add_compat=True, keep_audio=False,
                  keep_subs=False) -> DataFrame:
     """Add kept_audio, dropped_audio, kept_subs, dropped_subs (source positions)."""
-    rows = t.with_audio_ladder(probes, langs, add_compat)
-
     def positions(name):
         return F.transform(name, lambda x, i: i.cast("int"))
     audio = positions("audio_tracks") if keep_audio else F.array_sort(F.array_distinct(
-        F.transform("ladder", lambda e: e["track"]["pos"])))
-    rows = (rows.withColumn("kept_audio", audio)
-            .withColumn("kept_subs", t.kept_subtitles(F.col("subtitle_tracks"), langs, box, keep_subs)))
-    return (rows.withColumn("dropped_audio", F.array_except(positions("audio_tracks"), F.col("kept_audio")))
-            .withColumn("dropped_subs", F.array_except(positions("subtitle_tracks"), F.col("kept_subs")))
-            .drop("eligible", "ladder"))
+        F.transform(t.audio_ladder(F.col("audio_tracks"), langs, add_compat),
+                    lambda e: e["track"]["pos"])))
+    subs = t.kept_subtitles(F.col("subtitle_tracks"), langs, box, keep_subs)
+    return (probes.withColumn("kept_audio", audio).withColumn("kept_subs", subs)
+            .withColumn("dropped_audio", F.array_except(positions("audio_tracks"), F.col("kept_audio")))
+            .withColumn("dropped_subs", F.array_except(positions("subtitle_tracks"), F.col("kept_subs"))))
 
 
 def track_stats(tracks: DataFrame) -> DataFrame:
