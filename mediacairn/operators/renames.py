@@ -118,19 +118,21 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
     taken = running(taken, ["__name"], "__chunk", ["__slot"], row_number="__j")
     # free slots below a taken one; rank r lands at r + (taken with that many or fewer)
     gaps = taken.select("__name", (F.col("__slot") - F.col("__j") + 1).alias("__v"),
-                        F.lit(0).alias("__kind"), F.lit(1).alias("__one"), F.lit("").alias("path"))
+                        F.lit(0).alias("__kind"), F.lit(1).alias("__one"))
+    # the source row rides along, so nothing is joined back
     asks = rows.select(F.col("__want").alias("__name"), F.col("__r").alias("__v"),
-                       F.lit(1).alias("__kind"), F.lit(0).alias("__one"), "path")
-    both = gaps.unionByName(asks).withColumn("__chunk", F.floor(F.col("__v") / _SLOT_CHUNK))
-    both = running(both, ["__name"], "__chunk", ["__v", "__kind", "path"], sums={"__skip": "__one"})
-    slots = both.filter("__kind = 1").select(
-        F.col("path").alias("__p"), F.col("__name").alias("__n"),
+                       F.lit(1).alias("__kind"), F.lit(0).alias("__one"),
+                       F.struct(*sources.columns).alias("__row"))
+    both = gaps.unionByName(asks, allowMissingColumns=True).withColumn(
+        "__chunk", F.floor(F.col("__v") / _SLOT_CHUNK))
+    # gaps of one value and ranks are each unique or interchangeable in this order
+    both = running(both, ["__name"], "__chunk", ["__v", "__kind"], sums={"__skip": "__one"})
+    out = both.filter("__kind = 1").select(
+        F.col("__name").alias("__want"), "__row.*",
         (F.col("__v") + F.coalesce("__skip", F.lit(0))).alias("slot"))
-    out = (sources.withColumn("__want", plain)
-           .join(slots, (F.col("path") == F.col("__p")) & (F.col("__want") == F.col("__n"))))
     name = p.file_name(F.col("__want"))
     ext = p.suffix(name)
     numbered = F.concat(F.substring(F.col("__want"), F.lit(1), F.length("__want") - F.length(ext)),
                         F.lit("_recycled"), F.col("slot").cast("string"), ext)
     return (out.withColumn("destination", F.when(F.col("slot") == 0, F.col("__want")).otherwise(numbered))
-            .drop("__want", "__p", "__n"))
+            .drop("__want"))

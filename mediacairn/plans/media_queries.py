@@ -192,7 +192,7 @@ HDR_NAMES = [
 ]
 CLEANED = [
     ("A..B", "A.B"), ("A  B", "A B"), ("A [ ] B", "A  B"), ("A - B", "A- B"), ("A.-B", "A-B"),
-    ("A.+.B", "A.B"), ("A(  )", "A"), ("A . B", "A.B"), ("A_+", "A"), ("A+B", "A+B"),
+    ("A.+.B", "A.B"), ("A(  )", "A"), ("A . B", "A. B"), ("A_+", "A"), ("A+B", "A+B"),
 ]
 
 
@@ -316,7 +316,7 @@ def rename_conflicts(t):
     return rn.rename_conflicts(t.get("fx_tree"))
 
 
-SOURCES = """SELECT k AS turn, concat(dir, '/clip', CAST(k % 50 AS STRING), '.mkv') AS path FROM {fx_probes}"""
+SOURCES = """SELECT k AS turn, concat(dir, '/', CAST(k AS STRING), '/clip', CAST(k % 50 AS STRING), '.mkv') AS path FROM {fx_probes}"""
 HELD = """SELECT DISTINCT concat('/recycle/clip', CAST(k % 50 AS STRING),
   CASE WHEN floor(k / 50) = 0 THEN '' ELSE concat('_recycled', CAST(CAST(floor(k / 50) AS BIGINT) AS STRING)) END, '.mkv') AS path
 FROM {fx_probes} WHERE st = 'P'"""
