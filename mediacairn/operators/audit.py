@@ -3,26 +3,34 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, paths as p, probe as pr, rules as r
+from ..functions.let import let
 from .planning import plan_gate
 
 
+def _role_and_stem(name):
+    """(role, release_stem) of a file name; role is null for files of neither kind."""
+    def judge(x):
+        stem, upper = x["stem"], x["upper"]
+        original = F.exists(marks, lambda m: F.contains(stem, m))
+        role = F.when(F.contains(stem, F.lit(fixed.AUDIT_OUTPUT_MARK)), "output").when(original, "original")
+        # the release name ends at the earliest mark
+        cuts = F.transform(every_mark, lambda m: F.nullif(F.instr(upper, m), F.lit(0)))
+        end = F.coalesce(F.array_min(cuts), F.length(upper) + 1)
+        return F.struct(role.alias("role"), F.substring(x["name"], F.lit(1), end - 1).alias("release_stem"))
+    marks = F.array(*[F.lit(m.upper()) for m in fixed.AUDIT_ORIGINAL_MARKS])
+    every_mark = F.array(*[F.lit(m.upper()) for m in [fixed.AUDIT_OUTPUT_MARK] + fixed.AUDIT_ORIGINAL_MARKS])
+    return let(F.struct(name.alias("name"), F.upper(name).alias("upper"),
+                        F.upper(p.stem(name)).alias("stem")), judge)
+
+
 def _audit_rows(listing: DataFrame, root=None) -> DataFrame:
     """Video files with their role (output, original) and release stem."""
-    rows = p.with_path_parts(listing.select("path", "size"))
-    rows = rows.filter(F.lower("suffix").isin(fixed.AUDIT_EXTENSIONS)
-                       & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
-    upper_stem, upper_name = F.upper("stem"), F.upper("name")
-    output = upper_stem.contains(fixed.AUDIT_OUTPUT_MARK)
-    original = F.lit(False)
-    for mark in fixed.AUDIT_ORIGINAL_MARKS:
-        original = original | upper_stem.contains(mark.upper())
-    cut = F.least(*[F.nullif(F.instr(upper_name, m.upper()), F.lit(0))
-                    for m in [fixed.AUDIT_OUTPUT_MARK] + fixed.AUDIT_ORIGINAL_MARKS])
-    return (rows.withColumn("role", F.when(output, "output").when(original, "original"))
-            .filter(F.col("role").isNotNull())
-            .withColumn("__cut", F.coalesce(cut, F.length("name") + 1))
-            .withColumn("release_stem", F.substring(F.col("name"), F.lit(1), F.col("__cut") - 1))
-            .select("path", "size", "dir", "release_stem", "role"))
+    rows = listing.select("path", "size").filter(
+        F.lower(p.suffix(p.file_name(F.col("path")))).isin(fixed.AUDIT_EXTENSIONS)
+        & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
+    rows = rows.select("path", "size", p.parent_dir(F.col("path")).alias("dir"),
+                       F.inline(F.array(_role_and_stem(p.file_name(F.col("path"))))))
+    return rows.filter(F.col("role").isNotNull())
 
 
 def orphan_groups(listing: DataFrame, root=None) -> DataFrame:

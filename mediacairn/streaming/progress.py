@@ -13,6 +13,7 @@ from ..functions import fixed
 from ..operators.progress import progress_parse, progress_windows
 
 WATERMARK = "10 minutes"
+FORGET_MS = 24 * 3600 * 1000  # a finished encode is remembered this long, then dropped
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALARM = "encode_id bigint, alarm string, at_ms bigint, anchor_ms bigint"
 
@@ -68,7 +69,9 @@ class EncodeWatch(StatefulProcessor):
         self.state.update((out, frames, adv_out, adv_frames, anchor, start, limit, used, done))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if not done:
+        if done:
+            self.handle.registerTimer(int(feed.ts_ms.iloc[-1]) + FORGET_MS)
+        else:
             due = anchor + self.stall_ms + 1
             if limit > 0:
                 due = min(due, start + limit + 1)
@@ -92,10 +95,12 @@ class EncodeWatch(StatefulProcessor):
             return
         out, frames, adv_out, adv_frames, anchor, start, limit, used, done = self.state.get()
         if done:
+            self.state.clear()
             return
         at = expiredTimerInfo.getExpiryTimeInMs() - 1
         kind = "stall" if at >= anchor + self.stall_ms else "timeout"
         self.state.update((out, frames, adv_out, adv_frames, anchor, start, limit, used, True))
+        self.handle.registerTimer(at + FORGET_MS)
         yield self._row(key, kind, at, anchor)
 
     def close(self) -> None:
