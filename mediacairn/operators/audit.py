@@ -76,10 +76,10 @@ def library_audit(probes: DataFrame, listing: DataFrame, decisions: DataFrame, *
 
     `level` is the grouping id: 0 codec and tier, 1 codec, 2 tier, 3 all.
     """
-    rows = r.evaluate_rules(plan_gate(probes, listing, decisions, **flags))
+    rows = plan_gate(probes, listing, decisions, **flags)
     admitted = (F.col("gate") == "ok") & r.any_firm()
     rows = (rows.withColumn("__cand", admitted)
-            .withColumn("__mb", F.when(F.col("__cand"), r.projected_savings(F.col("fired"))))
+            .withColumn("__mb", F.when(F.col("__cand"), r.capped_savings(r.best_savings())))
             .withColumn("codec", r.codec()).withColumn("tier", pr.tier_of_height(F.col("height"))))
     base = rows.groupBy("codec", "tier").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),

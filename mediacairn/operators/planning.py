@@ -107,6 +107,19 @@ def candidates(probes: DataFrame, enabled=None, target="av1+mkv") -> DataFrame:
             .withColumn("projected_savings_mb", r.projected_savings(F.col("fired"))))
 
 
+def queue_candidates(probes: DataFrame, enabled=None, target="av1+mkv") -> DataFrame:
+    """The same files, rules and savings as `candidates`, without reasons and notes.
+
+    What a queue needs. Texts and maps per verdict are most of the cost of a
+    plan over a large library.
+    """
+    rows = (probes.filter(r.any_firm(enabled))
+            .withColumn("rules_fired", r.rules_fired(enabled))
+            .withColumn("projected_savings_mb", r.capped_savings(r.best_savings(enabled))))
+    return (rows.withColumn("target", F.lit(target))
+            .withColumn("remux_only", r.remux_only(F.col("rules_fired"), F.col("video_codec"))))
+
+
 def decision_id(run_id, path):
     """Stable over recomputation; never a position in a partition."""
     return F.xxhash64(run_id, path)
@@ -170,11 +183,13 @@ def plan_summary(probes, listing, decisions, scope=None, enabled=None, **flags)
     return out
 
 
-def rule_mix(cands: DataFrame) -> DataFrame:
+def rule_mix(probes: DataFrame, enabled=None) -> DataFrame:
     """Candidates and savings by fired rule. At most one group per rule."""
-    return (cands.select("projected_savings_mb", F.explode("fired.rule").alias("rule"))
-            .groupBy("rule").agg(F.count(F.lit(1)).alias("n_candidates"),
-                                 F.sum("projected_savings_mb").alias("savings_mb")))
+    rows = probes.filter(r.any_firm(enabled)).select(
+        r.capped_savings(r.best_savings(enabled)).alias("projected_savings_mb"),
+        F.explode(r.rules_fired(enabled, advisory=True)).alias("rule"))
+    return rows.groupBy("rule").agg(F.count(F.lit(1)).alias("n_candidates"),
+                                    F.sum("projected_savings_mb").alias("savings_mb"))
 
 
 def preset_resolve(probes: DataFrame, film=False, quality=None, keep_langs=None,

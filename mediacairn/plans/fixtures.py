@@ -221,9 +221,19 @@ class Tables:
     def given(self, name) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name) -> DataFrame:
+        """A given table over all cores, for work that is heavy per row.
+
+        Only a table that reads as fewer partitions than there are cores (one
+        small file, say) is dealt out again; a large one already is spread.
+        """
+        df = self.given(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def get(self, name) -> DataFrame:
         if name in GIVEN:
-            return self.given(name)
+            return self.spread(name) if name == "orders" else self.given(name)
         special = getattr(self, "_" + name, None)
         if special is not None:
             return special()
@@ -249,6 +259,26 @@ class Tables:
             "user_id AS encode_id", "seq", "seq * 90 AS t_s", "frames",
             "steps * (800000 + user_id % 7 * 100000) AS out_size")
 
+    def _fx_tree(self) -> DataFrame:
+        # one read of the titles: the files of a title come from an array in its row
+        ext = "CASE k % 6 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' ELSE '.mkv' END"
+        alias = "concat('T', CAST(k AS STRING), '{}')"
+        dup = "st = 'O' AND prio = '3-MEDIUM'"
+        files = [
+            ("stem", ext, "CASE WHEN k % 29 = 0 THEN CAST(0 AS BIGINT) ELSE size END", "true"),
+            ("stem", "CASE prio WHEN '1-URGENT' THEN '.srt' ELSE '.nfo' END", "4096L", "prio IN ('1-URGENT', '2-HIGH')"),
+            ("concat(stem, '.en')", "'.srt'", "2048L", "prio = '1-URGENT'"),
+            ("clean_stem", ext, "size", "clean_stem <> stem AND st = 'P' AND prio = '5-LOW'"),
+            (alias.format(".Foo.2024.DV.AV1.REENCODE"), "'.mkv'", "size", dup),
+            (alias.format(".Foo.2024.HDR10Plus.AV1.REENCODE"), "'.mkv'", "size", dup),
+            ("''", "'.mkv'", "size", "st = 'F' AND prio = '4-NOT SPECIFIED'"),
+        ]
+        rows = ", ".join(f"named_struct('p', concat(dir, '/', {s}, {e}), 'z', {z}, 'keep', {c})" for s, e, z, c in files)
+        return self.spark.sql(
+            "SELECT p AS path, z AS size, CAST(k % 1000 AS DOUBLE) AS mtime FROM {fx_titles} "
+            f"LATERAL VIEW inline(filter(array({rows}), f -> f.keep)) v AS p, z, keep",
+            fx_titles=self.get("fx_titles"))
+
     def _fx_lines(self) -> DataFrame:
         # five lines per row come from an array, not from a join
         text = SQL["fx_lines"]

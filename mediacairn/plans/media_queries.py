@@ -206,7 +206,7 @@ def _pick(pairs, side, col="k"):
 
 
 def _stems(t, pairs):
-    return t.given("orders").selectExpr("o_orderkey AS k", _pick(pairs, 0, "o_orderkey") + " AS stem")
+    return t.spread("orders").selectExpr("o_orderkey AS k", _pick(pairs, 0, "o_orderkey") + " AS stem")
 
 
 def _golden_check(pairs, out):

@@ -204,7 +204,7 @@ def candidates(t):
 
 @query("remux_only", "fx_probes", f"SELECT path, {REMUX} AS remux_only FROM fx_probes WHERE {FIRM} <> ''")
 def remux_only(t):
-    return pl.candidates(t.probes()).select("path", "remux_only")
+    return pl.queue_candidates(t.probes()).select("path", "remux_only")
 
 
 @query("projected_savings", "fx_probes", f"SELECT path, {SAVED} AS projected_savings_mb FROM fx_probes WHERE {FIRM} <> ''")
@@ -217,7 +217,7 @@ SELECT path, projected_savings_mb, rules FROM (SELECT path, {SAVED} AS projected
 WHERE rules <> '' ORDER BY projected_savings_mb DESC, path LIMIT 100""")
 def rank_queue(t):
     """Probes to the 100 files with the largest projected savings."""
-    pending = pl.pending_rows(pl.candidates(t.probes()), 1, 0.0)
+    pending = pl.pending_rows(pl.queue_candidates(t.probes()), 1, 0.0)
     return pl.rank_queue(pending, 100).select(
         "path", "projected_savings_mb", F.array_join("rules_fired", ",").alias("rules"))
 
@@ -227,7 +227,7 @@ SELECT path, status, run_id FROM fx_decisions WHERE status <> 'pending'
 UNION ALL SELECT path, 'pending', CAST(77 AS BIGINT) FROM fx_probes WHERE {FIRM} <> ''""")
 def pending_replace(t):
     ledger = t.get("fx_decisions").select("path", "status", "run_id")
-    fresh = pl.pending_rows(pl.candidates(t.probes()), 77, 0.0).select("path", "status", "run_id")
+    fresh = pl.pending_rows(pl.queue_candidates(t.probes()), 77, 0.0).select("path", "status", "run_id")
     return pl.pending_replace(ledger, fresh)
 
 
@@ -259,7 +259,7 @@ RULE_UNION = " UNION ALL ".join(
 SELECT rule, count(*) AS n_candidates, CAST(floor(sum(s)) AS BIGINT) AS savings_mb FROM ({RULE_UNION}
   UNION ALL SELECT 'hdr_advisory', {SAVED} FROM fx_probes WHERE is_hdr AND {FIRM} <> '') u GROUP BY rule""")
 def rule_mix(t):
-    return pl.rule_mix(pl.candidates(t.probes())).select(
+    return pl.rule_mix(t.probes()).select(
         "rule", "n_candidates", F.floor("savings_mb").alias("savings_mb"))
 
 
