@@ -1,6 +1,6 @@
 """A local name inside a Column expression."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body) -> Column:
@@ -11,3 +11,12 @@ def let(value: Column, body) -> Column:
     code, which they would push over the size a method may have.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters and joins use.
+
+    A filter on a projected column is moved below it and computes it again; a
+    generator in between keeps the work to once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

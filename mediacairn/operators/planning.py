@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, gate as g, naming, outcomes, paths as p, probe as pr, rules as r
+from ..functions.let import once
 
 GATES = ["missing", "stalled", "dv", "reencoded", "existing_output", "av1_source",
          "skipped_codec", "low_bitrate", "extras", "ok"]
@@ -24,8 +25,8 @@ def _output_beside(rows: DataFrame, out: str, wanted) -> DataFrame:
     Needs __dir and __stem. Only wanted stems are rewritten.
     """
     stem = naming.rewrite_stem(F.when(wanted, F.col("__stem")))
-    return rows.withColumn(out, p.join_path(
-        F.col("__dir"), F.concat(stem, F.lit(f".{fixed.REENCODE_TOKEN}.mkv"))))
+    return once(rows, **{out: p.join_path(
+        F.col("__dir"), F.concat(stem, F.lit(f".{fixed.REENCODE_TOKEN}.mkv")))})
 
 
 def expected_output(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, naming, paths as p
+from ..functions.let import once
 from .hotkeys import running
 
 
@@ -39,7 +40,7 @@ def _tagged(listing: DataFrame, root=None) -> DataFrame:
     rows = rows.filter(
         F.lower("suffix").isin(fixed.VIDEO_EXTENSIONS) & p.has_reencode_marker(F.col("stem"))
         & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
-    rows = rows.withColumn("new_stem", naming.rewrite_stem(F.col("stem")))
+    rows = once(rows, new_stem=naming.rewrite_stem(F.col("stem")))
     return (rows.filter(F.col("new_stem") != F.col("stem"))
             .withColumn("new_path", p.join_path(F.col("dir"), F.concat("new_stem", "suffix"))))
 

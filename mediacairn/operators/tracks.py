@@ -9,6 +9,7 @@ Only aggregates and joins on per-file summaries, so no file's tracks gather.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tracks as t
+from ..functions.let import once
 
 
 def eligible_tracks(tracks: DataFrame, langs, key="k") -> DataFrame:
@@ -118,7 +119,7 @@ def stream_usage(probes: DataFrame, langs, box="mkv", add_compat=True, keep_audi
         F.transform(t.audio_ladder(F.col("audio_tracks"), langs, add_compat),
                     lambda e: e["track"]["pos"])))
     subs = t.kept_subtitles(F.col("subtitle_tracks"), langs, box, keep_subs)
-    return (probes.withColumn("kept_audio", audio).withColumn("kept_subs", subs)
+    return (once(probes, kept_audio=audio, kept_subs=subs)
             .withColumn("dropped_audio", F.array_except(positions("audio_tracks"), F.col("kept_audio")))
             .withColumn("dropped_subs", F.array_except(positions("subtitle_tracks"), F.col("kept_subs"))))
 
