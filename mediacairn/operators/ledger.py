@@ -124,9 +124,7 @@ def pending_status(decisions: DataFrame, n=10) -> DataFrame:
     pending = decisions.filter("status = 'pending'")
     total = pending.agg(F.count(F.lit(1)).alias("n_pending"))
     top = pending.orderBy(F.coalesce("projected_savings_mb", F.lit(0)).desc(), "id").limit(n)
-    # both sides are bounded: one row and n rows
-    return top.withColumn("__one", F.lit(1)).join(
-        F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    return top.withColumn("n_pending", total.scalar())
 
 
 def validate_outputs(jobs: DataFrame, probes: DataFrame, outputs: DataFrame) -> DataFrame:

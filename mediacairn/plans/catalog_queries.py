@@ -274,9 +274,8 @@ SELECT count(*) AS n_listed, (SELECT count(*) FROM fx_skipped) AS n_skipped
 FROM fx_listing WHERE path IN (SELECT path FROM fx_skipped)""")
 def skip_lookup_count(t):
     skipped = t.get("fx_skipped")
-    listed = inc.skip_lookup(_listing(t), skipped).agg(
-        F.count(F.lit(1)).alias("n_listed"), F.lit(1).alias("one"))
-    return listed.join(inc.skip_count(skipped).withColumn("one", F.lit(1)), "one").drop("one")
+    return inc.skip_lookup(_listing(t), skipped).agg(F.count(F.lit(1)).alias("n_listed")).withColumn(
+        "n_skipped", inc.skip_count(skipped).scalar())
 
 
 @query("stale_prune", "fx_listing fx_probes fx_decisions", """
