@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from mediacairn.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 EAGER = {"read_write_state", "write_candidates_json", "write_run_report", "progress_windows_stream",
@@ -13,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_no_python_and_no_product(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mediacairn.plans.registry import QUERIES
 from tools.check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     text, _, ok = compare(spark, con, name, SF, entry.queries(), entry.oracle_sql())
     assert ok, text
