@@ -1,6 +1,8 @@
 """What the corpus operators share: folders, text columns, batches, word and shingle fingerprints."""
 
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,22 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library from where the driver has it.
+
+    Elsewhere it is installed, or sent with --py-files, as any package is.
+    """
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow: fn takes an iterator of record batches and yields record batches."""
+    importable(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def ascii_lower(text):
     """Lower-case A-Z and nothing else; null counts as empty. In pure ASCII, lower() does just that, and faster."""
     text = F.coalesce(text, F.lit(""))

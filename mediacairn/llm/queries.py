@@ -1,8 +1,9 @@
 """The corpus operators over the given tables, and the SQL that checks them where SQL can."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup, mixing
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -27,3 +28,33 @@ FROM t WINDOW g AS (PARTITION BY norm)
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_mixing", f"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS words FROM t GROUP BY source),
+w AS (SELECT source, words, 2 * words AS cap,
+             [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+f AS (SELECT *, (1.5 * sum(words) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, words, least(cap, weight * max(level) OVER ()) AS target,
+             ('0x' || md5('{mixing.SEED}' || coalesce(':' || source, '?'))[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size,
+             doc_id % (SELECT greatest(1, ceil(count(*) / {mixing.ROWS_A_SALT})::BIGINT) FROM documents), doc_id) - 1 AS rank FROM t)
+SELECT doc_id, size, words::BIGINT AS source_size, target,
+       (size * least(2, floor(coalesce(target / nullif(words, 0), 0) * (rank + 1) + u) - floor(coalesce(target / nullif(words, 0), 0) * rank + u)))::BIGINT AS taken
+FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
+""")
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                                     F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
+@query("op4_bpe")
+def op4_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(__ids) div 4").cast("long").alias("n_tokens"),
+                        F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
