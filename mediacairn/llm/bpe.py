@@ -19,6 +19,7 @@ empty table gives an empty result. Texts are never cut; a word of any length is
 import json
 import re
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -220,13 +221,13 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
-    text_at = docs.columns.index("text")
+    text_at, token = docs.columns.index("text"), uuid.uuid4().hex
 
     def run(batches):
-        if shared.id not in _encoders:
+        if token not in _encoders:
             _encoders.clear()
-            _encoders[shared.id] = Encoder(shared.value)
-        encoder = _encoders[shared.id]
+            _encoders[token] = Encoder(shared.value)
+        encoder = _encoders[token]
         for batch in batches:
             column = batch.column(text_at)
             for first, offsets, _ in slices(column):
