@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, near_dedup
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -58,3 +58,19 @@ def op4_bpe(spark, sf_dir):
     coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", F.expr("octet_length(__ids) div 4").cast("long").alias("n_tokens"),
                         F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_near_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) > 3 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+                                        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS set FROM w),
+d AS (SELECT list_sort(set) AS set, min(doc_id) AS id, len(any_value(set)) AS n FROM s WHERE len(set) > 0 GROUP BY 1),
+x AS (SELECT id, n, unnest(set) AS shingle FROM d),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (WITH RECURSIVE r(id, root) AS (SELECT id, id FROM d UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a) SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, s.doc_id = coalesce(r.root, s.doc_id) AS kept
+FROM s LEFT JOIN d ON list_sort(s.set) = d.set LEFT JOIN r ON r.id = d.id
+""")
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
