@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup
+from . import bpe, exact_dedup, mixing, near_dedup, topk_search
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -74,3 +74,18 @@ FROM s LEFT JOIN d ON list_sort(s.set) = d.set LEFT JOIN r ON r.id = d.id
 """)
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_topk_search", """
+WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0)::BIGINT AS score
+      FROM t q JOIN t c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""")
+def op7_topk_search(spark, sf_dir):
+    rows = topk_search.quantised(table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")))
+    return topk_search.top_k(rows.filter("id % 50 = 0"), rows, 5)
