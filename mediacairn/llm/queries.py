@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, topk_search
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, topk_search
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -89,3 +89,12 @@ def op7_topk_search(spark, sf_dir):
     rows = topk_search.quantised(table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")))
     return topk_search.top_k(rows.filter("id % 50 = 0"), rows, 5)
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    network = language_id.learn(docs.filter(~held_out).select("doc_id", "lang", "text"))
+    found = language_id.predict(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
