@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, topk_search
+from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, topk_search
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -98,3 +98,14 @@ def op1_language_id(spark, sf_dir):
     network = language_id.learn(docs.filter(~held_out).select("doc_id", "lang", "text"))
     found = language_id.predict(docs.select("doc_id", "text"), network)
     return found.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+@query("op10_html_extract", r"""
+SELECT page_id, url, text, len(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)
+""")
+def op10_html_extract(spark, sf_dir):
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
