@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, topk_search
+from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, topk_search
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -109,3 +109,11 @@ SELECT page_id, url, text, len(text)::BIGINT AS n_chars FROM (
 def op10_html_extract(spark, sf_dir):
     found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    found = lm_scoring.scores(docs, docs.filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
