@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, topk_search
+from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, secret_scan, topk_search
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -117,3 +117,14 @@ def op8_lm_scoring(spark, sf_dir):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     found = lm_scoring.scores(docs, docs.filter(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.learn(docs))
+    base = F.filter("__spans", lambda s: s["kind"] != "crf")
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("__spans")).alias("spans"))
