@@ -7,11 +7,11 @@ memory, one read of a run of values serves all coordinates of a shingle.
 
 BANDS bands of ROWS coordinates each: two documents of similarity 0.8 share none with a chance of about 5 in 10 million,
 (1 - 0.8**6)**48. Documents with equal shingle sets are one class and only its smallest doc_id goes on. In a bucket of
-equal bands every class is compared with the bucket's smallest; links are confirmed on the full sets of both whole
-texts, and linked classes are joined to components. Buckets that still hold several components are settled by comparing
-members of different components, block against block, first by signature (EARLY: five deviations under the threshold),
-then again on full sets. So a group of n copies costs n comparisons and not n squared, yet no pair of different
-components in a bucket stays uncompared. No bucket is capped.
+equal bands every class is compared with the bucket's smallest on the full sets of both whole texts, and linked classes
+are joined to components. Then the buckets that still hold several components are settled: members of different
+components are compared block against block, first by signature (EARLY lies five deviations under the threshold), then
+on full sets. So a group of n copies costs n comparisons and not n squared, no list of pairs is made, and yet no pair of
+different components in a bucket stays uncompared. No bucket is capped.
 
 Shingles are 64-bit fingerprints of runs of words. Nodes are doc_ids: rows that repeat one are one node. A row whose
 doc_id is null is linked with nothing, has a null component and is kept. Null, empty and blank texts have no shingles
@@ -27,7 +27,7 @@ from .common import WordPrints, map_batches, mix, shingle_prints, slices, stored
 PLACES = 1 << 20
 BANDS, ROWS = 48, 6
 EARLY = 0.68
-BLOCK = 512
+BLOCK, TEXT_BLOCK = 512, 128
 SEED = 20
 
 
@@ -96,10 +96,16 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                        "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar: 100 * intersection >= percent * union."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b"))
@@ -112,11 +118,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 left, right = s.sets(offsets, data), []
                 for _, o, d in slices(batch.column(3).slice(first, n)):
                     right += s.sets(o, d)
-                similar = []
-                for x, y in zip(left, right):
-                    shared = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                    similar.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-                yield batch.select(["a", "b"]).slice(first, n).filter(pa.array(similar))
+                linked = [similar(x, y, percent) for x, y in zip(left, right)]
+                yield batch.select(["a", "b"]).slice(first, n).filter(pa.array(linked))
 
     return map_batches(both, run, "a bigint, b bigint").distinct()
 
@@ -143,56 +146,100 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = stored(small.filter("u != v").distinct(), f"{folder}/{turn}")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components and have like signatures.
+class Forest:
+    """Union-find over the rows of one group."""
+
+    def __init__(self, homes):
+        self.up = {}
+        self.at = [int(h) for h in homes]
+
+    def root(self, x):
+        while self.up.get(x, x) != x:
+            self.up[x] = x = self.up.get(self.up[x], self.up[x])
+        return x
 
-    members: key, doc_id, component, sketch. Buckets are cut into blocks by hash; every two blocks of a bucket meet in
-    one group of about 2 * BLOCK rows, so no group grows with its bucket.
+    def apart(self, i, j):
+        return self.root(self.at[i]) != self.root(self.at[j])
+
+    def join(self, i, j):
+        self.up[self.root(self.at[i])] = self.root(self.at[j])
+
+
+def block_edges(members: DataFrame, size: int, judge, named="doc_id") -> DataFrame:
+    """Edges (a, b) between members of a group that lie in different components and pass a test.
+
+    members: key, doc_id, component, sketch and what else `judge` needs. A group is cut into blocks by hash, and every
+    two of its blocks meet in about 2 * size rows, so no task grows with a group. Only edges that join something are
+    returned, fewer than rows. judge(rows) -> test(i, j): are these rows linked? named: what an edge tells of its ends.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = (members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-              .withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    extra = [c for c in members.columns if c not in ("key", "doc_id", "component", "sketch")]
+    spread = (members.join(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "key")
+              .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch"))
+              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", *extra))
     ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(rows):
-        ids = np.array([r[0] for r in rows])
-        home = np.array([r[1] for r in rows])
-        own = np.array([r[3] for r in rows])
-        if len(np.unique(home)) < 2:
+        own, ids, homes = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
+        if len(rows) < 2 or len(np.unique(homes)) < 2:
             return
-        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        two = own.min() != own.max()
+        sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        across, forest, test = own.min() != own.max(), Forest(homes), judge(rows)
         for k in range(len(rows) - 1):
-            alike = (sketches[k + 1:] == sketches[k]).mean(1) >= EARLY
             # of two blocks, only pairs across: pairs inside a block meet in the block's own group
-            for x in np.flatnonzero(alike & (home[k + 1:] != home[k]) & ((own[k + 1:] != own[k]) | (not two))) + k + 1:
-                yield min(ids[k], ids[x]), max(ids[k], ids[x])
+            near = (homes[k + 1:] != homes[k]) & ((own[k + 1:] != own[k]) | (not across))
+            near[near] = (sketches[k + 1:][near] == sketches[k]).mean(1) >= EARLY
+            for x in (np.flatnonzero(near) + k + 1).tolist():
+                if forest.apart(k, x) and test(k, x):
+                    forest.join(k, x)
+                    ends = homes if named == "component" else ids
+                    yield int(min(ends[k], ends[x])), int(max(ends[k], ends[x]))
+
+    def edges(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held, rows = None, []
         for batch in batches:
-            found = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for key, i, j, own, doc_id, component, sketch in zip(*columns):
+            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if (key, i, j) != held:
-                    found += compare(rows) if len(rows) > 1 else []
+                    if found := list(compare(rows)):
+                        yield edges(found)
                     held, rows = (key, i, j), []
-                rows.append((doc_id, component, sketch, own))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-        found = list(compare(rows)) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                rows.append(row)
+        yield edges(list(compare(rows)))
 
     return map_batches(ordered, run, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set), links.
+def settled(shared: DataFrame, joined: DataFrame, heads: DataFrame, texts: DataFrame, folder: str, width: int, percent: int) -> DataFrame | None:
+    """Links between different components that meet in a bucket, which its smallest class didn't show; None if there are none."""
+    placed = shared.filter("n > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    sketches = heads.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    members = placed.join(unsettled, "key", "left_semi").join(sketches, "doc_id").select("key", "doc_id", "component", "sketch")
+    alike = stored(block_edges(members, BLOCK, lambda rows: lambda i, j: True, "component"), f"{folder}/alike")
+    if alike.isEmpty():
+        return None
+    # components that look alike, over however many steps, are compared on full sets
+    stars = components(alike, f"{folder}/clusters")
+    clusters = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    members = (members.drop("key").dropDuplicates(["doc_id"])
+               .join(clusters.select(F.col("component").alias("key"), F.col("node").alias("component")), "component")
+               .join(texts, "doc_id").select("key", "doc_id", "component", "sketch", "text"))
+
+    def judge(rows):
+        sets = []
+        for _, offsets, data in slices(pa.array([r[4] for r in rows], pa.string())):
+            sets += signer(width).sets(offsets, data)
+        return lambda i, j: similar(sets[i], sets[j], percent)
+
+    return stored(block_edges(members, TEXT_BLOCK, judge), f"{folder}/settled")
 
-    links: number of other classes that the document's class was found similar to on full sets.
-    """
+
+def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
     folder = work_dir(docs.sparkSession, "near-dedup")
     signed = stored(sign(docs, width), f"{folder}/signed")
     whole = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -201,25 +248,20 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
     entries = heads.select("doc_id", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(entries.join(buckets, "key").filter("doc_id != pivot"), f"{folder}/shared")
-    links = stored(confirmed(shared.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), docs, width, percent), f"{folder}/links")
+    pairs = shared.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), f"{folder}/texts")
+    links = stored(confirmed(pairs, texts, width, percent), f"{folder}/links")
     joined = components(links, f"{folder}/joined")
-    # what the smallest of a bucket didn't join: members of different components, with three in the bucket at least
-    placed = shared.filter("n > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = placed.join(open_keys, "key", "left_semi").join(heads.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id").select(
-        "key", "doc_id", "component", "sketch")
-    more = stored(cross_pairs(members), f"{folder}/cross")
-    if not more.isEmpty():
-        links = links.union(stored(confirmed(more, docs, width, percent), f"{folder}/more"))
-        joined = components(links, f"{folder}/all")
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = (classes.join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left"))
-    named = named.select("n_shingles", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    more = settled(shared, joined, heads, texts, folder, width, percent)
+    if more is not None:
+        joined = components(links.union(more), f"{folder}/all")
+    named = classes.join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    named = named.select("n_shingles", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component"))
     linked = F.col("n_shingles") > 0
     return (signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
             .select("doc_id", "n_shingles", F.when(linked & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-                    "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+                    "class_id")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
