@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, StringType, StructType
 
-from .common import map_batches, slices
+from .common import beside_rows, slices
 
 #: White space by the Unicode property, as the tokenizer's pattern has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -215,26 +214,26 @@ _encoders: dict = {}
 
 
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """Every row of `docs` with __ids (little-endian 32-bit integers) and __decoded.
+    """Every row of `docs` as `row`, with ids (little-endian 32-bit integers) and decoded.
 
     vocabulary_path: a tokenizer file that the driver can read; its content, of fixed size, goes to every task.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
-    text_at, token = docs.columns.index("text"), uuid.uuid4().hex
+    token = uuid.uuid4().hex
 
-    def run(batches):
+    def start():
         if token not in _encoders:
             _encoders.clear()
             _encoders[token] = Encoder(shared.value)
         encoder = _encoders[token]
-        for batch in batches:
-            column = batch.column(text_at)
-            for first, offsets, _ in slices(column):
-                part = batch.slice(first, len(offsets) - 1)
-                ids, decoded = encoder([t or "" for t in part.column(text_at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                                                 names=[*part.schema.names, "__ids", "__decoded"])
-
-    schema = StructType([*docs.schema.fields]).add("__ids", BinaryType()).add("__decoded", StringType())
-    return map_batches(docs, run, schema)
+
+        def run(texts):
+            for first, offsets, _ in slices(texts):
+                n = len(offsets) - 1
+                ids, decoded = encoder([t or "" for t in texts.slice(first, n).to_pylist()])
+                yield n, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+
+        return run
+
+    return beside_rows(docs, "text", start, "ids binary, decoded string")

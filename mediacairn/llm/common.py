@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from mediacairn.session import shared_dir
 
@@ -45,6 +46,30 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Whole rows in one column `row`, so that nothing an operator adds can clash with a column of the table."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def beside_rows(df: DataFrame, column: str, start, added: str) -> DataFrame:
+    """`row` and the columns `added` (DDL) that Python makes of one column of it.
+
+    start() is called once a task and returns a function that takes an Arrow array of that column and yields, in order,
+    (number of rows, arrays of the added columns).
+    """
+    schema = StructType([*packed(df).schema.fields, *StructType.fromDDL(added).fields])
+
+    def run(batches):
+        fn = start()
+        for batch in batches:
+            rows, at = batch.column(0), 0
+            for n, arrays in fn(rows.field(column)):
+                yield pa.RecordBatch.from_arrays([rows.slice(at, n), *arrays], names=schema.names)
+                at += n
+
+    return map_batches(packed(df), run, schema)
+
+
 def ascii_lower(text):
     """Lower-case A-Z and nothing else; null counts as empty. In pure ASCII, lower() does just that, and faster."""
     text = F.coalesce(text, F.lit(""))
@@ -117,13 +142,13 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
-    """(starts, ends) of all words in byte order, and the number of words of each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK):
+    """(starts, ends) of all words in byte order, and the number of words of each text. blank: which bytes part words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return (none, none), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~BLANK[data]
+    inside = ~blank[data]
     cut = np.zeros(n + 1, bool)  # a text begins here, so no word runs across
     cut[offsets] = True
     before = np.empty(n, bool)

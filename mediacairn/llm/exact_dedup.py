@@ -16,7 +16,7 @@ the largest doc_id one stays. An empty table gives an empty result.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import ascii_lower, stored, work_dir
+from .common import ascii_lower, packed, stored, work_dir
 
 DEPTH = 16
 CAPACITY = 4096
@@ -82,11 +82,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     folder = work_dir(docs.sparkSession, "exact-kept")
     kept = stored(exact_groups(docs).filter("kept")
-                  .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "same"), folder)
-    there = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.sha2(ascii_lower(docs["text"]), 256) == kept["__sha"])
-    columns = [docs[c] for c in docs.columns]
-    once = docs.join(kept.filter("same = 1"), there).select(*columns)
+                  .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "same"), folder)
+    there = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.sha2(ascii_lower(F.col("row.text")), 256) == F.col("sha"))
+    once = packed(docs).join(kept.filter("same = 1"), there).select("row.*")
     if kept.filter("same > 1").isEmpty():
         return once
-    again = docs.join(kept.filter("same > 1"), there).select(*columns, kept["__sha"]).dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(again.drop("__sha"))
+    again = packed(docs).join(kept.filter("same > 1"), there).dropDuplicates(["id", "sha"])
+    return once.unionByName(again.select("row.*"))

@@ -19,9 +19,8 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructType
 
-from .common import map_batches
+from .common import beside_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object xmp".split())
@@ -201,12 +200,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Every row of `pages` with __text, the main text of its html."""
-    html_at = pages.columns.index("html")
+    """Every row of `pages` as `row`, with text, the main text of its html."""
+    def run(column):
+        for at in range(0, len(column), 256):
+            part = column.slice(at, 256)
+            yield len(part), [pa.array([main_text(x) for x in part.to_pylist()], pa.string())]
 
-    def run(batches):
-        for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(html_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "__text"])
-
-    return map_batches(pages, run, StructType([*pages.schema.fields]).add("__text", StringType()))
+    return beside_rows(pages, "html", lambda: run, "text string")

@@ -16,9 +16,8 @@ table gives an empty result.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import map_batches, slices
+from .common import beside_rows, packed, slices
 
 WINDOW = 128
 HIDDEN = 8
@@ -171,21 +170,16 @@ def learn(docs: DataFrame, **bounds) -> Network | None:
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """Every row of `docs` with __lang and __score; only the text is looked at."""
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    """Every row of `docs` as `row`, with lang and score; only the text is looked at."""
+    has_letter = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
     if network is None:
-        return docs.withColumns({"__lang": F.lit("und"), "__score": F.lit(0.0)})
-    text_at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            for first, offsets, data in slices(batch.column(text_at), 1_000_000):
-                p = network.pooled(offsets, data)
-                at = p.argmax(1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(first, len(at)).columns, pa.array([network.languages[i] for i in at], pa.string()),
-                     pa.array(np.minimum(p[np.arange(len(at)), at], 1.0))], names=[*batch.schema.names, "__lang", "__score"])
-
-    schema = StructType([*docs.schema.fields]).add("__lang", StringType()).add("__score", DoubleType())
-    return map_batches(docs, run, schema).withColumns({
-        "__lang": F.when(has_letter, F.col("__lang")).otherwise("und"), "__score": F.when(has_letter, F.col("__score")).otherwise(0.0)})
+        return packed(docs).withColumns({"lang": F.lit("und"), "score": F.lit(0.0)})
+
+    def run(texts):
+        for _, offsets, data in slices(texts, 1_000_000):
+            p = network.pooled(offsets, data)
+            at = p.argmax(1)
+            yield len(at), [pa.array([network.languages[i] for i in at], pa.string()), pa.array(np.minimum(p[np.arange(len(at)), at], 1.0))]
+
+    return beside_rows(docs, "text", lambda: run, "lang string, score double").withColumns({
+        "lang": F.when(has_letter, F.col("lang")).otherwise("und"), "score": F.when(has_letter, F.col("score")).otherwise(0.0)})

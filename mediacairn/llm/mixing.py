@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stored, work_dir
+from .common import packed, stored, work_dir
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -57,34 +57,34 @@ def targets(words: DataFrame, share=SHARE, weights=WEIGHTS, most=MOST) -> DataFr
 
 
 def mixed(docs: DataFrame, share=SHARE, weights=WEIGHTS, most=MOST, rows_a_salt=ROWS_A_SALT) -> DataFrame:
-    """Every row of `docs` with __size, __source_size, __target and __copies (0 to ceil(most))."""
+    """Every row of `docs` as `row`, with size, source_size, target and copies (0 to ceil(most))."""
     # null source and empty name are told apart by a prefix
-    name = F.coalesce(F.concat(F.lit(":"), F.col("source")), F.lit("?"))
+    name = lambda source: F.coalesce(F.concat(F.lit(":"), source), F.lit("?"))
     salts = F.lit(max(1, -(-docs.count() // rows_a_salt)))
-    rows = docs.select("*", word_count(F.col("text")).alias("__size"), name.alias("__name"),
-                       F.pmod(F.coalesce("doc_id", F.lit(0)), salts).alias("__salt"))
-    counts = stored(rows.groupBy("__name", "__size", "__salt").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n")),
+    rows = packed(docs).select("row", word_count(F.col("row.text")).alias("size"), name(F.col("row.source")).alias("name"),
+                               F.pmod(F.coalesce("row.doc_id", F.lit(0)), salts).alias("salt"))
+    counts = stored(rows.groupBy("name", "size", "salt").agg(F.first("row.source").alias("source"), F.count(F.lit(1)).alias("n")),
                     work_dir(docs.sparkSession, "mix-counts"))
-    sizes = counts.groupBy("__name", "__size").agg(F.first("source").alias("source"), F.sum("n").alias("n"))
-    goal = targets(sizes.groupBy("__name").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("__size")).alias("source_size"))
+    sizes = counts.groupBy("name", "size").agg(F.first("source").alias("source"), F.sum("n").alias("n"))
+    goal = targets(sizes.groupBy("name").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
                    .select("source", "source_size"), share, weights, most)
-    goal = goal.select(name.alias("__name"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-                       F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("__expected"), offset(F.col("source")).alias("__offset"))
+    goal = goal.select(name(F.col("source")).alias("name"), F.col("source_size").alias("source_size"), F.col("target").alias("target"),
+                       F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("expected"), offset(F.col("source")).alias("offset"))
     up_to = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    below = sizes.select("__name", "__size", F.coalesce(F.sum("n").over(up_to(W.partitionBy("__name").orderBy("__size"))), F.lit(0)).alias("__below"))
-    beside = counts.select("__name", "__size", "__salt", F.coalesce(
-        F.sum("n").over(up_to(W.partitionBy("__name", "__size").orderBy("__salt"))), F.lit(0)).alias("__beside"))
-    start = (beside.join(below, ["__name", "__size"]).join(goal, "__name")
-             .withColumn("__start", F.col("__below") + F.col("__beside")).drop("__below", "__beside"))
-    inside = F.row_number().over(W.partitionBy("__name", "__size", "__salt").orderBy("doc_id")) - 1
-    placed = rows.withColumn("__inside", inside).join(start, ["__name", "__size", "__salt"])
-    rank = F.col("__start") + F.col("__inside")
-    edge = lambda r: F.floor(F.col("__expected") * r + F.col("__offset"))
+    below = sizes.select("name", "size", F.coalesce(F.sum("n").over(up_to(W.partitionBy("name").orderBy("size"))), F.lit(0)).alias("below"))
+    beside = counts.select("name", "size", "salt", F.coalesce(
+        F.sum("n").over(up_to(W.partitionBy("name", "size").orderBy("salt"))), F.lit(0)).alias("beside"))
+    start = (beside.join(below, ["name", "size"]).join(goal, "name")
+             .withColumn("start", F.col("below") + F.col("beside")).drop("below", "beside"))
+    inside = F.row_number().over(W.partitionBy("name", "size", "salt").orderBy("row.doc_id")) - 1
+    placed = rows.withColumn("inside", inside).join(start, ["name", "size", "salt"])
+    rank = F.col("start") + F.col("inside")
+    edge = lambda r: F.floor(F.col("expected") * r + F.col("offset"))
     copies = F.least(edge(rank + 1) - edge(rank), F.lit(math.ceil(most)))
-    return placed.select(*docs.columns, "__size", "__source_size", "__target", copies.cast("long").alias("__copies"))
+    return placed.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: rows of `docs`, all columns, each as often as it is drawn."""
-    drawn = mixed(docs, **how).filter("__copies > 0")
-    return drawn.withColumn("__turn", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    drawn = mixed(docs, **how).filter("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordPrints, map_batches, mix, shingle_prints, slices, stored, word_spans, work_dir
+from .common import WordPrints, map_batches, mix, packed, shingle_prints, slices, stored, word_spans, work_dir
 
 PLACES = 1 << 20
 BANDS, ROWS = 48, 6
@@ -267,12 +267,11 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, of which one stays of each group: the one with the smallest doc_id."""
-    kept = near_groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("__id"))
-    kept = stored(kept.groupBy("__id").agg(F.count(F.lit(1)).alias("__same")), work_dir(docs.sparkSession, "near-kept"))
-    there = docs["doc_id"].eqNullSafe(kept["__id"])
-    columns = [docs[c] for c in docs.columns]
-    single = (F.col("__same") == 1) | F.col("__id").isNull()
-    once = docs.join(kept.filter(single), there).select(*columns)
+    kept = near_groups(docs, width, percent).filter("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("same"))
+    kept = stored(kept, work_dir(docs.sparkSession, "near-kept"))
+    there = F.col("row.doc_id").eqNullSafe(F.col("id"))
+    single = (F.col("same") == 1) | F.col("id").isNull()
+    once = packed(docs).join(kept.filter(single), there).select("row.*")
     if kept.filter(~single).isEmpty():
         return once
-    return once.unionByName(docs.join(kept.filter(~single), there).select(*columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(packed(docs).join(kept.filter(~single), there).dropDuplicates(["id"]).select("row.*"))

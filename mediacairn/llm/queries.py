@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, secret_scan, topk_search
+from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, secret_scan, topk_search, toxicity
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -48,16 +48,15 @@ FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
 """)
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-                                     F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return mixing.mixed(docs).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 @query("op4_bpe")
 def op4_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", F.expr("octet_length(__ids) div 4").cast("long").alias("n_tokens"),
-                        F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+    return coded.select("row.doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op9_near_dedup", r"""
@@ -94,10 +93,10 @@ def op7_topk_search(spark, sf_dir):
 @query("op1_language_id")
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    network = language_id.learn(docs.filter(~held_out).select("doc_id", "lang", "text"))
+    held_out = lambda doc_id: F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+    network = language_id.learn(docs.filter(~held_out("doc_id")).select("doc_id", "lang", "text"))
     found = language_id.predict(docs.select("doc_id", "text"), network)
-    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 @query("op10_html_extract", r"""
@@ -108,7 +107,7 @@ SELECT page_id, url, text, len(text)::BIGINT AS n_chars FROM (
 """)
 def op10_html_extract(spark, sf_dir):
     found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query("op8_lm_scoring")
@@ -123,8 +122,15 @@ def op8_lm_scoring(spark, sf_dir):
 def op5_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.learn(docs))
-    base = F.filter("__spans", lambda s: s["kind"] != "crf")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
-                        joined(F.col("__spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.predict(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", "toxic", "p_insult", "p_contempt", "p_toxic")

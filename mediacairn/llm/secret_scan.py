@@ -18,9 +18,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import map_batches
+from .common import beside_rows, map_batches
 
 # fixed values: the patterns of the contract
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -283,32 +282,32 @@ def learn(docs: DataFrame, **bounds) -> Field | None:
     return Field().train(features, tags, np.array([len(r.tags) for r in found]))
 
 
-SPANS = ArrayType(StructType().add("kind", StringType()).add("start", LongType()).add("end", LongType()))
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Every row of `docs` with __spans: kind, start, end, by start and then kind as listed in KINDS."""
-    text_at = docs.columns.index("text")
-
-    def run(batches):
+    """Every row of `docs` as `row`, with spans: kind, start, end, by start and then kind as listed in KINDS."""
+    def all_spans(text, shapes):
+        base = base_spans(text)
+        spans = [(start, kind, end) for start, kind, end, _ in base]
+        if field:
+            data = text.encode()
+            for first, last in tagged(data, field, shapes):
+                start = len(data[:first].decode(errors="ignore"))
+                end = start + len(data[first:last].decode(errors="ignore"))
+                if not any(start < e and end > s for s, _, e, _ in base):
+                    spans.append((start, "crf", end))
+        spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
+        return [{"kind": k, "start": s, "end": e} for s, k, e in spans]
+
+    def start():
         shapes = Shapes(field) if field else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, found = batch.slice(at, 512), []
-                for text in part.column(text_at).to_pylist():
-                    text = text or ""
-                    base = base_spans(text)
-                    spans = [(start, kind, end) for start, kind, end, _ in base]
-                    if field:
-                        data = text.encode()
-                        for first, last in tagged(data, field, shapes):
-                            start = len(data[:first].decode(errors="ignore"))
-                            end = start + len(data[first:last].decode(errors="ignore"))
-                            if not any(start < e and end > s for s, _, e, _ in base):
-                                spans.append((start, "crf", end))
-                    spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
-                    found.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "__spans"])
-
-    return map_batches(docs, run, StructType([*docs.schema.fields]).add("__spans", SPANS))
+
+        def run(texts):
+            for at in range(0, len(texts), 512):
+                part = texts.slice(at, 512)
+                yield len(part), [pa.array([all_spans(t or "", shapes) for t in part.to_pylist()], SPANS)]
+
+        return run
+
+    return beside_rows(docs, "text", start, "spans array<struct<kind: string, start: bigint, end: bigint>>")
