@@ -13,17 +13,17 @@ length of a text doesn't thin out what it holds. Weights are shrunk to zero wher
 Training takes at most LABELLED labelled documents, drawn by a hash of doc_id; predictions read every whole text.
 
 Nulls and empties: a text without words is not toxic, all probabilities 0. Null labels and labels without document are
-left out; a document labelled more than once is toxic if any label says so. Without both kinds of label nothing is
-toxic and all probabilities are 0. Rows that repeat an id are predicted each. An empty table gives an empty result.
+left out; a document labelled more than once is toxic if any label says so. Without both kinds of label, or any
+word that several documents share, nothing is toxic and all probabilities are 0. Rows that repeat an id are predicted each. An empty table gives an empty result.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordPrints, beside_rows, map_batches, mix, packed, slices, word_spans
+from .common import WordPrints, beside_rows, map_batches, mix, packed, slices, stored, word_spans, work_dir
 
-LABELLED, FOLDS, WORDS = 12_000, 3, 3000
+LABELLED, FOLDS, WORDS = 10_000, 3, 3000
 STEMS = (3, 4, 5, 6, 7, 8)
 SHRINK, STEPS = 1.0, 300
 THRESHOLD = 0.5
@@ -133,63 +133,82 @@ class Chain:
         return sigmoid(earlier) * (np.bincount(owner, minlength=n) > 0)[:, None]
 
 
-def train(bags: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray) -> Chain | None:
-    """bags: distinct fingerprints of each document."""
-    if not len(bags) or toxic.all() or not toxic.any():
-        return None
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    each = np.concatenate(bags)
-    vocabulary, column = np.unique(each, return_inverse=True)
-    # the words that tell toxic from other documents best, by the statistic of their two-by-two table
-    n, pos = len(bags), toxic.sum()
-    df, hits = np.bincount(column), np.bincount(column, toxic[owner].astype(float))
-    expected = df * pos / n
-    worth = (hits - expected) ** 2 / (expected * (1 - pos / n) * (1 - df / (n + 1)) + 1e-9) * (df >= min(4, 1 + pos / 8))
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:WORDS])
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    inside = place[column] >= 0
-    x = Words(owner[inside], place[column[inside]], n, len(chosen))
-    truths = []
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most `most` labelled documents, on shared files."""
+    known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    # the sample is bounded, so it may go to every task
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", (F.col("toxic") == 1).alias("toxic"), "text")
+    return stored(found, work_dir(docs.sparkSession, "toxicity"))
+
+
+def telling_words(sample: DataFrame, documents: int, toxic: int, most: int) -> np.ndarray:
+    """The fingerprints that tell toxic from other documents best, by the statistic of their two-by-two table."""
+    def run(batches):
+        for batch in batches:
+            flags = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for first, offsets, data in slices(batch.column(1)):
+                each, owner = distinct(*words_of(offsets, data))
+                word, at = np.unique(each, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, minlength=len(word))),
+                                                  pa.array(np.bincount(at, flags[first + owner], len(word)).astype(np.int64))], names=["word", "df", "hits"])
+
+    counts = (map_batches(sample.select("toxic", "text"), run, "word bigint, df bigint, hits bigint")
+              .groupBy("word").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")))
+    share = toxic / documents
+    expected = F.col("df") * share
+    worth = (F.col("hits") - expected) ** 2 / (expected * (1 - share) * (1 - F.col("df") / (documents + 1)) + 1e-9)
+    top = counts.filter(F.col("df") >= min(4, 1 + toxic / 8)).orderBy(worth.desc(), "word").limit(most).select("word")
+    return np.sort(top.toArrow()["word"].to_numpy().view(np.uint64))
+
+
+def train(x: Words, holds: dict, toxic: np.ndarray, folds: np.ndarray, vocabulary: np.ndarray) -> Chain:
+    """holds: which documents hold a seed word, by category."""
+    models, earlier = [], np.zeros((len(toxic), 0))
     for category in CHAIN:
-        holds = np.ones(n, bool)
-        if category in SEEDS:
-            holds = np.bincount(owner, np.isin(each, seed_prints(SEEDS[category])), n) > 0
-        truths.append((toxic & holds).astype(float))
-    models, earlier = [], np.zeros((n, 0))
-    for y in truths:
+        y = (toxic & holds.get(category, True)).astype(float)
         models.append(fit(x, earlier, y))
-        out = np.zeros(n)
+        out = np.zeros(len(y))
         for fold in range(FOLDS):
             held = folds == fold
             model = fit(x.rows(~held), earlier[~held], y[~held])
             out[held] = logits(model, x.rows(held), earlier[held])
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(vocabulary[chosen], models)
+    return Chain(vocabulary, models)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most=LABELLED) -> Chain | None:
-    """Fit the chain to a bounded sample of the labelled documents."""
-    known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+def learn(docs: DataFrame, labels: DataFrame, most=LABELLED, words=WORDS) -> Chain | None:
+    """Fit the chain to a bounded sample of the labelled documents; only their chosen words reach the driver."""
+    sample = labelled(docs, labels, most)
+    documents, toxic = sample.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
+    if not 0 < toxic < documents:
+        return None
+    vocabulary = telling_words(sample, documents, toxic, words)
+    if not len(vocabulary):
+        return None
+    seeds = {category: seed_prints(text) for category, text in SEEDS.items()}
 
     def run(batches):
         for batch in batches:
             for first, offsets, data in slices(batch.column(2)):
-                each, owner = distinct(*words_of(offsets, data))
-                ends = np.searchsorted(owner, np.arange(len(offsets))).astype(np.int32)
-                part = batch.slice(first, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(each.view(np.int64)))],
-                                                 names=["doc_id", "toxic", "words"])
-
-    # the sample is bounded, so it may go to every task
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    found = map_batches(joined, run, "doc_id bigint, toxic int, words array<bigint>").toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    words = found["words"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
-    ends, flat = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
-    bags = [flat[ends[i]:ends[i + 1]] for i in order]
-    return train(bags, found["toxic"].to_numpy()[order] == 1, found["doc_id"].to_numpy()[order] // 7 % FOLDS)
+                n = len(offsets) - 1
+                each, owner = words_of(offsets, data)
+                flags = [pa.array(np.bincount(owner[np.isin(each, s)], minlength=n) > 0) for s in seeds.values()]
+                at = np.minimum(np.searchsorted(vocabulary, each), len(vocabulary) - 1)
+                known = vocabulary[at] == each
+                column, row = distinct(at[known], owner[known])
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(first, n) for k in (0, 1)],
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(column.astype(np.int32))), *flags],
+                                                 names=["doc_id", "toxic", "columns", *seeds])
+
+    found = map_batches(sample, run, "doc_id bigint, toxic boolean, columns array<int>, " + ", ".join(f"{c} boolean" for c in seeds)).toArrow()
+    found = found.sort_by("doc_id").combine_chunks()
+    lists = found["columns"].combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    x = Words(owner, lists.flatten().to_numpy(), documents, len(vocabulary))
+    truth = lambda name: found[name].to_numpy().astype(bool)
+    return train(x, {c: truth(c) for c in seeds}, truth("toxic"), found["doc_id"].to_numpy() // 7 % FOLDS, vocabulary)
 
 
 def predict(docs: DataFrame, chain: Chain | None) -> DataFrame:

@@ -97,7 +97,7 @@ def test_toxicity_of_odd_rows(spark, docs, odd):
     assert toxicity.learn(table, labels) is None  # both labelled documents are toxic
     assert toxicity.clean(table, labels).columns == table.columns
     assert toxicity.clean(table, labels).count() == len(odd)
-    chain = toxicity.learn(table, labels.unionByName(spark.createDataFrame([(6, 0, 0), (7, 0, 0), (8, 0, 0)], "doc_id bigint, quality int, toxic int")))
+    chain = toxicity.learn(table, labels.unionByName(spark.createDataFrame([(5, 0, 1), (9, 0, 0), (6, 0, 0), (7, 0, 0), (8, 0, 0)], "doc_id bigint, quality int, toxic int")))
     got = toxicity.predict(table, chain).select("row.doc_id", "p_toxic", "toxic").collect()
     assert len(got) == len(odd) and all((r.p_toxic, r.toxic) == (0, False) for r in got if r.doc_id in (1, 2, 3))
 
