@@ -144,3 +144,20 @@ AUDIT_ORIGINAL_MARKS = [
     ".HEVC", ".H.265", ".H265", ".x265", ".x.265", ".AVC", ".H.264",
     ".H264", ".x264", ".MPEG2", ".MPEG-2", ".VC1", ".VC-1", ".VP9",
 ]
+
+# patterns of names; WHITE_SPACE, with (?U), is Unicode white space plus the four separators
+NOT_WORD_BEFORE = "(?<![A-Za-z0-9])"
+NOT_WORD_AFTER = "(?![A-Za-z0-9])"
+WHITE_SPACE = r"[\s\x1c-\x1f]"
+NAMES_HDR = NOT_WORD_BEFORE + r"HDR(?:10|2000)?(?![A-Za-z0-9+])"
+SEPARATOR_STEPS = [
+    (r"\.{2,}", "."),
+    (WHITE_SPACE + "{2,}", " "),
+    (r"\[" + WHITE_SPACE + r"*\]", ""),
+    (r"\(" + WHITE_SPACE + r"*\)", ""),
+    (WHITE_SPACE + r"+\.|\." + WHITE_SPACE + "+", "."),
+    (WHITE_SPACE + "+-|-" + WHITE_SPACE + "+", "-"),
+    (r"\.-|-\.", "-"),
+    (NOT_WORD_BEFORE + r"\+" + NOT_WORD_AFTER, ""),
+    (r"\.{2,}", "."),
+]

@@ -5,9 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import fixed
 from .let import let
 
-_NOT_WORD_BEFORE = "(?<![A-Za-z0-9])"
-_NOT_WORD_AFTER = "(?![A-Za-z0-9])"
-_WS = r"[\s\x1c-\x1f]"  # with (?U): Unicode white space plus the four separators
+_NOT_WORD_BEFORE, _NOT_WORD_AFTER, _WS = fixed.NOT_WORD_BEFORE, fixed.NOT_WORD_AFTER, fixed.WHITE_SPACE
 
 
 def _token_regex(tokens, flags="(?iu)"):
@@ -46,7 +44,7 @@ def substitute_hdr_tokens(stem: Column, codec: str) -> Column:
     if not tokens:
         return stem
     any_lost = _token_regex(tokens)
-    named = stem.rlike("(?iu)" + _NOT_WORD_BEFORE + r"HDR(?:10|2000)?(?![A-Za-z0-9+])")
+    named = stem.rlike("(?iu)" + fixed.NAMES_HDR)
     first = F.regexp_replace(
         stem, "(?ius)^(.*?)" + _token_regex(tokens, flags=""), "$1HDR10")
     rest = F.regexp_replace(F.when(named, stem).otherwise(first), any_lost, "")
@@ -54,20 +52,9 @@ def substitute_hdr_tokens(stem: Column, codec: str) -> Column:
 
 
 def cleanup_separators(stem: Column) -> Column:
-    steps = [
-        (r"\.{2,}", "."),
-        (_WS + "{2,}", " "),
-        (r"\[" + _WS + r"*\]", ""),
-        (r"\(" + _WS + r"*\)", ""),
-        (_WS + r"+\.|\." + _WS + "+", "."),
-        (_WS + "+-|-" + _WS + "+", "-"),
-        (r"\.-|-\.", "-"),
-        (_NOT_WORD_BEFORE + r"\+" + _NOT_WORD_AFTER, ""),
-        (r"\.{2,}", "."),
-    ]
     def clean(s):
         out = s
-        for pattern, repl in steps:
+        for pattern, repl in fixed.SEPARATOR_STEPS:
             out = F.regexp_replace(out, "(?U)" + pattern, repl)
         # most stems hold nothing that any step looks for: one test settles those
         needed = s.rlike(r"(?U)\.\.|\.-|-\.|[\[(+]|" + _WS + r"[\s\x1c-\x1f.-]|[.-]" + _WS)

@@ -35,8 +35,18 @@ def probe_delta(listing: DataFrame, probes: DataFrame, force=False) -> DataFrame
 
 
 def probe_upsert(probes: DataFrame, fresh: DataFrame, version=("last_probed_at", "mtime", "size")) -> DataFrame:
-    """Latest row per path."""
-    return latest_per_key(probes.unionByName(fresh), ["path"], list(version))
+    """Latest row per path.
+
+    probes holds one row per path. Only the delta is reduced to its latest rows; of the table, rows whose path the delta
+    doesn't touch pass through an anti-join, and only the others are compared.
+    """
+    newest = latest_per_key(fresh, ["path"], list(version))
+    order = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in version])
+    # an older row that comes late loses to the one that is there
+    beaten = (newest.select("path", *version).alias("n").join(probes.select("path", *version).alias("p"), F.col("n.path") == F.col("p.path"))
+              .filter(order("p") > order("n")).select(F.col("n.path").alias("path")))
+    wins = newest.join(beaten, "path", "left_anti")
+    return probes.join(wins.select("path"), "path", "left_anti").unionByName(wins.select(*probes.columns))
 
 
 def skip_rows(small: DataFrame, seen_at) -> DataFrame:
@@ -77,10 +87,6 @@ def stale_prune(table: DataFrame, listing: DataFrame) -> DataFrame:
     return table.join(listing.select("path").distinct(), "path", "left_semi")
 
 
-def stale_rows(table: DataFrame, listing: DataFrame) -> DataFrame:
-    return table.join(listing.select("path"), "path", "left_anti")
-
-
 def scan_summary(listing, probes, probe_errors=None, min_size=fixed.MIN_PROBE_SIZE_BYTES,
                  force=False) -> DataFrame:
     """Counts of one scan in a single aggregation over the listing.

@@ -8,22 +8,31 @@ from .hotkeys import latest_per_key
 OUTCOME = ["status", "output_path", "actual_savings_mb", "error"]
 
 
-def mark_decision(decisions: DataFrame, updates: DataFrame):
-    """(ledger with outcomes set, rejected updates).
+def marked(decisions: DataFrame, updates: DataFrame) -> DataFrame:
+    """The ledger with outcomes set, and rejected updates, in one table: `rejected` tells them apart.
 
-    updates: id, expected_path (null skips the check), status, output_path,
-    actual_savings_mb, error, run_id (null keeps the row's), at most one per id.
-    An update whose id is unknown or whose path differs changes nothing.
+    updates: id, expected_path (null skips the check), status, output_path, actual_savings_mb, error, run_id (null keeps
+    the row's), at most one per id. An update whose id is unknown or whose path differs changes nothing. Ids are unique
+    in the ledger; where they come from a hash, give expected_path.
     """
     u = updates.withColumnsRenamed({c: "__" + c for c in updates.columns})
-    same = (F.col("id") == F.col("__id")) & (
-        F.col("__expected_path").isNull() | (F.col("__expected_path") == F.col("path")))
-    hit = F.col("__id").isNotNull()
+    known, asked = F.col("path").isNotNull(), F.col("__id").isNotNull()
+    hit = known & asked & (F.col("__expected_path").isNull() | (F.col("__expected_path") == F.col("path")))
     changed = {c: F.when(hit, F.col("__" + c)).otherwise(F.col(c)) for c in OUTCOME}
-    changed["run_id"] = F.coalesce("__run_id", "run_id")
-    done = decisions.join(u, same, "left").select(
-        *[changed.get(c, F.col(c)).alias(c) for c in decisions.columns])
-    return done, _rejected(decisions, updates)
+    changed["run_id"] = F.when(hit, F.coalesce("__run_id", "run_id")).otherwise(F.col("run_id"))
+    kinds = dict(decisions.dtypes)
+    done = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in decisions.columns], F.lit(False).alias("rejected"))
+    given = {c: F.col("__" + c) for c in updates.columns} | {"path": F.col("__expected_path")}
+    no = F.struct(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in decisions.columns], F.lit(True).alias("rejected"))
+    rows = decisions.join(u, F.col("id") == F.col("__id"), "full")
+    return rows.select(F.inline(F.array_compact(F.array(F.when(known, done), F.when(asked & ~hit, no)))))
+
+
+def mark_decision(decisions: DataFrame, updates: DataFrame):
+    """(ledger with outcomes set, rejected updates); see `marked`, which gives both at once."""
+    both = marked(decisions, updates)
+    return (both.filter(~F.col("rejected")).drop("rejected"),
+            both.filter("rejected").select("id", F.col("path").alias("expected_path"), *OUTCOME, "run_id"))
 
 
 def _rejected(decisions, updates):
@@ -60,6 +69,8 @@ def run_lifecycle(events: DataFrame) -> DataFrame:
     start, end = F.col("event") == "start", F.col("event") == "end"
     return events.groupBy("run_id").agg(
         F.max(F.when(start, F.col("kind"))).alias("kind"),
+        F.max(F.when(start, F.col("root"))).alias("root"),
+        F.max_by("args", F.when(start, F.col("at"))).alias("args"),
         F.min(F.when(start, F.col("at"))).alias("started_at"),
         F.max(F.when(end, F.col("at"))).alias("ended_at"),
         F.max_by("summary", F.when(end, F.col("at"))).alias("summary"))

@@ -143,9 +143,9 @@ def pending_replace(decisions: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def rank_queue(decisions: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pending rows, largest projected savings first; path breaks ties."""
+    """Pending rows, largest projected savings first; path, then id break ties."""
     ranked = (decisions.filter(F.col("status") == "pending")
-              .orderBy(F.coalesce("projected_savings_mb", F.lit(0.0)).desc(), "path"))
+              .orderBy(F.coalesce("projected_savings_mb", F.lit(0.0)).desc(), "path", "id"))
     return ranked.limit(limit) if limit else ranked
 
 

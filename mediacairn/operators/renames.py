@@ -1,9 +1,12 @@
 """Output names, rename plans and recycle destinations, set-based."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, naming, paths as p
 from ..functions.let import once
+from ..session import shared_dir
 from .hotkeys import running
 
 
@@ -87,13 +90,15 @@ _SLOT_CHUNK = 65536
 def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
                         source_root: str | None = None, turn="turn",
                         turn_chunk=1000000) -> DataFrame:
-    """Add `destination`: a free name under the recycle root for every source.
+    """Add `destination`: a free name under the recycle root for every source, no name twice.
 
-    Sources that want one name take its free slots in `turn` order (path breaks
-    ties): the name itself, then `_recycled1`, `_recycled2`, ... Slots already
-    in the listing are passed over. Ranks are running counts over chunks, so a
-    name wanted by very many sources is no problem.
+    Sources that want one name take its free slots in `turn` order (path breaks ties): the name itself, then
+    `_recycled1`, `_recycled2`, ... Slots already in the listing are passed over, and so is a slot that an earlier turn
+    has taken as its own plain name, or the other way round: after each round, of two sources with one destination the
+    later one's name counts that slot as held and is planned again. Ranks are running counts over chunks, so a name
+    wanted by very many sources is no problem.
     """
+    folder = f"{shared_dir(sources.sparkSession)}/recycle-{uuid.uuid4().hex}"
     base = recycle_to.rstrip("/")
     plain = F.concat(F.lit(base + "/"), p.file_name(F.col("path")))
     if source_root is not None:
@@ -103,37 +108,50 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
     rows = (sources.withColumn("__want", plain)
             .withColumn("__chunk", F.floor(F.col(turn) / turn_chunk)))
     rows = running(rows, ["__want"], "__chunk", [turn, "path"], row_number="__r")
-    rows = rows.withColumn("__r", F.col("__r") - 1)
+    # the source row rides along, so nothing is joined back
+    rows = _stored(rows.select("__want", (F.col("__r") - 1).alias("__v"), F.struct(*sources.columns).alias("__row")), f"{folder}/asks")
 
     # taken slots of every wanted name: slot 0 is the name itself
     held = p.with_path_parts(listing.select("path"))
-    number = F.regexp_extract("stem", r"(?s)^.+_recycled([1-9]\d{0,17})$", 1)
-    root = F.regexp_replace("stem", r"(?s)_recycled[1-9]\d{0,17}$", "")
+    number = F.regexp_extract("stem", r"(?s)^.+_recycled([1-9]\d*)$", 1)
+    root = F.regexp_replace("stem", r"(?s)_recycled[1-9]\d*$", "")
     taken = held.select(F.col("path").alias("__name"), F.lit(0).cast("long").alias("__slot")).unionByName(
-        held.filter(number != "").select(
-            p.join_path(F.col("dir"), F.concat(root, F.col("suffix"))).alias("__name"),
-            number.cast("long").alias("__slot")))
+        held.select(p.join_path(F.col("dir"), F.concat(root, F.col("suffix"))).alias("__name"),
+                    number.try_cast("long").alias("__slot")).filter("__slot IS NOT NULL"))
     wanted = rows.select(F.col("__want").alias("__name")).distinct()
-    taken = taken.join(wanted, "__name", "left_semi").distinct().withColumn(
-        "__chunk", F.floor(F.col("__slot") / _SLOT_CHUNK))
+    taken = _stored(taken.join(wanted, "__name", "left_semi").distinct(), f"{folder}/held")
+    turn_of = F.struct(F.col(f"__row.{turn}").alias("t"), F.col("__row.path").alias("p"))
+    n = 0
+    while True:
+        # only numbered slots and plain names that look like one can meet
+        plan = _stored(_placed(rows, taken), f"{folder}/plan{n}")
+        first = plan.groupBy("destination").agg(F.count(F.lit(1)).alias("claims"), F.min(turn_of).alias("first")).filter("claims > 1")
+        lost = plan.join(first, "destination").filter(turn_of > F.col("first")).select(F.col("__want").alias("__name"), F.col("__v").alias("__slot"))
+        lost = _stored(lost.distinct(), f"{folder}/lost{n}")
+        if lost.isEmpty():
+            return plan.select("__row.*", F.col("__v").alias("slot"), "destination")
+        taken, n = taken.unionByName(lost), n + 1
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _placed(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """Asks of rank __v per __want -> the slot that each one gets, and its name."""
+    taken = taken.withColumn("__chunk", F.floor(F.col("__slot") / _SLOT_CHUNK))
     taken = running(taken, ["__name"], "__chunk", ["__slot"], row_number="__j")
-    # free slots below a taken one; rank r lands at r + (taken with that many or fewer)
-    gaps = taken.select("__name", (F.col("__slot") - F.col("__j") + 1).alias("__v"),
-                        F.lit(0).alias("__kind"), F.lit(1).alias("__one"))
-    # the source row rides along, so nothing is joined back
-    asks = rows.select(F.col("__want").alias("__name"), F.col("__r").alias("__v"),
-                       F.lit(1).alias("__kind"), F.lit(0).alias("__one"),
-                       F.struct(*sources.columns).alias("__row"))
-    both = gaps.unionByName(asks, allowMissingColumns=True).withColumn(
-        "__chunk", F.floor(F.col("__v") / _SLOT_CHUNK))
-    # gaps of one value and ranks are each unique or interchangeable in this order
+    # free slots below a taken one; rank r lands at r + (taken with that many or fewer). Held slots are mostly
+    # contiguous and then share one value, so they are counted before they move
+    gaps = taken.groupBy("__name", (F.col("__slot") - F.col("__j") + 1).alias("__v")).agg(F.count(F.lit(1)).alias("__one"))
+    gaps = gaps.withColumn("__kind", F.lit(0))
+    asks = rows.select(F.col("__want").alias("__name"), "__v", F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__one"), "__row")
+    both = gaps.unionByName(asks, allowMissingColumns=True).withColumn("__chunk", F.floor(F.col("__v") / _SLOT_CHUNK))
     both = running(both, ["__name"], "__chunk", ["__v", "__kind"], sums={"__skip": "__one"})
     out = both.filter("__kind = 1").select(
-        F.col("__name").alias("__want"), "__row.*",
-        (F.col("__v") + F.coalesce("__skip", F.lit(0))).alias("slot"))
-    name = p.file_name(F.col("__want"))
-    ext = p.suffix(name)
+        F.col("__name").alias("__want"), "__row", (F.col("__v") + F.coalesce("__skip", F.lit(0))).alias("__v"))
+    ext = p.suffix(p.file_name(F.col("__want")))
     numbered = F.concat(F.substring(F.col("__want"), F.lit(1), F.length("__want") - F.length(ext)),
-                        F.lit("_recycled"), F.col("slot").cast("string"), ext)
-    return (out.withColumn("destination", F.when(F.col("slot") == 0, F.col("__want")).otherwise(numbered))
-            .drop("__want"))
+                        F.lit("_recycled"), F.col("__v").cast("string"), ext)
+    return out.withColumn("destination", F.when(F.col("__v") == 0, F.col("__want")).otherwise(numbered))

@@ -110,10 +110,9 @@ def _normal(t):
 SELECT path, CASE WHEN k % 37 = 0 THEN 'not json' WHEN k % 41 = 0 THEN 'no video stream' ELSE 'ok' END AS outcome,
   CASE WHEN k % 37 <> 0 AND k % 41 <> 0 THEN 1 + k % 6 + least(k % 4, 3) END AS n_streams FROM fx_doc_files""")
 def read_probe_json(t):
-    good, bad = _docs(t)
-    return good.select("path", F.lit("ok").alias("outcome"),
-                       F.size("streams").cast("long").alias("n_streams")).unionByName(
-        bad.select("path", F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("n_streams")))
+    tagged = pj.tag_probe_errors(pj.parse_probe_text(t.probe_docs()))
+    return tagged.select("path", F.coalesce("reason", F.lit("ok")).alias("outcome"),
+                         F.when(F.col("reason").isNull(), F.size("streams").cast("long")).alias("n_streams"))
 
 
 def _probe_column(name, expr, pick):
@@ -169,13 +168,10 @@ SELECT path, {SIZE} AS size, video_codec, CAST(k % 6 AS INTEGER) AS n_audio, CAS
 FROM fx_doc_files WHERE {GOOD}""")
 def probe_roundtrip(t):
     """Probes to JSON text and back; `same` compares the text of both."""
-    once = pj.probes_to_json(_normal(t))
-    back = pj.probes_from_json(once)
-    again = back.withColumn("again", F.to_json(F.struct(*back.columns)))
-    return (again.join(once.withColumnRenamed("path", "__p"), F.col("path") == F.col("__p"))
-            .select("path", "size", "video_codec", F.size("audio_tracks").alias("n_audio"),
-                    F.unix_seconds("creation_time").alias("created_s"),
-                    (F.col("again") == F.col("probe_json")).alias("same")))
+    rows = pj.probes_from_json(pj.probes_to_json(_normal(t)), keep=["probe_json"])
+    again = F.to_json(F.struct(*[c for c in rows.columns if c != "probe_json"]))
+    return rows.select("path", "size", "video_codec", F.size("audio_tracks").alias("n_audio"),
+                       F.unix_seconds("creation_time").alias("created_s"), (again == F.col("probe_json")).alias("same"))
 
 
 @query("resolution_class", "fx_probes", """

@@ -17,6 +17,8 @@ SELECT k, concat(dir, '/', name) AS path, dir, name, video_codec, height, contai
   CASE WHEN duration_i = 0 THEN CAST(0 AS BIGINT)
        ELSE CAST(floor(size * 8 / duration_i) AS BIGINT) END AS video_bitrate,
   CASE WHEN height >= 1440 AND k % 3 = 0 THEN TRUE ELSE FALSE END AS is_hdr,
+  CASE WHEN height >= 1440 AND k % 3 = 0 THEN CASE k % 2 WHEN 0 THEN 'smpte2084' ELSE 'arib-std-b67' END END AS color_transfer,
+  CASE WHEN height >= 1440 AND k % 5 < 4 THEN 'bt2020' END AS color_primaries,
   CASE WHEN height >= 1440 AND k % 13 = 0 THEN 5 WHEN height >= 1440 AND k % 13 = 1 THEN 7
        WHEN height >= 1440 AND k % 13 = 2 THEN 8 END AS dv_profile,
   CAST(k % 1000 AS DOUBLE) AS mtime, st, prio
@@ -189,7 +191,7 @@ SELECT encode_id, t_s, seq * 5 + i AS seq, CASE i
 FROM {fx_progress} p CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n
 """
 
-GIVEN = ["orders", "lineitem", "events", "customer", "part"]
+GIVEN = ["orders", "lineitem", "events"]
 
 
 def _needs(text):
@@ -215,25 +217,21 @@ def with_clause(*names) -> str:
 class Tables:
     """Projections over one data folder, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, sf_dir: str, **instead):
+        self.spark, self.dir, self.instead = spark, sf_dir.rstrip("/"), instead
+
+    def over(self, **instead) -> "Tables":
+        """The same projections with other tables, or streams, in place of given ones."""
+        return Tables(self.spark, self.dir, **instead)
 
     def given(self, name) -> DataFrame:
+        if name in self.instead:
+            return self.instead[name]
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def spread(self, name) -> DataFrame:
-        """A given table over all cores, for work that is heavy per row.
-
-        Only a table that reads as fewer partitions than there are cores (one
-        small file, say) is dealt out again; a large one already is spread.
-        """
-        df = self.given(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def get(self, name) -> DataFrame:
         if name in GIVEN:
-            return self.spread(name) if name == "orders" else self.given(name)
+            return self.given(name)
         special = getattr(self, "_" + name, None)
         if special is not None:
             return special()

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed, outcomes as oc
+from ..functions.probe import normalize
 from ..operators import audit as au, ledger as lg, progress as pg
 from ..session import shared_dir
 from ..sources import reports
@@ -48,10 +49,8 @@ HIT = "(u.expected_path IS NULL OR u.expected_path = d.path)"
 UNION ALL SELECT u.id, u.status, u.output_path, u.actual_savings_mb, u.run_id, TRUE FROM u
 WHERE NOT EXISTS (SELECT 1 FROM fx_decisions d WHERE d.id = u.id AND {HIT})""")
 def mark_decision(t):
-    done, rejected = lg.mark_decision(_ledger(t), _updates(t))
-    cols = ["id", "status", "output_path", "actual_savings_mb", "run_id"]
-    return done.select(*cols, F.lit(False).alias("rejected")).unionByName(
-        rejected.select(*cols, F.lit(True).alias("rejected")))
+    return lg.marked(_ledger(t), _updates(t)).select(
+        "id", "status", "output_path", "actual_savings_mb", "run_id", "rejected")
 
 
 @query("stamp_run", D, f"""
@@ -94,18 +93,21 @@ def recent_runs(t):
 
 
 @query("run_lifecycle", "fx_runs", """
-SELECT run_id, 'apply' AS kind, started_at, CASE WHEN run_id % 4 <> 0 THEN ended_at END AS ended_at,
+SELECT run_id, 'apply' AS kind, concat('/lib', run_id % 4) AS root, CAST(run_id AS VARCHAR) AS arg_limit, started_at, CASE WHEN run_id % 4 <> 0 THEN ended_at END AS ended_at,
   CASE WHEN run_id % 4 <> 0 THEN applied END AS applied FROM fx_runs""")
 def run_lifecycle(t):
     """Start and end events to one row per run; every fourth run never ended."""
-    none = F.lit(None).cast("map<string,bigint>")
+    none, text = F.lit(None).cast("map<string,bigint>"), F.lit(None).cast("string")
+    run_id = F.col("run_id").cast("string")
     start = _runs(t).select("run_id", F.lit("start").alias("event"), F.lit("apply").alias("kind"),
-                            F.col("started_at").alias("at"), none.alias("summary"))
+                            F.col("started_at").alias("at"), none.alias("summary"),
+                            F.concat(F.lit("/lib"), F.col("run_id") % 4).alias("root"), F.create_map(F.lit("limit"), run_id).alias("args"))
     ends = F.when(F.col("run_id") % 4 == 0, "lost").otherwise("end")
     end = _runs(t).select("run_id", ends.alias("event"), F.lit(None).cast("string").alias("kind"),
-                          F.col("ended_at").alias("at"), F.create_map(F.lit("applied"), "applied").alias("summary"))
+                          F.col("ended_at").alias("at"), F.create_map(F.lit("applied"), "applied").alias("summary"),
+                          text.alias("root"), F.lit(None).cast("map<string,string>").alias("args"))
     rows = lg.run_lifecycle(start.unionByName(end))
-    return rows.select("run_id", "kind", "started_at", "ended_at",
+    return rows.select("run_id", "kind", "root", F.col("args")["limit"].alias("arg_limit"), "started_at", "ended_at",
                        F.col("summary")["applied"].alias("applied"))
 
 
@@ -402,7 +404,27 @@ def incremental_scan_stream(t):
     return jobs.latest_over_events(t.spark, t.dir)
 
 
-@query("stall_watchdog_stream")
+@query("probe_scan_stream", "fx_doc_files", """
+SELECT path, CASE WHEN k % 37 = 0 THEN 'not json' WHEN k % 41 = 0 THEN 'no video stream' ELSE 'ok' END AS outcome,
+  CASE WHEN k % 37 <> 0 AND k % 41 <> 0 THEN video_codec END AS video_codec FROM fx_doc_files""")
+def probe_scan_stream(t):
+    """Probe documents as a stream, parsed, normalised and latest-wins; bad ones on the error side."""
+    rows = jobs.probes_over_documents(t.spark, lambda feed: t.over(orders=feed).probe_docs(), t.given("orders"))
+    good = normalize(rows.filter("reason IS NULL").drop("reason", "corrupt")).select("path", F.lit("ok").alias("outcome"), "video_codec")
+    return good.unionByName(rows.filter("reason IS NOT NULL").select("path", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("video_codec")))
+
+
+@query("stall_watchdog_stream", "", """
+WITH l AS (SELECT user_id AS encode_id, epoch_us(ts) // 1000 AS t, event_type <> 'error' AS adv FROM events),
+s AS (SELECT encode_id, min(t) AS start_ms, max(t) AS last FROM l GROUP BY 1),
+a AS (SELECT encode_id, t FROM l WHERE adv UNION SELECT encode_id, start_ms FROM s),
+g AS (SELECT encode_id, t, lead(t) OVER (PARTITION BY encode_id ORDER BY t) AS nxt FROM a),
+st AS (SELECT encode_id, min(t) + 300000 AS stall FROM g WHERE nxt IS NULL OR nxt - t > 300000 GROUP BY 1),
+d AS (SELECT s.encode_id, last, stall, CASE WHEN s.encode_id % 5 = 0 THEN start_ms + 200000 ELSE stall END AS lim FROM s JOIN st ON st.encode_id = s.encode_id),
+x AS (SELECT encode_id, last, CASE WHEN lim < stall THEN 'timeout' ELSE 'stall' END AS alarm, least(lim, stall) AS at_ms FROM d)
+SELECT x.encode_id, any_value(alarm) AS alarm, any_value(at_ms) AS at_ms, max(a.t) AS anchor_ms
+FROM x JOIN a ON a.encode_id = x.encode_id AND a.t <= x.at_ms
+WHERE at_ms < last OR at_ms < (SELECT max(t) - 600000 FROM l) GROUP BY x.encode_id""")
 def stall_watchdog_stream(t):
-    """Timer-driven alarms over the event feed; no SQL form."""
+    """Alarms of stalled and slow encodes over the event feed."""
     return jobs.watch_over_events(t.spark, t.dir)

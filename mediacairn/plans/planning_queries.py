@@ -184,10 +184,11 @@ for _name, _mb in RULE_MB.items():
 
 
 @query("rule_hdr_advisory", "fx_probes",
-       "SELECT path, 'hdr_advisory' AS rule, 'medium' AS severity, CAST(NULL AS DOUBLE) AS savings_mb FROM fx_probes WHERE is_hdr")
+       "SELECT path, 'hdr_advisory' AS rule, 'medium' AS severity, CAST(NULL AS DOUBLE) AS savings_mb, color_transfer, color_primaries FROM fx_probes WHERE is_hdr")
 def rule_hdr_advisory(t):
     rows = r.evaluate_rules(t.probes(), ["hdr_advisory"]).select("path", F.explode("fired").alias("v"))
-    return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"))
+    notes = [F.col("v.notes")[c].alias(c) for c in ("color_transfer", "color_primaries")]
+    return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"), *notes)
 
 
 @query("evaluate_rules", "fx_probes", f"SELECT path, {ALL_FIRED} AS fired FROM fx_probes")
@@ -237,10 +238,7 @@ WHERE d.status = 'pending' AND p.height BETWEEN 720 AND 1439
 ORDER BY coalesce(d.projected_savings_mb, 0) DESC, d.path, d.id LIMIT 50""")
 def apply_queue(t):
     """Band filter before the limit, so the limit counts files in the band."""
-    band = pl.height_band(t.get("fx_decisions"), t.probes(), 720, 1439)
-    return (band.filter("status = 'pending'")
-            .orderBy(F.coalesce("projected_savings_mb", F.lit(0)).desc(), "path", "id").limit(50)
-            .select("id", "path", "projected_savings_mb"))
+    return pl.apply_queue(t.get("fx_decisions"), t.probes(), 720, 1439, 50).select("id", "path", "projected_savings_mb")
 
 
 @query("plan_summary", GATE_NEEDS, f"""
@@ -270,11 +268,10 @@ SELECT path, CASE WHEN height >= 1440 THEN 'UHD' WHEN height >= 720 THEN 'HD' EL
   CASE WHEN height >= 1440 THEN NULL WHEN height >= 720 THEN 1439 ELSE 719 END AS max_height, height >= 1440 AS hw_decode,
   18 AS film_quality FROM fx_probes""")
 def preset_resolve(t):
-    rows = pl.preset_resolve(t.probes())
-    film = pl.preset_resolve(t.probes(), film=True, quality=18)
-    return (rows.select("path", "preset", "quality", "encoder_preset", "keep_langs", "min_height",
-                        "max_height", "hw_decode")
-            .join(film.select("path", F.col("quality").alias("film_quality")), "path"))
+    columns = ["preset", "quality", "encoder_preset", "keep_langs", "min_height", "max_height", "hw_decode"]
+    rows = pl.preset_resolve(t.probes()).withColumn("plain", F.struct(*columns))
+    film = pl.preset_resolve(rows.drop(*columns), film=True, quality=18)
+    return film.select("path", "plain.*", F.col("quality").alias("film_quality"))
 
 
 @query("tier_time_estimate", "fx_probes fx_decisions", """

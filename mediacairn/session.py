@@ -12,6 +12,8 @@ def local_session(cores="8", shuffle_partitions=8) -> SparkSession:
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
+            # small files over all cores, by splits and not by a shuffle
+            .config("spark.sql.files.maxPartitionBytes", "1m").config("spark.sql.files.openCostInBytes", "64k")
             .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")

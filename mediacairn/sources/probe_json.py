@@ -1,18 +1,11 @@
 """Probe documents as JSON: reading, error side, round trip."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import probe as pr
 
 
-def read_probe_files(spark: SparkSession, where: str) -> DataFrame:
-    """JSON-lines files of {path, stat_size, mtime, format, streams}; a bad line is kept."""
-    return (spark.read.schema("path string, stat_size bigint, mtime double, "
-                              + schemas.PROBE_DOC + ", corrupt string")
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(where))
-
-
 def parse_probe_text(df: DataFrame, doc="doc") -> DataFrame:
     """Replace the JSON text column by format, streams and corrupt (text when bad)."""
     parsed = F.from_json(F.col(doc), schemas.PROBE_DOC + ", corrupt string", {
@@ -33,8 +26,8 @@ def _bad_number(text, kind):
     return text.isNotNull() & (text != "") & text.try_cast(kind).isNull()
 
 
-def split_probe_errors(docs: DataFrame):
-    """(good documents, errors with a reason). Nothing fails the job."""
+def tag_probe_errors(docs: DataFrame) -> DataFrame:
+    """Add `reason`, null for good documents. Nothing fails the job."""
     video = pr.primary_video(F.col("streams"))
     fmt = F.col("format")
     reason = (F.when(F.col("corrupt").isNotNull(), "not json")
@@ -43,7 +36,12 @@ def split_probe_errors(docs: DataFrame):
               .when(_bad_number(fmt["size"], "bigint"), "bad number")
               .when(_bad_number(video["width"], "int"), "bad number")
               .when(_bad_number(video["height"], "int"), "bad number"))
-    tagged = docs.withColumn("reason", reason)
+    return docs.withColumn("reason", reason)
+
+
+def split_probe_errors(docs: DataFrame):
+    """(good documents, errors with a reason). Readers of both sides store the tagged table first."""
+    tagged = tag_probe_errors(docs)
     good = tagged.filter(F.col("reason").isNull()).drop("reason", "corrupt")
     return good, tagged.filter(F.col("reason").isNotNull()).drop("format", "streams", "corrupt")
 
@@ -54,9 +52,9 @@ def probes_to_json(probes: DataFrame) -> DataFrame:
         c for c in probes.columns if c != "last_probed_at"])).alias("probe_json"))
 
 
-def probes_from_json(texts: DataFrame) -> DataFrame:
-    """Inverse. Fields absent from older text come back null, lists empty."""
-    rows = texts.select(_parse_once(F.from_json("probe_json", schemas.PROBE)))
+def probes_from_json(texts: DataFrame, keep=()) -> DataFrame:
+    """Inverse. Fields absent from older text come back null, lists empty. keep: columns to carry along."""
+    rows = texts.select(*keep, _parse_once(F.from_json("probe_json", schemas.PROBE)))
     for c in ("audio_tracks", "subtitle_tracks"):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
     return rows

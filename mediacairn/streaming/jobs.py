@@ -16,7 +16,7 @@ DONE = {"availableNow": True}
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "events.parquet").parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -61,14 +61,28 @@ def windows_over_events(spark, folder) -> DataFrame:
 
 def latest_over_events(spark, folder) -> DataFrame:
     where = _place(spark, "scan")
-    q = scan.start_scan(_events(spark, folder), "ts", ["user_id", "event_id"], where + "/rows",
-                        where + "/state", DONE)
+    q = scan.start_scan(_events(spark, folder), where + "/rows", where + "/state", DONE)
     q.awaitTermination()
     rows = scan.latest(spark, where + "/rows", ["user_id"], ["event_id"])
     return rows.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("last_event"),
                        F.col("event_type").alias("state"))
 
 
+def probes_over_documents(spark, docs_of, orders: DataFrame) -> DataFrame:
+    """Probe documents as a feed in several micro-batches -> newest document per path, good and bad.
+
+    docs_of: titles (a stream) -> probe documents. The feed holds an older version of some paths in its last file.
+    """
+    where = _place(spark, "probes")
+    orders.write.parquet(where + "/feed/0")
+    orders.filter("o_orderkey % 3 = 0").write.parquet(where + "/feed/1")
+    feed = spark.readStream.schema(orders.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(where + "/feed")
+    rows = scan.probe_rows(docs_of(feed))
+    q = scan.start_scan(rows, where + "/rows", where + "/state", DONE)
+    q.awaitTermination()
+    return scan.latest(spark, where + "/rows", ["path"], ["mtime", "stat_size"])
+
+
 def watch_over_events(spark, folder) -> DataFrame:
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
@@ -78,7 +92,7 @@ def watch_over_events(spark, folder) -> DataFrame:
         encodes = spark.read.parquet(f"{folder}/events.parquet").groupBy(
             F.col("user_id").alias("encode_id")).agg(
             F.unix_millis(F.min("ts").cast("timestamp")).alias("start_ms")).select(
-            "encode_id", "start_ms", F.lit(0).cast("bigint").alias("timeout_s"),
+            "encode_id", "start_ms", F.when(F.col("encode_id") % 5 == 0, 200).otherwise(0).cast("bigint").alias("timeout_s"),
             F.lit(6600.0).alias("duration_seconds"), F.lit(70000000).cast("bigint").alias("source_size"))
         return _run(progress.watch(lines, encodes), _place(spark, "watch"))
     finally:

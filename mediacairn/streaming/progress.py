@@ -50,6 +50,11 @@ class EncodeWatch(StatefulProcessor):
         for r in feed.itertuples():
             if done:
                 break
+            # time that was up before this line came: as a timer would have found, however the feed is cut into batches
+            due, kind = self._due(anchor, start, limit)
+            if r.ts_ms > due:
+                alarm, done = (kind, due), True
+                break
             if pd.notna(r.out_seconds):
                 out = float(r.out_seconds)
             if pd.notna(r.frames):
@@ -58,11 +63,7 @@ class EncodeWatch(StatefulProcessor):
                 out = max(out, float(r.duration_seconds or 0.0))
             if out > adv_out or frames > adv_frames:
                 adv_out, adv_frames, anchor = out, frames, int(r.ts_ms)
-            if r.ts_ms - anchor > self.stall_ms:
-                alarm = ("stall", int(r.ts_ms))
-            elif limit > 0 and r.ts_ms - start > limit:
-                alarm = ("timeout", int(r.ts_ms))
-            elif self._overrun(r, out, used):
+            if self._overrun(r, out, used):
                 alarm = ("bloat", int(r.ts_ms))
             used += self._crossed(r, out, used)
             done = alarm is not None or bool(r.ended)
@@ -72,13 +73,15 @@ class EncodeWatch(StatefulProcessor):
         if done:
             self.handle.registerTimer(int(feed.ts_ms.iloc[-1]) + FORGET_MS)
         else:
-            due = anchor + self.stall_ms + 1
-            if limit > 0:
-                due = min(due, start + limit + 1)
-            self.handle.registerTimer(due)
+            self.handle.registerTimer(self._due(anchor, start, limit)[0] + 1)
         if alarm:
             yield self._row(key, alarm[0], alarm[1], anchor)
 
+    def _due(self, anchor, start, limit):
+        """(when the encode's time is up, why)."""
+        stall = anchor + self.stall_ms
+        return (start + limit, "timeout") if 0 < limit and start + limit < stall else (stall, "stall")
+
     def _crossed(self, r, out, used) -> int:
         known = pd.notna(r.duration_seconds) and r.duration_seconds > 0 and pd.notna(r.source_size) and r.source_size > 0
         return int(known and used < len(self.checkpoints)
@@ -97,8 +100,7 @@ class EncodeWatch(StatefulProcessor):
         if done:
             self.state.clear()
             return
-        at = expiredTimerInfo.getExpiryTimeInMs() - 1
-        kind = "stall" if at >= anchor + self.stall_ms else "timeout"
+        at, kind = self._due(anchor, start, limit)
         self.state.update((out, frames, adv_out, adv_frames, anchor, start, limit, used, True))
         self.handle.registerTimer(at + FORGET_MS)
         yield self._row(key, kind, at, anchor)

@@ -1,23 +1,20 @@
 """Incremental scan as a stream: new rows in, latest row per file out."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.hotkeys import latest_per_key
+from ..sources.probe_json import parse_probe_text, tag_probe_errors
 
-WATERMARK = "10 minutes"
 
+def start_scan(rows: DataFrame, where: str, checkpoint: str, trigger):
+    """Store every new row under `where`, one directory per micro-batch.
 
-def start_scan(rows: DataFrame, ts: str, keys, where: str, checkpoint: str, trigger):
-    """Store each new row once under `where`, one directory per micro-batch.
-
-    `keys` say when two rows are the same; a repeat within the watermark is
-    dropped. A batch that is run again overwrites its own directory.
+    The table is read latest-wins, so a row that comes twice does no harm and one that comes late is not lost. A batch
+    that is run again overwrites its own directory.
     """
-    fresh = rows.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark(list(keys))
-
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/batch={epoch}")
-    return (fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
 
 
@@ -27,9 +24,6 @@ def latest(spark: SparkSession, where: str, keys, version) -> DataFrame:
                           list(keys), list(version))
 
 
-def probe_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of probe documents from JSON-lines files landing in `folder`."""
-    from .. import schemas
-    return (spark.readStream.schema("path string, stat_size bigint, mtime double, probed_at timestamp, "
-                                    + schemas.PROBE_DOC).json(folder)
-            .filter(F.col("path").isNotNull()))
+def probe_rows(docs: DataFrame) -> DataFrame:
+    """Parsed probe documents of a stream of texts; bad ones stay, with a reason."""
+    return tag_probe_errors(parse_probe_text(docs))

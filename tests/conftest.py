@@ -22,7 +22,7 @@ def table(spark):
 
 
 PROBE = ("path string, size bigint, mtime double, duration_seconds double, container string, video_codec string, "
-         "height int, video_bitrate bigint, is_hdr boolean, dv_profile int, color_transfer string")
+         "height int, video_bitrate bigint, is_hdr boolean, dv_profile int, color_transfer string, color_primaries string")
 
 
 @pytest.fixture
@@ -31,7 +31,7 @@ def probe(spark):
     def make(*rows):
         base = dict(path="/tmp/x.mkv", size=10_000_000_000, mtime=0.0, duration_seconds=3600.0, container="matroska",
                     video_codec="hevc", height=1080, video_bitrate=20_000_000, is_hdr=False, dv_profile=None,
-                    color_transfer=None)
+                    color_transfer=None, color_primaries=None)
         names = [c.strip().split(" ")[0] for c in PROBE.split(",")]
         return spark.createDataFrame([tuple({**base, **r}[n] for n in names) for r in rows], PROBE)
     return make

@@ -39,11 +39,11 @@ def test_savings_cases(spark):
             fired = F.array().cast("array<struct<projected_savings_mb:double>>")
         df = spark.createDataFrame([(int(size_mb * mb), height, float(seconds))], "size bigint, height int, duration_seconds double")
         return df.select(r.projected_savings(fired).alias("s")).first().s
-    assert saved(23000, [18000, 11000, 5000], 1080, 3600) == pytest.approx(18000)
-    assert saved(30000, [23700], 1080, 2.18 * 3600) == pytest.approx(19100)
-    assert saved(10000, [25000], 1080, 0) == pytest.approx(9500)
-    assert saved(10000, [4000], 0, 3600) == pytest.approx(4000)  # unknown bucket: no likely size
-    assert saved(10000, [], 1080, 3600) == 0
+    assert saved(12000, [6500, 900], 1080, 3600) == pytest.approx(6500)
+    assert saved(12000, [9000, 900], 1080, 3600) == pytest.approx(12000 - 5000)  # no more than the likely size leaves
+    assert saved(8000, [20000], 1080, 0) == pytest.approx(0.95 * 8000)
+    assert saved(6000, [1500], 0, 3600) == pytest.approx(1500)  # unknown bucket: no likely size
+    assert saved(7000, [], 1080, 3600) == 0
 
 
 def test_rules_over_probe(probe):
