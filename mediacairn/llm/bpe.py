@@ -19,7 +19,6 @@ empty table gives an empty result. Texts are never cut; a word of any length is
 import json
 import re
 import unicodedata
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from .common import beside_rows, slices
 
 #: White space by the Unicode property, as the tokenizer's pattern has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -209,10 +208,6 @@ class Encoder:
         return ids, decoded
 
 
-#: The encoder of a Python worker, kept from task to task.
-_encoders: dict = {}
-
-
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Every row of `docs` as `row`, with ids (little-endian 32-bit integers) and decoded.
 
@@ -220,16 +215,12 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
-    token = uuid.uuid4().hex
 
     def start():
-        if token not in _encoders:
-            _encoders.clear()
-            _encoders[token] = Encoder(shared.value)
-        encoder = _encoders[token]
+        encoder = Encoder(shared.value)  # what it remembers goes with the task
 
         def run(texts):
-            for first, offsets, _ in slices(texts):
+            for first, offsets, _ in slices(texts, 2_000_000):
                 n = len(offsets) - 1
                 ids, decoded = encoder([t or "" for t in texts.slice(first, n).to_pylist()])
                 yield n, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]

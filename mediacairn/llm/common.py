@@ -76,7 +76,7 @@ def ascii_lower(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def slices(texts: pa.Array, most=2_000_000):
+def slices(texts: pa.Array, most=500_000):
     """Cut a column of whole texts into (first row, offsets, bytes) with about `most` bytes each.
 
     No text is cut: a longer one is a slice of its own. Nulls count as empty. Offsets start at 0.
