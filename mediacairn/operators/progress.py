@@ -8,6 +8,7 @@ timeout_s. Long feeds are cut into time chunks; see `hotkeys.running`.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
+from ..session import stored
 from .hotkeys import first_rows, running
 
 CHUNK_SECONDS = 3600
@@ -87,7 +88,8 @@ def stall_watchdog(state: DataFrame, encodes: DataFrame, stall_seconds=fixed.STA
 
     Checked when a line arrives, as the feed is read. The clock starts with the encode.
     """
-    rows = (with_advance(state, chunk_seconds)
+    # a running value reads its input twice; a table in between keeps a chain of them from doubling at every link
+    rows = (stored(with_advance(state, chunk_seconds), "advance")
             .withColumn("__chunk", F.floor(F.col("t_s") / chunk_seconds))
             .withColumn("__at", F.when(F.col("advanced"), F.col("t_s"))))
     rows = running(rows, ["encode_id"], "__chunk", ["t_s", "seq"], lasts={"__anchor": "__at"})

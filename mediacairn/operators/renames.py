@@ -1,12 +1,10 @@
 """Output names, rename plans and recycle destinations, set-based."""
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, naming, paths as p
 from ..functions.let import once
-from ..session import shared_dir
+from ..session import stored
 from .hotkeys import running
 
 
@@ -98,7 +96,6 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
     later one's name counts that slot as held and is planned again. Ranks are running counts over chunks, so a name
     wanted by very many sources is no problem.
     """
-    folder = f"{shared_dir(sources.sparkSession)}/recycle-{uuid.uuid4().hex}"
     base = recycle_to.rstrip("/")
     plain = F.concat(F.lit(base + "/"), p.file_name(F.col("path")))
     if source_root is not None:
@@ -109,7 +106,7 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
             .withColumn("__chunk", F.floor(F.col(turn) / turn_chunk)))
     rows = running(rows, ["__want"], "__chunk", [turn, "path"], row_number="__r")
     # the source row rides along, so nothing is joined back
-    rows = _stored(rows.select("__want", (F.col("__r") - 1).alias("__v"), F.struct(*sources.columns).alias("__row")), f"{folder}/asks")
+    rows = stored(rows.select("__want", (F.col("__r") - 1).alias("__v"), F.struct(*sources.columns).alias("__row")), "recycle-asks")
 
     # taken slots of every wanted name: slot 0 is the name itself
     held = p.with_path_parts(listing.select("path"))
@@ -119,23 +116,17 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
         held.select(p.join_path(F.col("dir"), F.concat(root, F.col("suffix"))).alias("__name"),
                     number.try_cast("long").alias("__slot")).filter("__slot IS NOT NULL"))
     wanted = rows.select(F.col("__want").alias("__name")).distinct()
-    taken = _stored(taken.join(wanted, "__name", "left_semi").distinct(), f"{folder}/held")
+    taken = stored(taken.join(wanted, "__name", "left_semi").distinct(), "recycle-held")
     turn_of = F.struct(F.col(f"__row.{turn}").alias("t"), F.col("__row.path").alias("p"))
-    n = 0
     while True:
         # only numbered slots and plain names that look like one can meet
-        plan = _stored(_placed(rows, taken), f"{folder}/plan{n}")
+        plan = stored(_placed(rows, taken), "recycle-plan")
         first = plan.groupBy("destination").agg(F.count(F.lit(1)).alias("claims"), F.min(turn_of).alias("first")).filter("claims > 1")
         lost = plan.join(first, "destination").filter(turn_of > F.col("first")).select(F.col("__want").alias("__name"), F.col("__v").alias("__slot"))
-        lost = _stored(lost.distinct(), f"{folder}/lost{n}")
+        lost = stored(lost.distinct(), "recycle-lost")
         if lost.isEmpty():
             return plan.select("__row.*", F.col("__v").alias("slot"), "destination")
-        taken, n = taken.unionByName(lost), n + 1
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        taken = taken.unionByName(lost)
 
 
 def _placed(rows: DataFrame, taken: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ Only aggregates and joins on per-file summaries, so no file's tracks gather.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tracks as t
-from ..functions.let import once
+from ..functions.let import let, once
+from .hotkeys import first_rows
 
 
 def eligible_tracks(tracks: DataFrame, langs, key="k") -> DataFrame:
@@ -44,33 +45,31 @@ def _track_struct():
 
 
 def audio_ladder(tracks: DataFrame, langs, add_compat=True, key="k") -> DataFrame:
-    """One row per output slot: key, slot, kind, source position and track fields."""
-    pool = eligible_tracks(tracks, langs, key)
-    best = pool.groupBy(key).agg(F.max(_track_struct())["t"].alias("__s0"))
-    slot = F.struct(F.lit("copy").alias("kind"), F.col("__s0").alias("t"))
-    if add_compat:
-        # only 6- and 2-channel tracks can fill slots 1 and 2
-        rest = (pool.filter(F.col("channels").isin(6, 2))
-                .join(best.select(F.col(key).alias("__k"), F.col("__s0.pos").alias("__p0")),
-                      (F.col(key) == F.col("__k")) & (F.col("pos") != F.col("__p0")))
-                .groupBy("__k").agg(
-                    F.max(F.when(F.col("channels") == 6, _track_struct()))["t"].alias("__s1"),
-                    F.max(F.when(F.col("channels") == 2, _track_struct()))["t"].alias("__s2")))
-        best = best.join(rest, F.col(key) == F.col("__k"), "left").drop("__k")
-        s0 = F.col("__s0")
-        shape = "struct<kind:string, t:struct<pos:int, codec:string, lang:string, channels:int, title:string>>"
-
-        def entry(kind, col):
-            return F.struct(F.lit(kind).alias("kind"), col.alias("t")).cast(shape)
-        second = (F.when(F.col("__s1").isNotNull(), entry("copy", F.col("__s1")))
-                  .when(s0["channels"] >= 6, entry("opus51", s0)))
-        third = (F.when(F.col("__s2").isNotNull(), entry("copy", F.col("__s2")))
-                 .when((s0["channels"] > 2) | t.is_lossless(s0["codec"], s0["channels"]),
-                       entry("aac20", s0)))
-        slots = F.array_compact(F.array(entry("copy", s0), second, third))
-    else:
-        slots = F.array(slot)
-    return (best.select(key, F.posexplode(slots).alias("slot", "__e"))
+    """One row per output slot: key, slot, kind, source position and track fields.
+
+    The slots are among the two best tracks with 6 channels, with 2 and with other counts. Each task cuts to those before
+    the shuffle, so at most six rows of a file are gathered.
+    """
+    channels = F.when(F.col("channels").isin(6, 2), F.col("channels")).otherwise(0)
+    pool = eligible_tracks(tracks, langs, key).select(key, channels.alias("__c"), _track_struct().alias("__t"))
+    few = first_rows(pool, [key, "__c"], [F.col("__t.q").desc()], 2).groupBy(key).agg(F.collect_list("__t").alias("__few"))
+
+    def best_other(x, n):
+        return F.array_max(F.filter(x["few"], lambda e: (e["t"]["channels"] == n) & (e["t"]["pos"] != x["first"]["pos"])))["t"]
+
+    def slots(x):
+        first = x["first"]
+        entry = lambda kind, track: F.struct(F.lit(kind).alias("kind"), track.alias("t"))
+        if not add_compat:
+            return F.array(entry("copy", first))
+        wide, narrow = best_other(x, 6), best_other(x, 2)
+        second = F.when(wide.isNotNull(), entry("copy", wide)).when(first["channels"] >= 6, entry("opus51", first))
+        third = F.when(narrow.isNotNull(), entry("copy", narrow)).when(
+            (first["channels"] > 2) | t.is_lossless(first["codec"], first["channels"]), entry("aac20", first))
+        return F.array_compact(F.array(entry("copy", first), second, third))
+
+    ladder = let(F.struct(F.col("__few").alias("few"), F.array_max("__few")["t"].alias("first")), slots)
+    return (few.select(key, F.posexplode(ladder).alias("slot", "__e"))
             .select(key, "slot", F.col("__e.kind").alias("kind"), F.col("__e.t.pos").alias("src_pos"),
                     F.col("__e.t.codec").alias("codec"), F.col("__e.t.lang").alias("lang"),
                     F.col("__e.t.channels").alias("channels"), F.col("__e.t.title").alias("title")))

@@ -2,8 +2,9 @@
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores="8", shuffle_partitions=8) -> SparkSession:
@@ -31,3 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back, so that what reads it more than once makes it only once."""
+    where = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
