@@ -50,7 +50,7 @@ def build_index(docs: DataFrame, folder: str, capacity: int = CAPACITY):
     """Write the index; returns (rows: one per document, entries: one per different text)."""
     rows = stored(keyed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "slot",
                                      F.sha2("norm", 256).alias("text_sha256")), f"{folder}/rows")
-    slots = stored(directory(rows, capacity).coalesce(1), f"{folder}/directory")
+    slots = stored(directory(rows, capacity), f"{folder}/directory")
     texts = (keyed(docs).groupBy("slot", "key", "norm")
              .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     entries = texts.select("slot", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
