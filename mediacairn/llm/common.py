@@ -40,9 +40,15 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
 
 
+#: Rows and bytes of an Arrow batch. Rows hold whole texts, and a batch exists in the executor and in its Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow: fn takes an iterator of record batches and yields record batches."""
+    """mapInArrow: fn takes an iterator of record batches and yields record batches. Batches are small; see BATCH."""
     importable(df.sparkSession)
+    for name, most in BATCH.items():
+        df.sparkSession.conf.set(name, str(most))
     return df.mapInArrow(fn, schema)
 
 
