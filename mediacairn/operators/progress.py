@@ -67,19 +67,40 @@ def progress_speed_eta(state: DataFrame) -> DataFrame:
 
 
 def with_advance(state: DataFrame, chunk_seconds=CHUNK_SECONDS) -> DataFrame:
-    """Add `advanced`: position or frames passed those of the last advancing line.
+    """Add `advanced`: position or frames passed those of the last line that advanced. Both may fall.
 
-    The frame counter of one encode never falls. So its first line on a new
-    frame count advances, and inside one count only a new largest position does.
+    A feed is cut where one of them falls. Inside a piece both only rise, so from its first line that passes the
+    remembered pair on, every change advances; and the pair that a piece leaves behind is that of its last line, if that
+    passes the pair it found. So only the last lines of pieces are folded in order, one per fall.
     """
+    order = ["t_s", "seq"]
     rows = state.withColumn("__chunk", F.floor(F.col("t_s") / chunk_seconds))
-    rows = running(rows, ["encode_id", "frames"], "__chunk", ["t_s", "seq"],
-                   maxes={"__seen": "current_seconds"}, previous_only=["__seen"])
-    first = F.col("__seen").isNull()
-    starts = F.when(F.col("frames") > 0, True).otherwise(F.col("current_seconds") > 0)
-    # on frame count 0 the remembered position starts at 0
-    return rows.withColumn("advanced", F.when(first, starts).otherwise(
-        F.col("current_seconds") > F.greatest("__seen", F.lit(0.0)))).drop("__chunk", "__seen")
+    rows = running(rows, ["encode_id"], "__chunk", order, lasts={"__out": "current_seconds", "__frames": "frames"},
+                   previous_only=["__out", "__frames"])
+    fell = (F.col("current_seconds") < F.col("__out")) | (F.col("frames") < F.col("__frames"))
+    rows = stored(rows.withColumn("__fell", F.coalesce(fell, F.lit(False)).cast("int")), "feed")
+    rows = stored(running(rows, ["encode_id"], "__chunk", order, sums={"__piece": "__fell"}), "pieces")
+
+    last = F.max_by(F.struct("current_seconds", "frames"), F.struct(*order))
+    ends = rows.groupBy("encode_id", "__piece").agg(last.alias("e")).select(
+        "encode_id", F.struct("__piece", F.col("e.current_seconds").alias("o"), F.col("e.frames").alias("f")).alias("e"))
+
+    def step(acc, e):
+        passes = (e["o"] > acc["o"]) | (e["f"] > acc["f"])
+        found = F.struct(e["__piece"].alias("__piece"), acc["o"].alias("__o"), acc["f"].alias("__f"))
+        return F.struct(F.when(passes, e["o"]).otherwise(acc["o"]).alias("o"), F.when(passes, e["f"]).otherwise(acc["f"]).alias("f"),
+                        F.array_append(acc["found"], found).alias("found"))
+    kinds = dict(rows.dtypes)
+    zero = F.struct(F.lit(0).cast(kinds["current_seconds"]).alias("o"), F.lit(0).cast(kinds["frames"]).alias("f"), F.array().cast(
+        f"array<struct<__piece:{kinds['__piece']},__o:{kinds['current_seconds']},__f:{kinds['frames']}>>").alias("found"))
+    found = ends.groupBy("encode_id").agg(F.array_sort(F.collect_list("e")).alias("e")).select(
+        "encode_id", F.inline(F.aggregate("e", zero, step)["found"]))
+    rows = rows.join(found, ["encode_id", "__piece"])
+    passes = (F.col("current_seconds") > F.col("__o")) | (F.col("frames") > F.col("__f"))
+    passed = (F.col("__fell") == 0) & ((F.col("__out") > F.col("__o")) | (F.col("__frames") > F.col("__f")))
+    changed = (F.col("current_seconds") != F.col("__out")) | (F.col("frames") != F.col("__frames"))
+    advanced = passes & (~F.coalesce(passed, F.lit(False)) | changed)
+    return rows.withColumn("advanced", advanced).select(*state.columns, "advanced")
 
 
 def stall_watchdog(state: DataFrame, encodes: DataFrame, stall_seconds=fixed.STALL_SECONDS,

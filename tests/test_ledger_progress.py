@@ -63,7 +63,7 @@ def test_stall_follows_last_advancing_line(spark, table):
         t, frames, rows = 0, 0, []
         for seq in range(60):
             t += random.choice([20, 60, 90])
-            frames += random.choice([0, 0, 0, 0, 7])
+            frames = max(0, frames + random.choice([0, 0, 0, 0, 7, 0, 0, -5] if e % 2 else [0, 0, 0, 0, 7]))  # every second counter falls at times
             rows.append((t, seq, float(random.choice([0, 3, 5, 5, 5, 8])), frames))  # position may fall back
         feeds += [(e, *r) for r in rows]
         hit = brute_stall(rows, 0)
