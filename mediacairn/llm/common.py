@@ -1,5 +1,6 @@
 """What the corpus operators share: folders, text columns, batches, word and shingle fingerprints."""
 
+import ctypes
 import os
 import uuid
 from pathlib import Path
@@ -45,11 +46,22 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execut
 
 
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow: fn takes an iterator of record batches and yields record batches. Batches are small; see BATCH."""
+    """mapInArrow: fn takes an iterator of record batches and yields record batches. Batches are small; see BATCH.
+
+    Workers live on from task to task, so what a task has freed goes back to the system when it ends.
+    """
     importable(df.sparkSession)
     for name, most in BATCH.items():
         df.sparkSession.conf.set(name, str(most))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -82,7 +94,7 @@ def ascii_lower(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def slices(texts: pa.Array, most=500_000):
+def slices(texts: pa.Array, most=200_000):
     """Cut a column of whole texts into (first row, offsets, bytes) with about `most` bytes each.
 
     No text is cut: a longer one is a slice of its own. Nulls count as empty. Offsets start at 0.

@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, share=SHARE, weights=WEIGHTS, most=MOST, rows_a_salt=
         F.sum("n").over(up_to(W.partitionBy("name", "size").orderBy("salt"))), F.lit(0)).alias("beside"))
     start = (beside.join(below, ["name", "size"]).join(goal, "name")
              .withColumn("start", F.col("below") + F.col("beside")).drop("below", "beside"))
-    inside = F.row_number().over(W.partitionBy("name", "size", "salt").orderBy("row.doc_id")) - 1
+    inside = F.row_number().over(W.partitionBy("name", "size", "salt").orderBy("row.doc_id", F.xxhash64("row.text"))) - 1
     placed = rows.withColumn("inside", inside).join(start, ["name", "size", "salt"])
     rank = F.col("start") + F.col("inside")
     edge = lambda r: F.floor(F.col("expected") * r + F.col("offset"))
