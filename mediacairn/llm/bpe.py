@@ -29,7 +29,7 @@ from .common import beside_rows, slices
 
 #: White space by the Unicode property, as the tokenizer's pattern has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         encoder = Encoder(shared.value)  # what it remembers goes with the task
 
         def run(texts):
-            for first, offsets, _ in slices(texts, 500_000):
+            for first, offsets, _ in slices(texts, 1_000_000):
                 n = len(offsets) - 1
                 ids, decoded = encoder([t or "" for t in texts.slice(first, n).to_pylist()])
                 yield n, [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
