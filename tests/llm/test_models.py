@@ -235,6 +235,53 @@ def test_context_tree_against_its_definition(spark):
         assert (10.0 ** row.astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("heavy", [0, 40, 1 << 20])
+def test_scores_against_all_depths(docs, monkeypatch, heavy):
+    """Scores by the definition, down to DEPTH bytes of context; runs go to every task or are joined."""
+    train = [b"abracadabra abracadabra", b"", b"cab dab abra", "né".encode(), b"abracadabra abracadabra"]
+    held = [b"abracadabra", b"cab abracadab", b"zzz", b""]
+    deepest = lm_scoring.DEPTH
+    assert deepest >= 5
+    counts, below = Counter(), {}
+    marks = [255] * deepest
+
+    def path(seq, i):
+        node = 1
+        for bit in f"{seq[i]:08b}":
+            yield node, int(bit), [tuple(seq[i - 1 - k] for k in range(d)) for d in range(deepest + 1)]
+            node = 2 * node + int(bit)
+
+    for t in train:
+        seq = [*marks, *t, 255]
+        for i in range(deepest, len(seq)):
+            for node, bit, contexts in path(seq, i):
+                for c in contexts:
+                    counts[node, c, bit] += 1
+                    if c:
+                        below.setdefault((node, c[:-1]), set()).add(c)
+
+    def weighted(node, c, extra):
+        a, b = (counts[node, c, x] + extra.get((node, c, x), 0) for x in (0, 1))
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+        if len(c) == deepest:
+            return own
+        longer = below.get((node, c), set()) | {d for n, d, _ in extra if n == node and len(d) == len(c) + 1 and d[:-1] == c}
+        return math.log(0.5) + np.logaddexp(own, sum(weighted(node, d, extra) for d in longer))
+
+    base = {node: weighted(node, (), {}) for node in range(1, 256)}
+
+    def score(t):
+        seq = [*marks, *t, 255]
+        return sum(weighted(node, (), {(node, c, bit): 1 for c in contexts}) - base[node]
+                   for i in range(deepest, len(seq)) for node, bit, contexts in path(seq, i)) / math.log(10)
+
+    monkeypatch.setattr(lm_scoring, "HEAVY_RUNS", heavy)
+    monkeypatch.setattr(lm_scoring, "AT_ONCE", 16)
+    table = docs(*enumerate(t.decode() for t in train + held))
+    got = {r.doc_id: r.score for r in lm_scoring.scores(table, table.filter(f"doc_id < {len(train)}")).collect()}
+    assert got == {i: pytest.approx(score(t), abs=1e-6) for i, t in enumerate(train + held)}
+
+
 def test_scores_against_python(docs, odd):
     table = docs(*odd, (31, "One new word"))
     train = [t or "" for i, t in [*odd] if i != 7]
