@@ -4,8 +4,10 @@ Base spans are leftmost non-overlapping matches, per kind, of three patterns ove
 as begin, inside or outside of a secret from the shape of the token (length, kinds of characters, changes between
 them), the shapes of two tokens before and one after, and the file (how much of it is digits or signs, whether it names
 credentials), with weights for every pair of neighbouring tags. It is trained in numpy by gradient of the exact
-likelihood (forward-backward) on excerpts around base spans and on excerpts without, EXCERPTS of each at most, drawn by a
-hash of doc_id; weak labels are the base spans. Decoding is Viterbi. A token whose outside score leads by more than
+likelihood (forward-backward) on excerpts around base spans and on excerpts without, EXCERPTS of each at most; weak
+labels are the base spans. All files are searched for base spans, and of those with some the ones with the lowest hashes
+of doc_id and text are taken, so a secret that is rare in a large corpus still counts; of those without, one in 16 is
+looked at. Files with the same hash give one excerpt. Decoding is Viterbi. A token whose outside score leads by more than
 transitions can ever make up is outside on the best path, so the path is worked out only between such tokens; that is
 exact. Tagged runs that touch no base span are added under the kind `crf`.
 
@@ -13,6 +15,7 @@ Offsets are code points, end exclusive. Nulls and empties: a null or empty text
 learn from nothing is added. Rows that repeat an id are scanned each. An empty table gives an empty result.
 """
 
+import heapq
 import re
 
 import numpy as np
@@ -241,17 +244,54 @@ def excerpt(text: str, start: int, end: int):
     return rows, tags[:TOKENS]
 
 
+def place(text: str, turn: int, spans) -> int:
+    """Around which an excerpt is made."""
+    return spans[turn % len(spans)][3] if spans else turn % max(len(text), 1)
+
+
+def lowest(turns: set[int], each: int) -> set[int]:
+    return set(heapq.nsmallest(each, turns)) if len(turns) > each else turns
+
+
+def drawn(turned: DataFrame, each: int) -> list[int]:
+    """Of all (text, turn), the `each` lowest turns of files with base spans and of files without; tasks pass on no more."""
+    def run(batches):
+        kept = {True: set(), False: set()}
+        for batch in batches:
+            for text, turn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text or ""
+                spans = base_spans(text)
+                if not spans:
+                    at = place(text, turn, spans)
+                    # plain files are many
+                    if turn % 16 or not TOKEN.search(shaped(text[max(0, at - AROUND):at + AROUND].encode())):
+                        continue
+                kept[bool(spans)].add(turn)
+            for hit, turns in kept.items():
+                if len(turns) > 4 * each:
+                    kept[hit] = lowest(turns, each)
+        for hit, turns in kept.items():
+            turns = sorted(lowest(turns, each))
+            yield pa.RecordBatch.from_arrays([pa.array([hit] * len(turns), pa.bool_()), pa.array(turns, pa.int64())], names=["hit", "turn"])
+
+    found = map_batches(turned, run, "hit boolean, turn bigint").distinct()
+    rows = [found.filter(F.col("hit") == hit).orderBy("turn").limit(each).collect() for hit in (True, False)]
+    return [r.turn for part in rows for r in part]
+
+
 def samples(docs: DataFrame, each=EXCERPTS) -> DataFrame:
     """(hit, turn, rows, tags): a bounded number of labelled excerpts."""
     def run(batches):
+        done = set()
         for batch in batches:
             out = []
             for text, turn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if turn in done:
+                    continue
+                done.add(turn)
                 text = text or ""
                 spans = base_spans(text)
-                if not spans and turn % 16:
-                    continue  # plain files are many
-                at = spans[turn % len(spans)][3] if spans else turn % max(len(text), 1)
+                at = place(text, turn, spans)
                 rows, tags = excerpt(text, max(0, at - AROUND), at + AROUND)
                 if tags:
                     out.append((bool(spans), turn, rows, tags))
@@ -259,13 +299,9 @@ def samples(docs: DataFrame, each=EXCERPTS) -> DataFrame:
                                               pa.array([x[2] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[3] for x in out], pa.list_(pa.int32()))],
                                              names=["hit", "turn", "rows", "tags"])
 
-    turned = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("turn"))
-    # excerpts are made only of files whose hash is low: enough for the sample, however many there are
-    share = min(1.0, 40.0 * each / max(docs.count(), 1))
-    turned = turned.filter(F.col("turn") < int(share * (1 << 40)))
-    found = map_batches(turned, run, "hit boolean, turn bigint, rows array<array<int>>, tags array<int>")
-    best = [found.filter(F.col("hit") == hit).orderBy("turn", F.xxhash64("tags")).limit(each) for hit in (True, False)]
-    return best[0].unionByName(best[1])
+    turned = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("turn"))
+    chosen = turned.filter(F.col("turn").isin(drawn(turned, each)))
+    return map_batches(chosen, run, "hit boolean, turn bigint, rows array<array<int>>, tags array<int>").dropDuplicates(["turn"]).orderBy("turn")
 
 
 def learn(docs: DataFrame, **bounds) -> Field | None:

@@ -184,6 +184,16 @@ def test_viterbi_between_sure_tokens_is_exact():
         assert field.viterbi(part, False) == list(best)
 
 
+def test_rare_secrets_are_learned_from(docs):
+    """Files with secrets are found wherever their hashes lie; copies count once."""
+    rare = [(i, f"plain words\npassword = abcdefgh{i}") for i in range(0, 4000, 400)]
+    table = docs(*((i, f"plain words number {i}") for i in range(4000) if i % 400), *rare, rare[0], rare[0])
+    hits = [r.turn for r in secret_scan.samples(table, each=12).filter("hit").collect()]
+    assert len(hits) == len(set(hits)) == len(rare)
+    found = secret_scan.samples(table, each=5).collect()
+    assert [r.turn for r in found if r.hit] == sorted(hits)[:5] and sum(not r.hit for r in found) == 5
+
+
 def test_scan_of_odd_rows(docs, odd):
     table = docs(*odd, clashing=True)
     assert secret_scan.learn(table) is None
