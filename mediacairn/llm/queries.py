@@ -3,7 +3,21 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, near_dedup, secret_scan, topk_search, toxicity
+from . import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    html_extract,
+    language_id,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    resampling,
+    secret_scan,
+    spelling,
+    topk_search,
+    toxicity,
+)
 from .common import LOWER, UPPER, table
 
 QUERIES = {}
@@ -134,3 +148,66 @@ def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.predict(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return found.select("row.doc_id", "toxic", "p_insult", "p_contempt", "p_toxic")
+
+
+def crc32_sql(text):
+    """DuckDB SQL of the CRC-32 of a string's UTF-8 bytes: each byte is mixed in, then eight bits go through the polynomial."""
+    steps = f"flatten(list_transform(range(0, octet_length(encode({text}))), lambda i: [('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_concat([4294967295], {steps}), "
+            "lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END), 4294967295)")
+
+
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE len(run) >= 5 GROUP BY ALL),
+h AS (SELECT *, {crc32_sql("doc_id || ':' || run")} AS h FROM d),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, len(word) AS l, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.l = b.l AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word
+      UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+b AS (SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM e),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+      FROM w LEFT JOIN b ON w.word = b.word AND k = 1),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM f JOIN c USING (word) JOIN f AS last ON c.at = last.word AND last.form IS NULL
+""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_embedding_dedup", """
+WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS root FROM g UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.root, vec_id) AS component_id, vec_id = coalesce(m.root, vec_id) AS kept
+FROM embeddings LEFT JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op12_embedding_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_vectors(rows).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op13_importance_resampling", rf"""
+WITH t AS (SELECT true AS aim, item_id AS id, text FROM benchmark UNION ALL SELECT false, doc_id, text FROM documents),
+o AS (SELECT aim, id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM t),
+c AS (SELECT aim, id, word, count(*) AS n FROM o GROUP BY ALL),
+k AS (SELECT word, {crc32_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM c)),
+q AS (SELECT bucket, sum(CASE WHEN aim THEN 0 ELSE n END)::DOUBLE AS s, sum(CASE WHEN aim THEN n ELSE 0 END)::DOUBLE AS t FROM c JOIN k USING (word) GROUP BY bucket),
+z AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM q),
+w AS (SELECT id, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN k USING (word) JOIN z USING (bucket) WHERE NOT aim GROUP BY id),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN w ON w.id = doc_id),
+f AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+             count(*) FILTER (n_features >= 20) OVER () AS able FROM d)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM f
+""")
+def op13_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
