@@ -6,63 +6,99 @@ and only one summary row per chunk goes through a window over the whole key.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, MapType, NumericType, StructType, VariantType
 
 
 def running(df: DataFrame, keys, chunk, order, row_number=None, sums=None, maxes=None,
-            lasts=None, previous_only=()) -> DataFrame:
-    """Add running columns over `keys` in `order`.
+            lasts=None, previous_only=(), attributes=None) -> DataFrame:
+    """Add running columns over `keys` in `order`: a segmented scan that reads its input once.
 
     chunk          column name; must never fall as `order` rises inside a key
     row_number     name of a 1-based rank column to add
     sums/maxes     {new column: source column}, running sum / max
     lasts          {new column: source column}, last non-null value so far
     previous_only  new columns that exclude the current row
-    Order must be total inside a key, or ranks depend on the run.
+    attributes     table with `keys` and further columns, one row per key; added to every row of the key (null if it has none)
+
+    The last row of a (key, chunk) after the windows inside it *is* the chunk's summary. Summaries, and the attributes
+    as a segment before them all, go through one window over the key; what they carry goes back to (key, chunk), where
+    the rows still are. So rows are exchanged once, and only summaries twice more. Ties in `order` are broken by the
+    other columns, which also keeps both readers of the exchanged rows on the same columns, so that they share it
+    (a column that can't be sorted, a map, costs a second read).
     """
-    keys, order = list(keys), list(order)
+    keys, order, columns = list(keys), list(order), df.columns
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
-    part = keys + [chunk]
-    inside = W.partitionBy(*part).orderBy(*order)
+    df, own = never_null(df, keys, "__k")
+    df, piece = never_null(df, [chunk], "__p")
+    part = own + piece
+    ties = [f.name for f in df.schema.fields if f.name in columns and f.name not in order and sortable(f.dataType)]
+    inside = W.partitionBy(*part).orderBy(*order, *ties)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*own).orderBy("__real", chunk).rowsBetween(W.unboundedPreceding, -1)
+
+    local, totals, carries, finals = [], {}, [], {}
 
-    def frame(name):
-        return before if name in previous_only else upto
+    def value(new, fn, carry, join):
+        """fn(): what is counted up; carry: how summaries add up; join(l, c): local value and carry."""
+        local.append(fn().over(before if new in previous_only else upto).alias("__l_" + new))
+        total = "__l_" + new
+        if new in previous_only:
+            total = "__t_" + new
+            local.append(fn().over(upto).alias(total))
+        totals[new] = total
+        carries.append(carry(total).over(earlier).alias("__c_" + new))
+        finals[new] = join(F.col("__l_" + new), F.col("__c_" + new))
 
-    local, totals, carries, finals = [], [], [], {}
+    def added(l, c):
+        return F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c)
     if row_number:
-        local.append(F.row_number().over(inside).alias("__l_" + row_number))
-        totals.append(F.count(F.lit(1)).alias("__t_" + row_number))
-        carries.append(F.sum("__t_" + row_number).over(earlier).alias("__c_" + row_number))
-        finals[row_number] = (F.col("__l_" + row_number)
-                              + F.coalesce("__c_" + row_number, F.lit(0))).cast("long")
+        value(row_number, lambda: F.count(F.lit(1)), F.sum, lambda l, c: (l + F.coalesce(c, F.lit(0))).cast("long"))
     for new, src in sums.items():
-        local.append(F.sum(src).over(frame(new)).alias("__l_" + new))
-        totals.append(F.sum(src).alias("__t_" + new))
-        carries.append(F.sum("__t_" + new).over(earlier).alias("__c_" + new))
-        l, c = F.col("__l_" + new), F.col("__c_" + new)
-        finals[new] = F.when(l.isNull(), c).when(c.isNull(), l).otherwise(l + c)
+        value(new, lambda src=src: F.sum(src), F.sum, added)
     for new, src in maxes.items():
-        local.append(F.max(src).over(frame(new)).alias("__l_" + new))
-        totals.append(F.max(src).alias("__t_" + new))
-        carries.append(F.max("__t_" + new).over(earlier).alias("__c_" + new))
-        finals[new] = F.greatest("__l_" + new, "__c_" + new)
+        value(new, lambda src=src: F.max(src), F.max, F.greatest)
     for new, src in lasts.items():
-        local.append(F.last(src, ignorenulls=True).over(frame(new)).alias("__l_" + new))
-        # max over (order, value) keeps the value of the last row that has one
-        totals.append(F.max(F.when(F.col(src).isNotNull(), F.struct(*order, src)))[src]
-                      .alias("__t_" + new))
-        carries.append(F.last("__t_" + new, ignorenulls=True).over(earlier).alias("__c_" + new))
-        finals[new] = F.coalesce("__l_" + new, "__c_" + new)
-
-    columns = df.columns
-    detail = df.select("*", *local)
-    summary = (df.groupBy(*part).agg(*totals).select(*part, *carries)
+        value(new, lambda src=src: F.last(src, ignorenulls=True), lambda t: F.last(t, ignorenulls=True), F.coalesce)
+
+    windowed = df.select("*", *local, F.lead(F.lit(True)).over(inside).isNull().alias("__last"))
+    summary = windowed.filter("__last").select(*part, chunk, F.lit(1).alias("__real"), *dict.fromkeys(totals.values()))
+    extra = [c for c in attributes.columns if c not in keys] if attributes is not None else []
+    if extra:
+        first = never_null(attributes, keys, "__k")[0].select(*own, F.lit(0).alias("__real"), F.struct(*extra).alias("__a"))
+        summary = summary.unionByName(first, allowMissingColumns=True)
+        carries.append(F.first("__a", ignorenulls=True).over(earlier).alias("__c_a"))
+    carried = (summary.select(*part, "__real", *carries).filter("__real = 1").drop("__real")
                .withColumnsRenamed({c: "__j_" + c for c in part}))
     on = [F.col(c) == F.col("__j_" + c) for c in part]
-    return detail.join(summary, on, "left").select(*columns, *[
-        v.alias(n) for n, v in finals.items()])
+    return windowed.join(carried, on, "left").select(
+        *columns, *[v.alias(n) for n, v in finals.items()], *[F.col("__c_a")[c].alias(c) for c in extra])
+
+
+def never_null(df: DataFrame, names, prefix):
+    """(df with stand-ins for columns that may be null, names to group by instead).
+
+    Null keys are keys like others; and a join on columns that are never null asks for no filter below its exchange.
+    """
+    out, use = df, []
+    for i, c in enumerate(names):
+        field = df.schema[c]
+        if isinstance(field.dataType, NumericType):
+            stand = F.coalesce(F.col(c), F.lit(0).cast(field.dataType))
+        else:
+            stand = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        out = out.withColumn(f"{prefix}{i}", stand).withColumn(f"{prefix}{i}_null", F.col(c).isNull())
+        use += [f"{prefix}{i}", f"{prefix}{i}_null"]
+    return out, use
+
+
+def sortable(kind) -> bool:
+    """Can a window be ordered by this type?"""
+    if isinstance(kind, ArrayType):
+        return sortable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
 
 
 def latest_per_key(df: DataFrame, keys, version) -> DataFrame:

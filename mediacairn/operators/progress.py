@@ -8,7 +8,6 @@ timeout_s. Long feeds are cut into time chunks; see `hotkeys.running`.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..session import stored
 from .hotkeys import first_rows, running
 
 CHUNK_SECONDS = 3600
@@ -36,8 +35,8 @@ def progress_state(parsed: DataFrame, encodes: DataFrame, chunk_seconds=CHUNK_SE
     rows = rows.select("encode_id", "t_s", "seq", "__chunk", "out_seconds", "frames", "fps",
                        "speed", "__moves")
     rows = running(rows, ["encode_id"], "__chunk", ["t_s", "seq"], lasts={
-        "__o": "out_seconds", "__f": "frames", "__fps": "fps", "__sp": "speed", "__end": "__moves"})
-    rows = rows.join(encodes.select("encode_id", "duration_seconds", "source_fps"), "encode_id", "left")
+        "__o": "out_seconds", "__f": "frames", "__fps": "fps", "__sp": "speed", "__end": "__moves"},
+        attributes=encodes.select("encode_id", "duration_seconds", "source_fps"))
     at = F.coalesce("__o", F.lit(0.0))
     return rows.select(
         "encode_id", "t_s", "seq",
@@ -66,59 +65,88 @@ def progress_speed_eta(state: DataFrame) -> DataFrame:
             .withColumn("eta_s", F.when((F.col("eff_speed") > 0) & (left > 0), left / F.col("eff_speed"))))
 
 
-def with_advance(state: DataFrame, chunk_seconds=CHUNK_SECONDS) -> DataFrame:
-    """Add `advanced`: position or frames passed those of the last line that advanced. Both may fall.
+def passes(o, f, pair):
+    """Does a line, or a chunk's largest values, move on from the remembered pair?"""
+    return (o > pair["o"]) | (f > pair["f"])
 
-    A feed is cut where one of them falls. Inside a piece both only rise, so from its first line that passes the
-    remembered pair on, every change advances; and the pair that a piece leaves behind is that of its last line, if that
-    passes the pair it found. So only the last lines of pieces are folded in order, one per fall.
+
+def chunk_map(lines):
+    """What a chunk makes of the pair (position, frames) remembered before it: struct of mo, mf, exit.
+
+    A line moves on if it passes the pair in either value; then its own pair is remembered, even where one value fell.
+    Whatever pair comes in: if no value of the chunk passes it, it stays. Else the first line that does comes no later
+    than the first line that no later one passes (that line holds a maximum of all that follow), and no move jumps over
+    such a line, since behind it nothing passes. So the pair that leaves is that line's, and a chunk is five numbers.
     """
-    order = ["t_s", "seq"]
-    rows = state.withColumn("__chunk", F.floor(F.col("t_s") / chunk_seconds))
-    rows = running(rows, ["encode_id"], "__chunk", order, lasts={"__out": "current_seconds", "__frames": "frames"},
-                   previous_only=["__out", "__frames"])
-    fell = (F.col("current_seconds") < F.col("__out")) | (F.col("frames") < F.col("__frames"))
-    rows = stored(rows.withColumn("__fell", F.coalesce(fell, F.lit(False)).cast("int")), "feed")
-    rows = stored(running(rows, ["encode_id"], "__chunk", order, sums={"__piece": "__fell"}), "pieces")
-
-    last = F.max_by(F.struct("current_seconds", "frames"), F.struct(*order))
-    ends = rows.groupBy("encode_id", "__piece").agg(last.alias("e")).select(
-        "encode_id", F.struct("__piece", F.col("e.current_seconds").alias("o"), F.col("e.frames").alias("f")).alias("e"))
-
-    def step(acc, e):
-        passes = (e["o"] > acc["o"]) | (e["f"] > acc["f"])
-        found = F.struct(e["__piece"].alias("__piece"), acc["o"].alias("__o"), acc["f"].alias("__f"))
-        return F.struct(F.when(passes, e["o"]).otherwise(acc["o"]).alias("o"), F.when(passes, e["f"]).otherwise(acc["f"]).alias("f"),
-                        F.array_append(acc["found"], found).alias("found"))
-    kinds = dict(rows.dtypes)
-    zero = F.struct(F.lit(0).cast(kinds["current_seconds"]).alias("o"), F.lit(0).cast(kinds["frames"]).alias("f"), F.array().cast(
-        f"array<struct<__piece:{kinds['__piece']},__o:{kinds['current_seconds']},__f:{kinds['frames']}>>").alias("found"))
-    found = ends.groupBy("encode_id").agg(F.array_sort(F.collect_list("e")).alias("e")).select(
-        "encode_id", F.inline(F.aggregate("e", zero, step)["found"]))
-    rows = rows.join(found, ["encode_id", "__piece"])
-    passes = (F.col("current_seconds") > F.col("__o")) | (F.col("frames") > F.col("__f"))
-    passed = (F.col("__fell") == 0) & ((F.col("__out") > F.col("__o")) | (F.col("__frames") > F.col("__f")))
-    changed = (F.col("current_seconds") != F.col("__out")) | (F.col("frames") != F.col("__frames"))
-    advanced = passes & (~F.coalesce(passed, F.lit(False)) | changed)
-    return rows.withColumn("advanced", advanced).select(*state.columns, "advanced")
+    def step(acc, x):  # from the end to the start
+        holds = acc["exit"].isNull() | (x["o"] >= acc["mo"]) & (x["f"] >= acc["mf"])
+        return F.struct(F.greatest(acc["mo"], x["o"]).alias("mo"), F.greatest(acc["mf"], x["f"]).alias("mf"),
+                        F.when(holds, x).otherwise(acc["exit"]).alias("exit"))
+    line = F.element_at(lines, 1)
+    none = F.when(F.lit(False), line)
+    return F.aggregate(F.reverse(lines), F.struct(none["o"].alias("mo"), none["f"].alias("mf"), none.alias("exit")), step)
+
+
+def composed(a, b):
+    """The map of chunk a followed by chunk b."""
+    holds = (a["exit"]["o"] >= b["mo"]) & (a["exit"]["f"] >= b["mf"])
+    return F.struct(F.greatest(a["mo"], b["mo"]).alias("mo"), F.greatest(a["mf"], b["mf"]).alias("mf"),
+                    F.when(holds, a["exit"]).otherwise(b["exit"]).alias("exit"))
+
+
+def after(m, pair):
+    """The pair (o, f, since) that a chunk leaves behind."""
+    e = m["exit"]
+    return F.when(passes(m["mo"], m["mf"], pair), F.struct(e["o"].alias("o"), e["f"].alias("f"), e["t_s"].alias("since"))).otherwise(pair)
+
+
+def before_each(maps, pair, block=100):
+    """(chunk, pair before it) of an array of (chunk, m): composed over blocks first, then chunk by chunk in each block."""
+    def scan(items, m_of, start):
+        def step(acc, x):
+            return F.struct(after(m_of(x), acc["pair"]).alias("pair"),
+                            F.array_append(acc["found"], F.struct(x.alias("x"), acc["pair"].alias("pair"))).alias("found"))
+        none = F.filter(F.transform(items, lambda x: F.struct(x.alias("x"), start.alias("pair"))), lambda _: F.lit(False))
+        return F.aggregate(items, F.struct(start.alias("pair"), none.alias("found")), step)["found"]
+
+    def whole(parts):
+        return F.aggregate(F.slice(parts, 2, block), F.element_at(parts, 1)["m"], lambda acc, x: composed(acc, x["m"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(maps) - 1) / block).cast("int")),
+                         lambda i: F.slice(maps, i * block + 1, F.lit(block)))
+    outer = scan(blocks, whole, pair)
+    return F.flatten(F.transform(outer, lambda b: F.transform(
+        scan(b["x"], lambda c: c["m"], b["pair"]), lambda c: F.struct(c["x"]["chunk"].alias("chunk"), c["pair"].alias("pair")))))
 
 
 def stall_watchdog(state: DataFrame, encodes: DataFrame, stall_seconds=fixed.STALL_SECONDS,
                    chunk_seconds=CHUNK_SECONDS) -> DataFrame:
-    """First stall alarm per encode: a line more than stall_seconds after the last advance.
+    """First stall alarm per encode: a line more than stall_seconds after the last one that moved on.
 
-    Checked when a line arrives, as the feed is read. The clock starts with the encode.
+    Checked when a line arrives, as the feed is read; the clock starts with the encode, and both values may fall. Lines
+    are gathered per (encode, chunk of time) and reduced to the chunk's map; only maps meet per encode, and the pair
+    before each chunk goes back to where its lines are. So a feed is exchanged once and walked in chunks side by side.
     """
-    # a running value reads its input twice; a table in between keeps a chain of them from doubling at every link
-    rows = (stored(with_advance(state, chunk_seconds), "advance")
-            .withColumn("__chunk", F.floor(F.col("t_s") / chunk_seconds))
-            .withColumn("__at", F.when(F.col("advanced"), F.col("t_s"))))
-    rows = running(rows, ["encode_id"], "__chunk", ["t_s", "seq"], lasts={"__anchor": "__at"})
-    rows = rows.join(encodes.select("encode_id", "start_s"), "encode_id")
-    anchor = F.coalesce("__anchor", "start_s")
-    return (rows.filter(F.col("t_s") - anchor > stall_seconds)
-            .groupBy("encode_id").agg(F.min(F.struct("t_s", "seq", anchor.alias("anchor_s"))).alias("a"))
-            .select("encode_id", "a.t_s", "a.seq", "a.anchor_s"))
+    kinds = dict(state.dtypes)
+    zero = F.lit(0)
+    line = F.struct("t_s", "seq", F.coalesce("current_seconds", zero.cast(kinds["current_seconds"])).alias("o"),
+                    F.coalesce("frames", zero.cast(kinds["frames"])).alias("f"))
+    # nothing is null here, so that no filter is inferred for one reader of the chunks only
+    chunk = F.coalesce(F.floor(F.col("t_s") / chunk_seconds), F.lit(0)).alias("chunk")
+    chunks = state.filter("encode_id IS NOT NULL").groupBy("encode_id", chunk).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    maps = chunks.groupBy("encode_id").agg(F.array_sort(F.collect_list(F.struct("chunk", chunk_map(F.col("lines")).alias("m")))).alias("maps"))
+    start = F.struct(zero.cast(kinds["current_seconds"]).alias("o"), zero.cast(kinds["frames"]).alias("f"), F.col("start_s").cast(kinds["t_s"]).alias("since"))
+    carried = maps.join(encodes.select("encode_id", "start_s"), "encode_id").select("encode_id", F.inline(before_each(F.col("maps"), start)))
+
+    def step(acc, x):
+        moves = passes(x["o"], x["f"], acc["pair"])
+        pair = F.when(moves, F.struct(x["o"].alias("o"), x["f"].alias("f"), x["t_s"].alias("since"))).otherwise(acc["pair"])
+        late = acc["alarm"].isNull() & ~moves & (x["t_s"] - acc["pair"]["since"] > stall_seconds)
+        found = F.struct(x["t_s"].alias("t_s"), x["seq"].alias("seq"), acc["pair"]["since"].alias("anchor_s"))
+        return F.struct(pair.alias("pair"), F.when(late, found).otherwise(acc["alarm"]).alias("alarm"))
+    none = F.lit(None).cast(f"struct<t_s:{kinds['t_s']},seq:{kinds['seq']},anchor_s:{kinds['t_s']}>")
+    alarm = F.aggregate("lines", F.struct(F.col("pair"), none.alias("alarm")), step)["alarm"]
+    return (chunks.join(carried, ["encode_id", "chunk"]).select("encode_id", alarm.alias("alarm")).filter("alarm IS NOT NULL")
+            .groupBy("encode_id").agg(F.min("alarm").alias("a")).select("encode_id", "a.t_s", "a.seq", "a.anchor_s"))
 
 
 def encode_deadline(feed: DataFrame, encodes: DataFrame) -> DataFrame:

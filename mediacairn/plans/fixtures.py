@@ -161,6 +161,13 @@ SELECT encode_id, seq, seq * 90 AS t_s,
 FROM (SELECT user_id AS encode_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM {events}) e
 """
 
+# The same feed as positions and frames that both fall at times, for some encodes at every second line.
+SQL["fx_signals"] = """
+SELECT encode_id, seq, t_s, greatest(0, frames - CASE WHEN (encode_id + seq) % 11 = 0 THEN 6000 ELSE 0 END) AS frames,
+  CAST(floor(frames / 9600e0) * 100 - CASE WHEN encode_id % 3 = 0 AND seq % 2 = 1 THEN 60 ELSE 0 END AS DOUBLE) AS current_seconds
+FROM {fx_progress} p
+"""
+
 SQL["fx_encodes"] = """
 SELECT DISTINCT user_id AS encode_id, CAST(0 AS BIGINT) AS start_s, CAST(6600 AS DOUBLE) AS duration_seconds,
   CAST(24 AS DOUBLE) AS source_fps, CAST(70000000 AS BIGINT) AS source_size,
@@ -239,14 +246,6 @@ class Tables:
 
     # -- the windowed projections, cut into chunks so that a hot key is no problem
 
-    def _fx_tracks(self) -> DataFrame:
-        rows = self.given("lineitem")
-        rows = running(rows, ["l_orderkey"], "l_linenumber", [
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], row_number="rn")
-        text = SQL["fx_tracks"]
-        start, end = text.index("CAST(row_number()"), text.index(" AS pos")
-        return self.spark.sql(text[:start] + "CAST(rn - 1 AS INT)" + text[end:], lineitem=rows)
-
     def _fx_progress(self) -> DataFrame:
         rows = (self.given("events").withColumn("__hour", F.date_trunc("hour", "ts"))
                 .withColumn("__f", F.when(F.col("event_type") == "error", 0).otherwise(2400))

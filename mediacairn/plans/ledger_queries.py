@@ -340,17 +340,16 @@ def progress_speed_eta(t):
     return pg.progress_speed_eta(_state(t)).select("encode_id", "seq", "eff_speed", "fraction", "eta_s")
 
 
-def _feed(t):
-    """Progress rows as states: the frame counter is the only signal."""
-    return t.get("fx_progress").withColumn("current_seconds", F.lit(0.0))
-
-
-@query("stall_watchdog", "fx_progress", """
-, a AS (SELECT *, frames > coalesce(lag(frames) OVER (PARTITION BY encode_id ORDER BY seq), 0) AS adv FROM fx_progress),
-b AS (SELECT *, coalesce(max(CASE WHEN adv THEN t_s END) OVER (PARTITION BY encode_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS anchor_s FROM a)
-SELECT encode_id, min(t_s) AS t_s, arg_min(anchor_s, seq) AS anchor_s FROM b WHERE t_s - anchor_s > 300 GROUP BY encode_id""")
+@query("stall_watchdog", "fx_signals", """
+SELECT encode_id, t_s, anchor_s FROM (
+  WITH RECURSIVE r AS (SELECT DISTINCT encode_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS o, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS anchor_s, CAST(0 AS BIGINT) AS t_s FROM fx_signals
+    UNION ALL SELECT s.encode_id, s.seq, CASE WHEN moves THEN s.current_seconds ELSE o END, CASE WHEN moves THEN s.frames ELSE f END, CASE WHEN moves THEN s.t_s ELSE anchor_s END, s.t_s
+    FROM r JOIN fx_signals s ON s.encode_id = r.encode_id AND s.seq = r.seq + 1, LATERAL (SELECT s.current_seconds > o OR s.frames > f AS moves) m
+    WHERE r.t_s - anchor_s <= 300)
+  SELECT * FROM r WHERE t_s - anchor_s > 300) q""")
 def stall_watchdog(t):
-    return pg.stall_watchdog(_feed(t), _encodes(t)).select("encode_id", "t_s", "anchor_s")
+    """Positions and frames, both with falls, against a line-by-line walk."""
+    return pg.stall_watchdog(t.get("fx_signals"), _encodes(t)).select("encode_id", "t_s", "anchor_s")
 
 
 @query("encode_deadline", "fx_progress fx_encodes", """
@@ -415,16 +414,29 @@ def probe_scan_stream(t):
 
 
 @query("stall_watchdog_stream", "", """
-WITH l AS (SELECT user_id AS encode_id, epoch_us(ts) // 1000 AS t, event_type <> 'error' AS adv FROM events),
-s AS (SELECT encode_id, min(t) AS start_ms, max(t) AS last FROM l GROUP BY 1),
-a AS (SELECT encode_id, t FROM l WHERE adv UNION SELECT encode_id, start_ms FROM s),
-g AS (SELECT encode_id, t, lead(t) OVER (PARTITION BY encode_id ORDER BY t) AS nxt FROM a),
-st AS (SELECT encode_id, min(t) + 300000 AS stall FROM g WHERE nxt IS NULL OR nxt - t > 300000 GROUP BY 1),
-d AS (SELECT s.encode_id, last, stall, CASE WHEN s.encode_id % 5 = 0 THEN start_ms + 200000 ELSE stall END AS lim FROM s JOIN st ON st.encode_id = s.encode_id),
-x AS (SELECT encode_id, last, CASE WHEN lim < stall THEN 'timeout' ELSE 'stall' END AS alarm, least(lim, stall) AS at_ms FROM d)
-SELECT x.encode_id, any_value(alarm) AS alarm, any_value(at_ms) AS at_ms, max(a.t) AS anchor_ms
-FROM x JOIN a ON a.encode_id = x.encode_id AND a.t <= x.at_ms
-WHERE at_ms < last OR at_ms < (SELECT max(t) - 600000 FROM l) GROUP BY x.encode_id""")
+WITH RECURSIVE l AS (SELECT user_id AS encode_id, event_id, event_type, event_id % 97 * 1000000 AS size,
+    CAST(floor((epoch_us(ts) - 1704067200000000) / 1000e0) AS BIGINT) + 1704067200000000 AS us FROM events),
+e AS (SELECT encode_id, CAST(floor(min(us) / 1000e0) AS BIGINT) AS start_ms, encode_id % 5 = 0 AS limited, encode_id % 4 = 0 AS known FROM l GROUP BY encode_id),
+mark AS (SELECT max(us) // 1000 - 600000 AS ms FROM l),
+n AS (SELECT encode_id, us // 1000 AS t, size, row_number() OVER (PARTITION BY encode_id ORDER BY us // 1000, event_id) AS i,
+    CASE WHEN event_type = 'purchase' THEN CAST(event_id % 5000 AS DOUBLE) END AS x,
+    CASE WHEN event_type NOT IN ('purchase', 'error') THEN CASE WHEN event_id % 3 = 0 THEN event_id // 2 ELSE event_id END END AS y
+  FROM l, mark WHERE us // 1000 < mark.ms // 60000 * 60000),
+r AS (SELECT encode_id, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS DOUBLE) AS o, CAST(0 AS BIGINT) AS f, start_ms AS anchor,
+    0 AS used, CAST(NULL AS VARCHAR) AS alarm, CAST(NULL AS BIGINT) AS at_ms, start_ms, limited, known FROM e WHERE encode_id IN (SELECT encode_id FROM n)
+  UNION ALL SELECT encode_id, i, CASE WHEN late THEN x ELSE nx END, CASE WHEN late THEN y ELSE ny END,
+    CASE WHEN moves THEN nx ELSE o END, CASE WHEN moves THEN ny ELSE f END, CASE WHEN moves THEN t ELSE anchor END, used + CASE WHEN crossed THEN 1 ELSE 0 END,
+    CASE WHEN late THEN CASE WHEN due < anchor + 300000 THEN 'timeout' ELSE 'stall' END WHEN crossed AND size > 0 AND nx / 6600 >= 1e-2 AND size / (nx / 6600) >= 120000000 * 9e-1 THEN 'bloat' END,
+    CASE WHEN late THEN due ELSE t END, start_ms, limited, known
+  FROM (SELECT *, NOT late AND (nx > o OR ny > f) AS moves, NOT late AND known AND used < 4 AND nx / 6600 >= [1e-1, 2e-1, 3e-1, 5e-1, 9e0][used + 1] AS crossed
+    FROM (SELECT r.* EXCLUDE (i), n.i, n.t, n.size, coalesce(n.x, r.x) AS nx, coalesce(n.y, r.y) AS ny,
+        CASE WHEN limited THEN least(anchor + 300000, start_ms + 1200000) ELSE anchor + 300000 END AS due, n.t > due AS late
+      FROM r JOIN n ON n.encode_id = r.encode_id AND n.i = r.i + 1 WHERE r.alarm IS NULL) p) q),
+z AS (SELECT *, CASE WHEN limited THEN least(anchor + 300000, start_ms + 1200000) ELSE anchor + 300000 END AS due FROM r
+  QUALIFY row_number() OVER (PARTITION BY encode_id ORDER BY i DESC) = 1)
+SELECT encode_id, coalesce(alarm, CASE WHEN due < anchor + 300000 THEN 'timeout' ELSE 'stall' END) AS alarm,
+  CASE WHEN alarm IS NULL THEN due ELSE at_ms END AS at_ms, anchor AS anchor_ms
+FROM z, mark WHERE alarm IS NOT NULL OR due + 60000 <= mark.ms""")
 def stall_watchdog_stream(t):
-    """Alarms of stalled and slow encodes over the event feed."""
+    """Alarms of stalled, slow and overlarge encodes over the event feed, against a line-by-line walk."""
     return jobs.watch_over_events(t.spark, t.dir)

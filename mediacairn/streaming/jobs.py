@@ -12,11 +12,17 @@ from ..session import shared_dir
 from . import progress, scan
 
 DONE = {"availableNow": True}
+#: What a micro-batch reads at most, but for one file larger than that.
+BATCH_BYTES = 1 << 30
+#: The watched feed runs a thousand times as fast as the events, so that pauses are minutes.
+FASTER = 1000
+EPOCH_US = 1704067200000000  # 2024-01-01
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # a pattern, since the table may be one file or a folder of files
+    rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{folder}/events.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -32,19 +38,26 @@ def _place(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _fast(ts):
+    """Microseconds of an event in the watched feed."""
+    return F.floor((F.unix_micros(ts.cast("timestamp")) - EPOCH_US) / FASTER).cast("bigint") + EPOCH_US
+
+
 def _lines(spark, folder):
-    """One feed line per event: the frame counter, which stands still on errors."""
-    line = F.when(F.col("event_type") == "error", "progress=continue").otherwise(
-        F.concat(F.lit("frame= "), F.col("event_id").cast("string")))
+    """One feed line per event: frame counters that fall at times, positions, errors that say nothing, sizes."""
+    n, said = F.col("event_id"), F.col("event_type")
+    line = (F.when(said == "error", "progress=continue")
+            .when(said == "purchase", F.concat(F.lit("out_time_ms="), ((n % 5000) * 1000000).cast("string")))
+            .otherwise(F.concat(F.lit("frame= "), F.when(n % 3 == 0, F.floor(n / 2)).otherwise(n).cast("string"))))
     return _events(spark, folder).select(
-        F.col("user_id").alias("encode_id"), "ts", F.col("event_id").alias("seq"), line.alias("line"),
-        F.lit(None).cast("bigint").alias("out_size"))
+        F.col("user_id").alias("encode_id"), F.timestamp_micros(_fast(F.col("ts"))).alias("ts"), n.alias("seq"), line.alias("line"),
+        (n % 97 * 1000000).cast("bigint").alias("out_size"))
 
 
 def windows_over_events(spark, folder) -> DataFrame:
     """Windows still open at the end of the input are closed by a last batch job."""
-    lines = _lines(spark, folder).withColumn(
-        "line", F.concat(F.lit("frame= "), F.col("seq").cast("string")))
+    lines = _events(spark, folder).select(
+        F.col("user_id").alias("encode_id"), "ts", F.concat(F.lit("frame= "), F.col("event_id").cast("string")).alias("line"))
     where = _place(spark, "windows")
 
     def store(batch, epoch):
@@ -90,10 +103,9 @@ def watch_over_events(spark, folder) -> DataFrame:
     try:
         lines = _lines(spark, folder)
         encodes = spark.read.parquet(f"{folder}/events.parquet").groupBy(
-            F.col("user_id").alias("encode_id")).agg(
-            F.unix_millis(F.min("ts").cast("timestamp")).alias("start_ms")).select(
-            "encode_id", "start_ms", F.when(F.col("encode_id") % 5 == 0, 200).otherwise(0).cast("bigint").alias("timeout_s"),
-            F.lit(6600.0).alias("duration_seconds"), F.lit(70000000).cast("bigint").alias("source_size"))
+            F.col("user_id").alias("encode_id")).agg(F.floor(F.min(_fast(F.col("ts"))) / 1000).alias("start_ms")).select(
+            "encode_id", "start_ms", F.when(F.col("encode_id") % 5 == 0, 1200).otherwise(0).cast("bigint").alias("timeout_s"),
+            F.when(F.col("encode_id") % 4 == 0, 6600.0).alias("duration_seconds"), F.lit(120000000).cast("bigint").alias("source_size"))
         return _run(progress.watch(lines, encodes), _place(spark, "watch"))
     finally:
         spark.conf.set(key, before)

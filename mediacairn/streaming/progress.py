@@ -1,10 +1,14 @@
 """Encode watch as a stream: stall, time limit and size overrun per encode.
 
-Needs the RocksDB state store; see `watch_settings`. Unlike the batch form,
-which looks only when a line arrives, timers also find an encode that has gone
-silent.
+Two stateful steps. The first gathers the lines of an encode in a minute and closes the minute by the watermark;
+the second keeps one small state per encode and takes whole minutes at a time, as arrays. Needs the RocksDB state store;
+see `watch_settings`. Unlike the batch form, which looks only when a line arrives, timers also find an encode that has
+gone silent. Files of a feed come in the order of time; what is later than the watermark is dropped.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +17,7 @@ from ..functions import fixed
 from ..operators.progress import progress_parse, progress_windows
 
 WATERMARK = "10 minutes"
+MINUTE_MS = 60_000
 FORGET_MS = 24 * 3600 * 1000  # a finished encode is remembered this long, then dropped
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALARM = "encode_id bigint, alarm string, at_ms bigint, anchor_ms bigint"
@@ -22,88 +27,123 @@ def watch_settings(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def filled(values: np.ndarray, before: float) -> np.ndarray:
+    """Each null (NaN) takes the last value before it."""
+    known = ~np.isnan(values)
+    at = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    return np.where(at >= 0, values[np.maximum(at, 0)], before)
+
+
+def moved(x, y, ts, o, f, anchor):
+    """(o, f, anchor) after lines of positions x and frames y; see operators.progress.chunk_map for why this needs no walk."""
+    if not len(x) or not (x.max() > o or y.max() > f):
+        return o, f, anchor
+    most = [np.append(np.maximum.accumulate(v[::-1])[::-1][1:], -np.inf) for v in (x, y)]
+    i = int(((x >= most[0]) & (y >= most[1])).argmax())
+    return float(x[i]), float(y[i]), int(ts[i])
+
+
 class EncodeWatch(StatefulProcessor):
-    """State per encode: last values, last advance, checkpoints used."""
+    """State per encode: last values, the pair that last moved on and when, checkpoints used."""
 
     def __init__(self, stall_ms=fixed.STALL_SECONDS * 1000, threshold=fixed.BLOAT_RATIO,
                  checkpoints=tuple(fixed.BLOAT_CHECKPOINTS)):
+        if stall_ms < MINUTE_MS:
+            raise ValueError("a stall is a minute at least")
         self.stall_ms, self.threshold, self.checkpoints = stall_ms, threshold, checkpoints
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(
-            "encode", "out double, frames bigint, adv_out double, adv_frames bigint, "
+            "encode", "out double, frames double, o double, f double, "
                       "anchor bigint, start bigint, limit_ms bigint, used int, done boolean")
 
-    def handleInputRows(self, key, rows, timerValues):
-        # one micro-batch of one encode: its size is set by the source's rate limit
-        feed = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
-        old = self.state.get() if self.state.exists() else None
-        if old is None:
-            first = feed.iloc[0]
-            start = int(first.start_ms) if pd.notna(first.start_ms) else int(first.ts_ms)
-            limit = int(first.timeout_s) * 1000 if pd.notna(first.timeout_s) else 0
-            out, frames, adv_out, adv_frames, anchor, used, done = 0.0, 0, 0.0, 0, start, 0, False
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        # one row per minute of the encode; minutes of a batch come in any order
+        minutes = sorted((m for frame in rows for m in frame.to_dict("records")), key=lambda m: m["first_ms"])
+        if self.state.exists():
+            state = list(self.state.get())
         else:
-            out, frames, adv_out, adv_frames, anchor, start, limit, used, done = old
+            m = minutes[0]
+            start = int(m["start_ms"]) if pd.notna(m["start_ms"]) else int(m["first_ms"])
+            limit = int(m["timeout_s"]) * 1000 if pd.notna(m["timeout_s"]) else 0
+            state = [0.0, 0.0, 0.0, 0.0, start, start, limit, 0, False]
         alarm = None
-        for r in feed.itertuples():
-            if done:
+        for m in minutes:
+            if state[8]:
                 break
-            # time that was up before this line came: as a timer would have found, however the feed is cut into batches
-            due, kind = self._due(anchor, start, limit)
-            if r.ts_ms > due:
-                alarm, done = (kind, due), True
-                break
-            if pd.notna(r.out_seconds):
-                out = float(r.out_seconds)
-            if pd.notna(r.frames):
-                frames = int(r.frames)
-            if r.ended:
-                out = max(out, float(r.duration_seconds or 0.0))
-            if out > adv_out or frames > adv_frames:
-                adv_out, adv_frames, anchor = out, frames, int(r.ts_ms)
-            if self._overrun(r, out, used):
-                alarm = ("bloat", int(r.ts_ms))
-            used += self._crossed(r, out, used)
-            done = alarm is not None or bool(r.ended)
-        self.state.update((out, frames, adv_out, adv_frames, anchor, start, limit, used, done))
+            state, alarm = self.take(state, m)
+        self.state.update(tuple(state))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if done:
-            self.handle.registerTimer(int(feed.ts_ms.iloc[-1]) + FORGET_MS)
+        if state[8]:
+            self.handle.registerTimer(int(minutes[-1]["last_ms"]) + FORGET_MS)
         else:
-            self.handle.registerTimer(self._due(anchor, start, limit)[0] + 1)
+            self.handle.registerTimer(self._wake(state))
         if alarm:
-            yield self._row(key, alarm[0], alarm[1], anchor)
+            yield self._row(key, *alarm, state[4])
+
+    def take(self, state, m):
+        """(state after a minute, (alarm, when) or None). What comes first in time ends the watch."""
+        out, frames, o, f, anchor, start, limit, used, _ = state
+        ts = np.asarray(m["ts_ms"], np.int64)
+        x, y = filled(np.asarray(m["out_seconds"], float), out), filled(np.asarray(m["frames"], float), frames)
+        size, last = np.asarray(m["out_size"], float), int(m["last_ms"])
+        ended = np.flatnonzero(np.asarray(m["ended"], bool))
+        known = pd.notna(m["duration_seconds"]) and m["duration_seconds"] > 0
+        if len(ended):
+            n = int(ended[0]) + 1
+            ts, x, y, size, last = ts[:n], x[:n].copy(), y[:n], size[:n], int(ts[n - 1])
+            x[-1] = max(x[-1], m["duration_seconds"] if known else 0.0)
+        # line by line, and before each line: is the time up?
+        moving = np.flatnonzero((x > o) | (y > f))
+        due, kind = self._due(anchor, start, limit)
+        if len(moving) and ts[moving[0]] <= due:  # the clock was set anew; inside a minute only the limit can run out
+            due, kind = (start + limit, "timeout") if limit > 0 else (last, "")
+        at = due if kind and last > due else None
+        bloat = None
+        if known and pd.notna(m["source_size"]) and m["source_size"] > 0:
+            ratio, i = x / m["duration_seconds"], 0
+            while used < len(self.checkpoints):
+                past = np.flatnonzero(ratio[i:] >= self.checkpoints[used])
+                if not len(past) or at is not None and ts[i + past[0]] > at:
+                    break
+                i, used = i + int(past[0]) + 1, used + 1
+                done = ratio[i - 1]
+                if size[i - 1] > 0 and done >= 0.01 and size[i - 1] / done >= m["source_size"] * self.threshold:
+                    bloat = i
+                    break
+        if bloat is not None:
+            n, alarm = bloat, ("bloat", int(ts[bloat - 1]))
+        elif at is not None:
+            n, alarm = int(np.searchsorted(ts, at, side="right")), (kind, at)
+        else:
+            n, alarm = len(ts), None
+        o, f, anchor = moved(x[:n], y[:n], ts[:n], o, f, anchor)
+        if len(x):
+            out, frames = float(x[-1]), float(y[-1])
+        return [out, frames, o, f, anchor, start, limit, used, alarm is not None or len(ended) > 0], alarm
 
     def _due(self, anchor, start, limit):
         """(when the encode's time is up, why)."""
         stall = anchor + self.stall_ms
         return (start + limit, "timeout") if 0 < limit and start + limit < stall else (stall, "stall")
 
-    def _crossed(self, r, out, used) -> int:
-        known = pd.notna(r.duration_seconds) and r.duration_seconds > 0 and pd.notna(r.source_size) and r.source_size > 0
-        return int(known and used < len(self.checkpoints)
-                   and out / r.duration_seconds >= self.checkpoints[used])
-
-    def _overrun(self, r, out, used) -> bool:
-        if not self._crossed(r, out, used) or pd.isna(r.out_size) or r.out_size <= 0:
-            return False
-        done = out / r.duration_seconds
-        return done >= 0.01 and r.out_size / done >= r.source_size * self.threshold
+    def _wake(self, state):
+        """A timer looks once the minute in which time is up has closed, so that all its lines are in."""
+        return self._due(*state[4:7])[0] + MINUTE_MS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
             return
-        out, frames, adv_out, adv_frames, anchor, start, limit, used, done = self.state.get()
-        if done:
+        state = list(self.state.get())
+        if state[8]:
             self.state.clear()
             return
-        at, kind = self._due(anchor, start, limit)
-        self.state.update((out, frames, adv_out, adv_frames, anchor, start, limit, used, True))
+        at, kind = self._due(*state[4:7])
+        self.state.update((*state[:8], True))
         self.handle.registerTimer(at + FORGET_MS)
-        yield self._row(key, kind, at, anchor)
+        yield self._row(key, kind, at, state[4])
 
     def close(self) -> None:
         pass
@@ -113,15 +153,22 @@ class EncodeWatch(StatefulProcessor):
         return pd.DataFrame({"encode_id": [key[0]], "alarm": [alarm], "at_ms": [at], "anchor_ms": [anchor]})
 
 
+def minutes(lines: DataFrame) -> DataFrame:
+    """The lines of each encode, minute by minute: arrays in the order of time."""
+    rows = progress_parse(lines.withWatermark("ts", WATERMARK)).withColumn("ts_ms", F.unix_millis("ts"))
+    line = F.struct("ts_ms", "seq", "out_seconds", F.col("frames").cast("double").alias("frames"), "ended", F.col("out_size").cast("double").alias("out_size"))
+    each = rows.groupBy("encode_id", F.window("ts", f"{MINUTE_MS} milliseconds")).agg(
+        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return each.select("encode_id", "window", "first_ms", "last_ms", *[
+        F.col("lines")[c].alias(c) for c in ("ts_ms", "out_seconds", "frames", "ended", "out_size")])
+
+
 def watch(lines: DataFrame, encodes: DataFrame, **options) -> DataFrame:
     """Alarms over a stream of encode_id, ts, seq, line and out_size.
 
     encodes: a table of encode_id, start_ms, timeout_s, duration_seconds, source_size.
     """
-    rows = progress_parse(lines.withWatermark("ts", WATERMARK)).join(encodes, "encode_id", "left")
-    rows = rows.select(
-        "encode_id", "ts", F.unix_millis("ts").alias("ts_ms"), "seq", "out_seconds", "frames", "ended",
-        "out_size", "start_ms", "timeout_s", "duration_seconds", "source_size")
+    rows = minutes(lines).join(encodes.select("encode_id", "start_ms", "timeout_s", "duration_seconds", "source_size"), "encode_id", "left")
     return rows.groupBy("encode_id").transformWithStateInPandas(
         statefulProcessor=EncodeWatch(**options), outputStructType=ALARM,
         outputMode="Append", timeMode="EventTime")

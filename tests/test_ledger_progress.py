@@ -5,7 +5,7 @@ from pyspark.sql import Window as W, functions as F
 
 from mediacairn.operators import audit as au, ledger as lg, progress as pg
 from mediacairn.operators.hotkeys import latest_per_key, running
-from mediacairn.streaming import progress as sp, scan
+from mediacairn.streaming import jobs, progress as sp, scan
 
 
 def test_running_equals_plain_window_on_a_hot_key(spark):
@@ -76,6 +76,38 @@ def test_stall_follows_last_advancing_line(spark, table):
         assert got == want and 0 < len(want) < 40
 
 
+def test_chunk_maps_compose_to_the_walk(spark):
+    """Random chunks, many of them: the pair before each chunk is that of a walk over all lines."""
+    random.seed(7)
+    feeds = []
+    for e in range(6):
+        low = random.choice([-30, 0])
+        feeds.append([(e, c, n, float(max(0, random.randint(low, 9))), max(0, random.randint(low, 9)) + (3 * c if e % 2 else 0)) for c in range(230) for n in range(random.randint(1, 4))])
+    rows = [r for f in feeds for r in f]
+    df = spark.createDataFrame(rows, "e int, c int, n int, o double, f int")
+    line = F.struct((F.col("c") * 10 + F.col("n")).alias("t_s"), F.col("n").alias("seq"), "o", "f")
+    chunks = df.groupBy("e", "c").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    maps = chunks.groupBy("e").agg(F.array_sort(F.collect_list(F.struct(F.col("c").alias("chunk"), pg.chunk_map(F.col("lines")).alias("m")))).alias("maps"))
+    start = F.struct(F.lit(0.0).alias("o"), F.lit(0).alias("f"), F.lit(-1).alias("since"))
+    for block in (100, 7):
+        got = {(r.e, r.chunk): (r.pair.o, r.pair.f, r.pair.since) for r in maps.select("e", F.inline(pg.before_each(F.col("maps"), start, block))).collect()}
+        want = {}
+        for feed in feeds:
+            pair = (0.0, 0, -1)
+            for e, c, n, o, f in feed:
+                want.setdefault((e, c), pair)
+                if o > pair[0] or f > pair[1]:
+                    pair = (o, f, c * 10 + n)
+        assert got == want
+
+
+def test_stall_in_a_feed_that_falls_at_every_second_line(spark, table):
+    lines = spark.range(60_000).selectExpr("1L AS encode_id", "id AS t_s", "id AS seq", "double(if(id % 2 = 1, 0, id)) AS current_seconds", "0L AS frames")
+    quiet = lines.unionByName(spark.createDataFrame([(1, 60_000 + 100 * n, 60_000 + n, 0.0, 0) for n in range(6)], lines.schema))
+    got = pg.stall_watchdog(quiet, table(ENC, (1, 0, 1.0, 24.0, 1, 0))).collect()
+    assert [(r.t_s, r.seq, r.anchor_s) for r in got] == [(60_300, 60_003, 59_998)]
+
+
 def brute_bloat(rows, duration, size, marks=(0.1, 0.2, 0.3, 0.5), threshold=0.9):
     left = list(marks)
     for t, seq, cur, out in rows:
@@ -153,6 +185,70 @@ def test_stream_watch_finds_silent_slow_and_bloated(spark, table, tmp_path, rock
     assert got == {(1, "stall", 310000), (3, "stall", 310000), (4, "timeout", 400000), (5, "bloat", 10000)}
 
 
+def walk(feed, stall, start, limit, duration, size, marks, threshold):
+    """The watch line by line: (alarm, at, anchor), ended."""
+    out = frames = o = f = 0
+    anchor, left = start, list(marks)
+    for t, x, y, end, weight in feed:
+        due, kind = (start + limit, "timeout") if limit and start + limit < anchor + stall else (anchor + stall, "stall")
+        if t > due:
+            return (kind, due, anchor), False
+        out, frames = out if x is None else x, frames if y is None else y
+        if end:
+            out = max(out, duration or 0)
+        if out > o or frames > f:
+            o, f, anchor = out, frames, t
+        if duration and left and out / duration >= left[0]:
+            left.pop(0)
+            if weight and out / duration >= 0.01 and weight / (out / duration) >= size * threshold:
+                return ("bloat", t, anchor), False
+        if end:
+            return None, True
+    return None, False
+
+
+def test_minutes_of_the_watch_are_the_walk_line_by_line():
+    rng = random.Random(2)
+    seen = set()
+    for _ in range(1500):
+        limit, duration = rng.choice([0, 0, 300_000, 421_000]), rng.choice([None, 100.0])
+        t, feed, pos = 0, [], 0
+        for n in range(rng.randint(1, 60)):
+            t += rng.choice([500, 2000, 15_000, 55_000] if rng.random() < .97 else [90_000, 200_000])
+            pos = max(0, pos + rng.choice([0, 0, 1, 1, 2, 30, -3]))
+            feed.append((t, rng.choice([None, float(pos)]), rng.choice([None, None, pos * 2 + rng.choice([0, 0, 9, -9])]), rng.random() < .01, rng.choice([None, 0, int(pos * rng.choice([500, 800, 1200]))])))
+        want = walk(feed, 120_000, 0, limit, duration, 100_000, (0.1, 0.2, 0.3, 0.5), 0.9)
+        watch = sp.EncodeWatch(stall_ms=120_000, threshold=0.9, checkpoints=(0.1, 0.2, 0.3, 0.5))
+        state, alarm = [0.0, 0.0, 0.0, 0.0, 0, 0, limit, 0, False], None
+        null = lambda values: [float("nan") if v is None else v for v in values]
+        for minute in sorted({r[0] // 60_000 for r in feed}):
+            part = [r for r in feed if r[0] // 60_000 == minute]
+            m = {"ts_ms": [r[0] for r in part], "out_seconds": null(r[1] for r in part), "frames": null(r[2] for r in part), "ended": [r[3] for r in part],
+                 "out_size": null(r[4] for r in part), "first_ms": part[0][0], "last_ms": part[-1][0], "duration_seconds": duration, "source_size": 100_000}
+            state, alarm = watch.take(state, m)
+            if state[8]:
+                break
+        assert (alarm and (*alarm, state[4])) == want[0], feed
+        assert state[8] == (want[0] is not None or want[1])
+        seen.add(alarm and alarm[0])
+    assert seen == {None, "stall", "timeout", "bloat"}
+
+
+def test_streams_over_a_table_of_several_files(spark, tmp_path):
+    """events.parquet as a folder of files in the order of time, read in more than one micro-batch."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for part in range(3):
+        events.filter(f"event_id % 1000 >= {part * 400} AND event_id % 1000 < {part * 400 + 400}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    whole = str("/root/testdata/sf0.001")
+    before, jobs.BATCH_BYTES = jobs.BATCH_BYTES, 1
+    try:
+        for run in (jobs.windows_over_events, jobs.latest_over_events, jobs.watch_over_events):
+            got = sorted(map(str, run(spark, str(tmp_path)).collect()))
+            assert got and got == sorted(map(str, run(spark, whole).collect()))
+    finally:
+        jobs.BATCH_BYTES = before
+
+
 def test_stream_scan_survives_a_repeated_batch(spark, tmp_path):
     ddl = "path string, size bigint, ts timestamp"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
