@@ -118,6 +118,37 @@ def near(a: str, b: str) -> bool:
     return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
 
 
+def letters(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.array(words).view(np.uint32).reshape(len(words), -1)
+
+
+def near_pairs(queries: list[str], others: list[str]):
+    """(places in queries, places in others) of near words; others have one length."""
+    size, out = len(others[0]), [np.zeros((2, 0), np.int64)]
+    lengths = np.array([len(q) for q in queries])
+    rows = letters(others)
+    for length in (size - 1, size, size + 1):
+        who = np.flatnonzero(lengths == length)
+        if not len(who):
+            continue
+        asked = letters([queries[i] for i in who])
+        step = max(1, 4_000_000 // (len(asked) * size))
+        for first in range(0, len(rows), step):
+            a, b = asked[:, None, :], rows[None, first:first + step, :]
+            if length == size:
+                found = (a != b).sum(axis=2) == 1
+            else:  # equal letters from the front and from the back must cover the shorter word
+                a, b = (a, b) if length < size else (b, a)
+                short = a.shape[2]
+                front = np.logical_and.accumulate(a == b[:, :, :short], axis=2).sum(axis=2)
+                back = np.logical_and.accumulate((a == b[:, :, 1:])[:, :, ::-1], axis=2).sum(axis=2)
+                found = front + back >= short
+            i, j = np.nonzero(found)
+            out.append(np.array([who[i], j + first]))
+    return np.concatenate(out, axis=1)
+
+
 class Trie:
     """Words by their vectors: a node is (count, node below) pairs, or in the last level the places of its words."""
 
@@ -145,11 +176,12 @@ class Trie:
                 if level < GROUPS - 1:
                     stack.append((below, level + 1, who[fits], more[fits] & (here + 1 != count), fewer[fits] & (here - 1 != count)))
                     continue
-                for q in who[fits].tolist():
-                    word = words[q]
-                    for at in below:
-                        if near(word, self.words[at]):
-                            yield q, at
+                here, there = who[fits].tolist(), [self.words[at] for at in below]
+                if len(here) * len(there) < 32 or len({len(w) for w in there}) > 1:
+                    yield from ((q, at) for q in here for at in below if near(words[q], self.words[at]))
+                else:
+                    i, j = near_pairs([words[q] for q in here], there)
+                    yield from zip([here[x] for x in i], [below[x] for x in j])
 
 
 def search_cell(homes: pa.Table, asked: pa.Table) -> pa.Table:
