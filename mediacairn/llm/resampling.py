@@ -164,9 +164,19 @@ def word_counts(tables: list[DataFrame]) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The `size` most frequent words of up to LONGEST bytes: 4 MB at most. What is left out has the scanner's other way."""
-    fit = counts.filter(F.octet_length("word") <= LONGEST)
-    return [r.word for r in fit.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    """The most frequent words of up to LONGEST bytes, down to a level of counts at which there are `size` at most: 4 MB.
+
+    Levels of counts are counted first, so no more than these words come to the driver. What is left out has the
+    scanner's other way.
+    """
+    fit = counts.filter(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(8 * F.log2("n")))
+    least, words = None, 0
+    for level, n in sorted(fit.groupBy("level").count().collect(), reverse=True):  # 8 levels for each power of two
+        words += n
+        if words > size:
+            break
+        least = level
+    return [] if least is None else sorted(r.word for r in fit.filter(F.col("level") >= least).select("word").collect())
 
 
 #: Kept by a Python worker from task to task.
@@ -239,7 +249,7 @@ def resample(docs: DataFrame, target: DataFrame, order: int = 1, buckets: int =
     """docs (doc_id, text, ...) and target (text, ...) -> row (docs without text), n_words, n_features, weight, score, rank."""
     spark = docs.sparkSession
     folder = work_dir(spark, "resampling")
-    words = dictionary(word_counts([docs, target]), size)
+    words = dictionary(stored(word_counts([docs, target]), f"{folder}/words"), size)
     shared = spark.sparkContext.broadcast(words)
     code = stored(coded(docs, shared, folder, order, buckets), f"{folder}/rows")
     aim = stored(coded(target.select("text"), shared, folder, order, buckets), f"{folder}/target")
