@@ -6,7 +6,8 @@ from mediacairn.llm import embedding_dedup
 def brute(rows, threshold=0.9):
     """Rows of (n_links, component, kept)."""
     ok = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and i is not None for i, v in rows]
-    vec = [np.array(v, float) / np.linalg.norm(v) if o else None for (_, v), o in zip(rows, ok)]
+    vec = [np.array(v, float) / max(map(abs, v)) if o else None for (_, v), o in zip(rows, ok)]
+    vec = [v / np.linalg.norm(v) if v is not None else None for v in vec]
     up = {i: i for i, _ in rows}
 
     def root(x):
@@ -43,7 +44,7 @@ def crowd(seed, n, dim):
 
 
 def test_against_brute_force(spark):
-    for dim, tile in ((24, 50), (100, 4096), (3, 20)):
+    for dim, tile in ((24, 50), (100, 4096), (8, 20)):
         rows = crowd(dim, 300, dim)
         want = brute(rows)
         assert len({c for _, _, c in want}) > 5 and max(n for _, n, _ in want) > 20
