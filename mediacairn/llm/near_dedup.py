@@ -168,16 +168,30 @@ class Forest:
 def block_edges(members: DataFrame, size: int, judge, named="doc_id") -> DataFrame:
     """Edges (a, b) between members of a group that lie in different components and pass a test.
 
-    members: key, doc_id, component, sketch and what else `judge` needs. A group is cut into blocks by hash, and every
-    two of its blocks meet in about 2 * size rows, so no task grows with a group. Only edges that join something are
-    returned, fewer than rows. judge(rows) -> test(i, j): are these rows linked? named: what an edge tells of its ends.
+    members: key, doc_id, component, sketch and what else `judge` needs. A group's largest component is cut into blocks
+    by hash, and so are its other members; each block of these meets each block of the largest one, and each other, in
+    about 2 * size rows. The largest component never meets itself, and no task grows with a group. Only edges that join
+    something are returned, fewer than rows. judge(rows) -> test(i, j): are these rows linked? named: what an edge tells
+    of its ends.
     """
     extra = [c for c in members.columns if c not in ("key", "doc_id", "component", "sketch")]
-    spread = (members.join(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "key")
-              .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch", *extra))
-    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select(
+        "key", F.col("top.component").alias("most"), F.ceil(F.col("top.n") / size).cast("int").alias("large"),
+        F.ceil((F.col("n") - F.col("top.n")) / size).cast("int").alias("small"))
+    is_large = F.col("component") == F.col("most")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(is_large, F.col("large")).otherwise(F.col("small"))).cast("int")
+    # cells (i, j): i of the small blocks, j of the large ones from 0 up, or of the small ones from -1 down
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    me = F.col("own")
+    cells = F.when(is_large, F.transform(each("small"), lambda i: cell(i, me, F.lit(-1)))).otherwise(F.concat(
+        F.transform(each("large"), lambda j: cell(me, j, me)),
+        F.transform(each("small"), lambda i: cell(F.least(me, i), -1 - F.greatest(me, i), me))))
+    spread = (members.join(groups.filter("small > 0"), "key").withColumn("own", own).withColumn("cell", F.explode(cells))
+              .select("key", "cell.i", "cell.j", F.col("cell.side").alias("own"), "doc_id", "component", "sketch", *extra))
+    # of a block against the largest component, its own rows come first: each is compared with all that follow
+    ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("own"))
 
     def compare(rows):
         own, ids, homes = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
@@ -216,9 +230,14 @@ def settled(shared: DataFrame, joined: DataFrame, heads: DataFrame, texts: DataF
     """Links between different components that meet in a bucket, which its smallest class didn't show; None if there are none."""
     placed = shared.filter("n > 2").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    # buckets with the same components are one: copies that share all bands lie in one group, and not in BANDS of them
+    sum_of = lambda salt: F.sum(F.xxhash64("component", F.lit(salt)).cast("decimal(38,0)"))
+    open_ = (placed.groupBy("key", "component").agg(F.lit(1).alias("one")).groupBy("key")
+             .agg(F.count(F.lit(1)).alias("parts"), sum_of(1).alias("x"), sum_of(2).alias("y")).filter("parts > 1")
+             .select("key", F.xxhash64("parts", "x", "y").alias("group")))
     sketches = heads.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    members = placed.join(unsettled, "key", "left_semi").join(sketches, "doc_id").select("key", "doc_id", "component", "sketch")
+    members = (placed.join(open_, "key").select(F.col("group").alias("key"), "doc_id", "component").distinct()
+               .join(sketches, "doc_id").select("key", "doc_id", "component", "sketch"))
     alike = stored(block_edges(members, BLOCK, lambda rows: lambda i, j: True, "component"), f"{folder}/alike")
     if alike.isEmpty():
         return None
