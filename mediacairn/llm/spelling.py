@@ -4,7 +4,9 @@ Words are longest runs of A-Z, a-z and U+00C0 to U+00FF; A-Z count as a-z. Lette
 point, and a word's vector tells how many letters of each group it has. The trie has one level for each group: words lie
 along the path of their counts. One inserted letter is a surplus of one in a group, one deleted letter a deficit, a
 replaced letter both or neither; so a depth-first search from a word spends at most one surplus and one deficit on its
-way down, and the words in the leaves it reaches are verified letter by letter.
+way down, and the words in the leaves it reaches are verified letter by letter. A deficit is spent only behind a
+surplus: of two words with different vectors one finds the other and is not found by it, so that each pair is looked at
+once and told to both.
 
 The vocabulary is spread over Spark by the top of the trie: nodes with more words than a cell should hold are inner
 nodes, and only their paths are known everywhere (a cell holds CELL words or a 2**14th of them all, so there are 2**14 *
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER, UPPER, importable, map_batches, stored, work_dir
 
 GROUPS = 13
-CELL = 4000
+CELL = 8000
 BLOCK = 2048
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 SMALL = str.maketrans(UPPER, LOWER)
@@ -90,19 +92,19 @@ def inner_nodes(words: DataFrame, cell: int) -> set[bytes]:
 
 
 def cells(path: bytes, inner) -> list[bytes]:
-    """The cells a search from `path` reaches: depth first over the inner nodes, with one surplus and one deficit to spend."""
-    out, stack = [], [(b"", 1, 1)]
+    """The cells a search from `path` reaches: depth first over the inner nodes, one surplus to spend and then one deficit."""
+    out, stack = [], [(b"", 0)]
     while stack:
-        node, more, fewer = stack.pop()
+        node, spent = stack.pop()
         if node not in inner:
             out.append(node)
             continue
         count = path[len(node)]
-        stack.append((node + bytes([count]), more, fewer))
-        if more and count < 255:
-            stack.append((node + bytes([count + 1]), 0, fewer))
-        if fewer and count:
-            stack.append((node + bytes([count - 1]), more, 0))
+        stack.append((node + bytes([count]), spent))
+        if spent == 0 and count < 255:
+            stack.append((node + bytes([count + 1]), 1))
+        if spent == 1 and count:
+            stack.append((node + bytes([count - 1]), 2))
     return sorted(set(out))
 
 
@@ -161,45 +163,53 @@ class Trie:
             node.setdefault(path[-1], []).append(at)
 
     def search(self, words: list[str], paths: list[bytes]):
-        """Yield (place of the searched word, place of a near word), depth first, a set of searches at every node."""
+        """Yield (place of the searched word, place of a near word), each pair from one side only.
+
+        Depth first, with a set of searches at every node: spent is 0, 1 behind a surplus, 2 behind the deficit after it.
+        """
         counts = np.frombuffer(b"".join(paths), np.uint8).reshape(-1, GROUPS).astype(np.int64)
-        n = len(words)
-        stack = [(self.root, 0, np.arange(n), np.ones(n, bool), np.ones(n, bool))]
+        stack = [(self.root, 0, np.arange(len(words)), np.zeros(len(words), np.int8))]
         while stack:
-            node, level, who, more, fewer = stack.pop()
+            node, level, who, spent = stack.pop()
             asked = counts[who, level]
             for count, below in node.items():
-                fits = (asked == count) | (asked + 1 == count) & more | (asked - 1 == count) & fewer
+                over = count - asked
+                fits = (over == 0) | (over == 1) & (spent == 0) | (over == -1) & (spent == 1)
                 if not fits.any():
                     continue
-                here = asked[fits]
+                here, now = who[fits], spent[fits] + (over[fits] != 0)
                 if level < GROUPS - 1:
-                    stack.append((below, level + 1, who[fits], more[fits] & (here + 1 != count), fewer[fits] & (here - 1 != count)))
+                    stack.append((below, level + 1, here, now))
                     continue
-                here, there = who[fits].tolist(), [self.words[at] for at in below]
-                if len(here) * len(there) < 32 or len({len(w) for w in there}) > 1:
-                    yield from ((q, at) for q in here for at in below if near(words[q], self.words[at]))
+                others = [self.words[at] for at in below]
+                if len(here) * len(others) < 32 or len({len(w) for w in others}) > 1:
+                    found = [(i, j) for i, q in enumerate(here.tolist()) for j in range(len(others)) if near(words[q], others[j])]
                 else:
-                    i, j = near_pairs([words[q] for q in here], there)
-                    yield from zip([here[x] for x in i], [below[x] for x in j])
+                    found = zip(*near_pairs([words[q] for q in here.tolist()], others).tolist())
+                for i, j in found:
+                    if now[i] or words[here[i]] < others[j]:  # equal vectors: both are found from each other
+                        yield int(here[i]), below[j]
 
 
 def search_cell(homes: pa.Table, asked: pa.Table) -> pa.Table:
-    """One cell: for every searched word how many near words live here, and the most frequent of them (ties: smallest)."""
+    """One cell: for each word of a near pair how many were found here, and the most frequent of them (ties: smallest)."""
     words, n = homes["word"].to_pylist(), homes["n"].to_pylist()
-    rows = []
+    found = {}
+
+    def tell(word, other, times):
+        count, best = found.get(word, (0, (0, "")))
+        found[word] = count + 1, min(best, (-times, other))
     if words:
         trie = Trie(words, homes["path"].to_pylist())
         for first in range(0, len(asked), BLOCK):
             part = asked.slice(first, BLOCK)
-            queries, found = part["word"].to_pylist(), {}
+            queries, times = part["word"].to_pylist(), part["n"].to_pylist()
             for q, at in trie.search(queries, part["path"].to_pylist()):
-                count, best = found.get(q, (0, None))
-                mine = (-n[at], words[at])
-                found[q] = count + 1, mine if best is None else min(mine, best)
-            rows += [(queries[q], count, best[1], -best[0]) for q, (count, best) in found.items()]
-    return pa.table({"word": pa.array([r[0] for r in rows], pa.string()), "n_near": pa.array([r[1] for r in rows], pa.int64()),
-                     "best": pa.array([r[2] for r in rows], pa.string()), "best_n": pa.array([r[3] for r in rows], pa.int64())})
+                tell(queries[q], words[at], n[at])
+                tell(words[at], queries[q], times[q])
+    rows = list(found.items())
+    return pa.table({"word": pa.array([w for w, _ in rows], pa.string()), "n_near": pa.array([x[0] for _, x in rows], pa.int64()),
+                     "best": pa.array([x[1][1] for _, x in rows], pa.string()), "best_n": pa.array([-x[1][0] for _, x in rows], pa.int64())})
 
 
 def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:

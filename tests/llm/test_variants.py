@@ -78,9 +78,20 @@ def test_cells_hold_every_near_word():
     paths = {w: spelling.vector(w) for w in words}
     inner = {p[:k] for p in list(paths.values())[:40] for k in range(5)} | {b""}
     for a in words[:60]:
-        reached = set(spelling.cells(paths[a], inner))
-        assert len(reached) == len(spelling.cells(paths[a], inner))
-        assert all(spelling.home(paths[b], inner) in reached for b in words if spelling.near(a, b))
+        reached = spelling.cells(paths[a], inner)
+        assert len(reached) == len(set(reached)) and spelling.home(paths[a], inner) in reached
+        for b in words:
+            if spelling.near(a, b):
+                assert spelling.home(paths[b], inner) in reached or spelling.home(paths[a], inner) in spelling.cells(paths[b], inner)
+
+
+def test_each_pair_is_found_from_one_side():
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abno") for _ in range(rng.randint(5, 6))) for _ in range(250)})
+    paths = [spelling.vector(w) for w in words]
+    found = list(spelling.Trie(words, paths).search(words, paths))
+    want = {frozenset((a, b)) for a, x in enumerate(words) for b, y in enumerate(words) if spelling.near(x, y)}
+    assert len(found) == len(want) and {frozenset(p) for p in found} == want
 
 
 def test_verification_in_blocks_is_the_plain_one():
