@@ -1,5 +1,7 @@
 """Track, naming, rename and recycle queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed, naming as n, tracks as tf
@@ -154,33 +156,71 @@ def track_stats(t):
 
 # ---------------------------------------------------------------- names
 
-# stems and what each function must make of them, behind a `T<key>.` that none of them touches
-GOLDENS = [
-    ("Glass Harbor (1987) 720p DVD H.264-KITE", "Glass.Harbor.(1987).720p.DVD-KITE.AV1"),
-    ("Salt.Road.2003.1440p.HDR.HEVC.x265.8bit-OWL", "Salt.Road.2003.1440p.HDR.8bit-OWL.AV1"),
-    ("Night Ferry (1994) [HEVC]", "Night.Ferry.(1994).AV1"),
-    ("Quiet.Orchard.1971", "Quiet.Orchard.1971.AV1"),
-    ("Quiet_Orchard_1971.AV1", "Quiet.Orchard.1971.AV1"),
-    ("Copper.Valley.TV-2160p.HEVC.AC35.1.x264+H.265", "Copper.Valley.TV-2160p.AC35.1.AV1"),
-    ("Copper.Valley.TV-2160p.HEVC.DV.HDR10Plus.AC35.1.HEVC+x265", "Copper.Valley.TV-2160p.HDR10.AC35.1.AV1"),
-    ("Tin.Lantern.Disc-2160p.HDR10.HEVC", "Tin.Lantern.Disc-2160p.HDR10.AV1"),
-    ("Tin.Lantern.Dolby.Vision.HDR10+.HEVC", "Tin.Lantern.HDR10.AV1"),
-    ("Paper.Moth.DV.FLAC2.0.HEVC", "Paper.Moth.HDR10.FLAC2.0.AV1"),
-    ("Paper.Moth.DV.HDR10.FLAC.HEVC", "Paper.Moth.HDR10.FLAC.AV1"),
-    ("Low.Tide.Disc-720p.MPEG2.PCM5.1", "Low.Tide.Disc-720p.PCM5.1.AV1"),
-    ("Low.Tide.MPEG-2.MP3", "Low.Tide.MP3.AV1"),
-    ("Ash.Meadow.VC-1.PCM2.0", "Ash.Meadow.PCM2.0.AV1"),
-    ("Stone.Garden.Rip.XviD-FOX", "Stone.Garden.Rip-FOX.AV1"),
-    ("Stone Garden DivX", "Stone.Garden.AV1"),
-    ("River.Clock.VP9.Opus", "River.Clock.Opus.AV1"),
-    ("River.Clock.MPEG2video", "River.Clock.AV1"),
-    ("Wren.House.MPEG-4.HEVC", "Wren.House.MPEG-4.AV1"),
-    ("Wren.House.DVRip.HEVC", "Wren.House.DVRip.AV1"),
-]
-HEVC_GOLDENS = [
-    ("Amber.Mill.480p.x264-JAY", "Amber.Mill.480p-JAY.HEVC"),
-    ("Amber.Mill.DV.HDR10Plus.x264-JAY", "Amber.Mill.DV.HDR10Plus-JAY.HEVC"),
-]
+# Stems are made of titles of the tables and of tokens, spelled from the fixed patterns and drawn by row number; the check
+# puts the expected name together from the same parts.
+
+
+def spelled(pattern):
+    """One plain spelling of a token's pattern."""
+    for regex, text in ((r"\\\.\?", "."), (r"\[\. _-\]\?", "."), (r"-\?", "-"), (r"\(\?:video\)\?", "video"), (r"\[0-9\]\?", "3"), (r"\\\+", "+")):
+        pattern = re.sub(regex, text, pattern)
+    return pattern
+
+
+def drawn(values, number):
+    """SQL: the value that a row's number draws."""
+    arms = " ".join(f"WHEN {i} THEN {_quote(v)}" for i, v in enumerate(values))
+    return f"CASE CAST(floor({number}) AS BIGINT) % {len(values)} {arms} END"
+
+
+def _quote(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def token_stems(codec):
+    """SQL columns over `orders` joined to a title of `part`: title, joint, and the drawn tokens."""
+    foreign = [spelled(x) for x in fixed.FOREIGN_TOKENS[codec]]
+    lost = [spelled(x) for x in fixed.LOST_METADATA_TOKENS["av1"]]
+    return (f"o_orderkey AS k, p_name AS title, CASE o_orderkey % 3 WHEN 0 THEN '.' WHEN 1 THEN ' ' ELSE '_' END AS joint, "
+            f"{drawn(foreign, 'o_orderkey / 3e0')} AS one, {drawn(foreign, 'o_orderkey / 7e0')} AS two, {drawn(lost, 'o_orderkey / 5e0')} AS lost, "
+            f"CAST(floor(o_orderkey / 11e0) AS BIGINT) % 7 AS shape, CAST(1950 + o_custkey % 70 AS STRING) AS year")
+
+
+#: shape -> parts of a stem, joined by the row's joint; and of the name it becomes, joined by dots.
+SHAPES = {
+    0: (["title", "one"], ["title"]),
+    1: (["title", "year", "concat(one, '+', two)"], ["title", "year"]),
+    2: (["title", "concat('[', two, ']')", "'5.1'"], ["title", "'5.1'"]),
+    3: (["title", "lost", "one", "'DTS'"], ["title", "kept", "'DTS'"]),
+    4: (["concat(title, ' (', year, ')')", "'HDR'", "lost", "concat(one, '-', 'Crew')"], ["concat(title, ' (', year, ')')", "named"]),
+    5: (["title", "year"], ["title", "year"]),
+    6: (["title", "lost", "lost", "two", "'Opus'"], ["title", "twice", "'Opus'"]),
+}
+
+
+def _joined(side, joint):
+    arms = " ".join(f"WHEN {i} THEN concat_ws({joint}, {', '.join(parts[side])})" for i, parts in SHAPES.items())
+    return f"CASE shape {arms} END"
+
+
+def name_check(codec, token):
+    """What the parts must become: spaces and underscores are dots, the codec's token comes last."""
+    av1 = codec == "av1"
+    kept, named = ("'HDR10'", "'HDR-Crew'") if av1 else ("lost", "concat('HDR.', lost, '-Crew')")
+    twice = "'HDR10'" if av1 else "concat(lost, '.', lost)"
+    body = _joined(1, "'.'")
+    return f"""
+SELECT k, stem, concat(regexp_replace(replace(body, ' ', '.'), '_', '.', 'g'), '.{token}') AS new_stem
+FROM (SELECT k, {_joined(0, 'joint')} AS stem, {body} AS body
+      FROM (SELECT *, {kept} AS kept, {named} AS named, {twice} AS twice
+            FROM (SELECT {token_stems(codec)} FROM orders JOIN part ON p_partkey = o_orderkey % 200) a) b) c"""
+
+
+def _token_stems(t, codec):
+    rows = t.given("orders").join(t.spark.read.parquet(f"{t.dir}/part.parquet"), F.expr("p_partkey = o_orderkey % 200"))
+    return t.spark.sql(f"SELECT k, {_joined(0, 'joint')} AS stem FROM (SELECT {token_stems(codec)} FROM {{rows}}) a", rows=rows)
+
+
 STRIPPED = [
     ("Amber.Mill.480p.x264-JAY", "Amber.Mill.480p.-JAY"), ("A.HEVC+H.265", "A.+"),
     ("HEVCX.8", "HEVCX.8"), ("B.MPEG-2.AC3", "B..AC3"), ("C.WMV9.h264.D", "C...D"), ("D.MPEG 2video", "D."),
@@ -195,10 +235,6 @@ CLEANED = [
 ]
 
 
-def _quote(s):
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _pick(pairs, side, col="k"):
     arms = " ".join(f"WHEN {i} THEN {_quote(x[side])}" for i, x in enumerate(pairs))
     return f"concat('T', CAST({col} AS STRING), '.', CASE {col} % {len(pairs)} {arms} END)"
@@ -212,14 +248,14 @@ def _golden_check(pairs, out):
     return f"SELECT o_orderkey AS k, {_pick(pairs, 0, 'o_orderkey')} AS stem, {_pick(pairs, 1, 'o_orderkey')} AS {out} FROM orders"
 
 
-@query("rewrite_name", "", _golden_check(GOLDENS, "new_stem"))
+@query("rewrite_name", "", name_check("av1", "AV1"))
 def rewrite_name(t):
-    return n.rewrite_name(_stems(t, GOLDENS), "stem", "new_stem")
+    return n.rewrite_name(_token_stems(t, "av1"), "stem", "new_stem")
 
 
-@query("rewrite_name_hevc", "", _golden_check(HEVC_GOLDENS, "new_stem"))
+@query("rewrite_name_hevc", "", name_check("hevc", "HEVC"))
 def rewrite_name_hevc(t):
-    return n.rewrite_name(_stems(t, HEVC_GOLDENS), "stem", "new_stem", "hevc")
+    return n.rewrite_name(_token_stems(t, "hevc"), "stem", "new_stem", "hevc")
 
 
 @query("strip_foreign_tokens", "", _golden_check(STRIPPED, "out"))

@@ -41,6 +41,20 @@ SEVERITY = {
     "legacy_codec": "'high'", "hd_non_av1": "'medium'", "uhd_non_av1": "'high'",
     "sd_non_av1": "'medium'", "container_migration": "'low'",
 }
+# Mbps with one decimal, ties to the even digit, in whole numbers
+TENTHS = "(video_bitrate // 100000 + CASE WHEN video_bitrate % 100000 > 50000 OR video_bitrate % 100000 = 50000 AND video_bitrate // 100000 % 2 = 1 THEN 1 ELSE 0 END)"
+REASON = {
+    "over_bitrate": f"concat({TENTHS} // 10, '.', {TENTHS} % 10, ' Mbps of ', {BUCKET}, ': more than ', {FLAG}, ', where ', {TARGET}, ' would do')",
+    "legacy_codec": f"concat({CODEC}, ' is outdated: half the space is enough')",
+    "hd_non_av1": f"concat('HD file still in ', {CODEC})", "uhd_non_av1": f"concat('UHD file still in ', {CODEC})",
+    "sd_non_av1": f"concat('SD file still in ', {CODEC})",
+    "container_migration": "concat('streams can leave the ', container, ' container as they are')",
+}
+NOTES = {
+    "over_bitrate": {"resolution_class": BUCKET, "target_mbps": TARGET, "flag_mbps": FLAG},
+    "legacy_codec": {"codec": CODEC}, "hd_non_av1": {"codec": CODEC, "height": "height"}, "uhd_non_av1": {"codec": CODEC, "height": "height"},
+    "sd_non_av1": {"codec": CODEC, "height": "height"}, "container_migration": {"container": "container"},
+}
 FIRM = "concat_ws(',', " + ", ".join(f"CASE WHEN ({e}) IS NOT NULL THEN '{n}' END" for n, e in RULE_MB.items()) + ")"
 ALL_FIRED = f"concat_ws(',', nullif({FIRM}, ''), CASE WHEN is_hdr THEN 'hdr_advisory' END)"
 BEST = "greatest(" + ", ".join(f"coalesce({e}, 0e0)" for e in RULE_MB.values()) + ")"
@@ -172,10 +186,12 @@ def encode_timeout(t):
 
 def _rule(name, mb, severity):
     @query("rule_" + name, "fx_probes",
-           f"SELECT path, '{name}' AS rule, {severity} AS severity, {mb} AS savings_mb FROM fx_probes WHERE ({mb}) IS NOT NULL")
+           f"SELECT path, '{name}' AS rule, {severity} AS severity, {mb} AS savings_mb, {REASON[name]} AS reason, "
+           + "concat_ws(' ', " + ", ".join(f"concat('{k}=', {v})" for k, v in NOTES[name].items()) + f") AS notes FROM fx_probes WHERE ({mb}) IS NOT NULL")
     def run(t):
         rows = r.evaluate_rules(t.probes(), [name]).select("path", F.explode("fired").alias("v"))
-        return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"))
+        notes = F.concat_ws(" ", *[F.concat(F.lit(k + "="), F.col("v.notes")[k]) for k in NOTES[name]])
+        return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"), "v.reason", notes.alias("notes"))
     return run
 
 
@@ -184,11 +200,11 @@ for _name, _mb in RULE_MB.items():
 
 
 @query("rule_hdr_advisory", "fx_probes",
-       "SELECT path, 'hdr_advisory' AS rule, 'medium' AS severity, CAST(NULL AS DOUBLE) AS savings_mb, color_transfer, color_primaries FROM fx_probes WHERE is_hdr")
+       "SELECT path, 'hdr_advisory' AS rule, 'medium' AS severity, CAST(NULL AS DOUBLE) AS savings_mb, 'has HDR, which an AV1 file keeps' AS reason, color_transfer, color_primaries FROM fx_probes WHERE is_hdr")
 def rule_hdr_advisory(t):
     rows = r.evaluate_rules(t.probes(), ["hdr_advisory"]).select("path", F.explode("fired").alias("v"))
     notes = [F.col("v.notes")[c].alias(c) for c in ("color_transfer", "color_primaries")]
-    return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"), *notes)
+    return rows.select("path", "v.rule", "v.severity", F.col("v.projected_savings_mb").alias("savings_mb"), "v.reason", *notes)
 
 
 @query("evaluate_rules", "fx_probes", f"SELECT path, {ALL_FIRED} AS fired FROM fx_probes")
