@@ -308,7 +308,7 @@ def read_write_state(t):
     state = State(t.spark, f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}")
     state.write("probes", _state_probes(t.nested_probes(), 1.0))
     fresh = _state_probes(_listing(t), 2.0)
-    state.write("probes", inc.probe_upsert(state.read("probes"), fresh))
+    state.update("probes", fresh, inc.probe_upsert)
     state.write("decisions", t.get("fx_decisions").select(
         "id", "path", "decided_at", F.array().cast("array<string>").alias("rules_fired"),
         F.lit("av1+mkv").alias("target"), F.col("projected_savings_mb").cast("double").alias("projected_savings_mb"),
@@ -328,7 +328,7 @@ def read_write_state(t):
 
 def _state_probes(df, at):
     """Fill the columns a projection lacks, in table order."""
-    fields = df.sparkSession.createDataFrame([], TABLES["probes"]).schema.fields
+    fields = df.sparkSession.createDataFrame([], TABLES["probes"][0]).schema.fields
     have = set(df.columns)
     return df.select(*[
         F.lit(at).alias("last_probed_at") if f.name == "last_probed_at"

@@ -74,9 +74,10 @@ def windows_over_events(spark, folder) -> DataFrame:
 
 def latest_over_events(spark, folder) -> DataFrame:
     where = _place(spark, "scan")
-    q = scan.start_scan(_events(spark, folder), where + "/rows", where + "/state", DONE)
+    feed = _events(spark, folder)
+    q = scan.start_scan(feed, where + "/rows", where + "/state", DONE, "user_id", ["event_id"])
     q.awaitTermination()
-    rows = scan.latest(spark, where + "/rows", ["user_id"], ["event_id"])
+    rows = scan.latest(spark, where + "/rows", feed.schema, "user_id")
     return rows.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("last_event"),
                        F.col("event_type").alias("state"))
 
@@ -91,9 +92,9 @@ def probes_over_documents(spark, docs_of, orders: DataFrame) -> DataFrame:
     orders.filter("o_orderkey % 3 = 0").write.parquet(where + "/feed/1")
     feed = spark.readStream.schema(orders.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(where + "/feed")
     rows = scan.probe_rows(docs_of(feed))
-    q = scan.start_scan(rows, where + "/rows", where + "/state", DONE)
+    q = scan.start_scan(rows, where + "/rows", where + "/state", DONE, "path", ["mtime", "stat_size"])
     q.awaitTermination()
-    return scan.latest(spark, where + "/rows", ["path"], ["mtime", "stat_size"])
+    return scan.latest(spark, where + "/rows", rows.schema, "path")
 
 
 def watch_over_events(spark, folder) -> DataFrame:

@@ -2,26 +2,29 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.hotkeys import latest_per_key
 from ..sources.probe_json import parse_probe_text, tag_probe_errors
+from ..sources.state import PARTS, KeyedTable
 
 
-def start_scan(rows: DataFrame, where: str, checkpoint: str, trigger):
-    """Store every new row under `where`, one directory per micro-batch.
+def start_scan(rows: DataFrame, where: str, checkpoint: str, trigger, key, version, parts=PARTS):
+    """Merge every micro-batch into the current table under `where`: one row per key, the one with the largest `version`.
 
-    The table is read latest-wins, so a row that comes twice does no harm and one that comes late is not lost. A batch
-    that is run again overwrites its own directory.
+    Only partitions that a batch touches are read and replaced. A row that comes twice does no harm and one that comes
+    late wins or loses by its version, so a batch that is run again changes nothing.
     """
+    table = KeyedTable(rows.sparkSession, where, rows.schema, key, parts)
+
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/batch={epoch}")
+        kept = batch.persist()  # read for its partitions, and again to be merged
+        table.merge_latest(kept, version)
+        kept.unpersist()
     return (rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
 
 
-def latest(spark: SparkSession, where: str, keys, version) -> DataFrame:
-    """Current table: newest stored row per key."""
-    return latest_per_key(spark.read.option("basePath", where).parquet(where).drop("batch"),
-                          list(keys), list(version))
+def latest(spark: SparkSession, where: str, schema, key, parts=PARTS) -> DataFrame:
+    """The current table: a plain scan."""
+    return KeyedTable(spark, where, schema, key, parts).read()
 
 
 def probe_rows(docs: DataFrame) -> DataFrame:

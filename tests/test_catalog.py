@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from mediacairn.functions import gate as g, paths as p, probe as pr
@@ -78,14 +79,43 @@ def test_gate_columns(probe):
     assert [r.d for r in got] == [True, True, False, False] and [r.l for r in got] == [False, True, False, False]
 
 
-def test_state_survives_unfinished_write(spark, tmp_path, table):
-    state = State(spark, str(tmp_path))
+def files_of(where):
+    return {str(f.relative_to(where)): f.stat().st_mtime_ns for f in where.rglob("part-*.parquet")}
+
+
+SKIPPED = "path string, size bigint, mtime double, reason string, last_seen_at double"
+
+
+def test_update_replaces_touched_partitions_only(spark, tmp_path, table):
+    state = State(spark, str(tmp_path), parts=16)
     assert state.read("skipped_files").count() == 0
-    rows = table("path string, size bigint, mtime double, reason string, last_seen_at double", ("/a", 1, 1.0, "r", 1.0))
-    assert state.write("skipped_files", rows) == 1
-    (tmp_path / "skipped_files" / "v=000000000002").mkdir()  # a writer died here
-    assert paths(state.read("skipped_files")) == ["/a"]
-    assert state.write("skipped_files", state.read("skipped_files")) == 2
+    rows = table(SKIPPED, *[(f"/{i}", i, 1.0, "r", 1.0) for i in range(200)])
+    state.write("skipped_files", rows)
+    where = tmp_path / "skipped_files"
+    before = files_of(where)
+    touched = state.update("skipped_files", table(SKIPPED, ("/7", 700, 1.0, "r", 2.0), ("/new", 5, 1.0, "r", 2.0)), inc.skip_upsert)
+    after = files_of(where)
+    same = {f for f in before if f.split("/")[0] not in {f"part={p}" for p in touched}}
+    assert 0 < len(touched) <= 2 and same and all(after[f] == before[f] for f in same)
+    assert not (set(before) - same) & set(after)
+    got = {r.path: r.size for r in state.read("skipped_files").collect()}
+    assert got == {f"/{i}": i for i in range(200) if i != 7} | {"/7": 700, "/new": 5}
+    # a partition may lose all its rows, and so may the table
+    state.update("skipped_files", rows.filter("path = '/7'"), lambda old, new: old.filter("false"))
+    assert "/7" not in paths(state.read("skipped_files"))
+    state.write("skipped_files", state.read("skipped_files").filter("size < 3"))
+    assert paths(state.read("skipped_files")) == ["/0", "/1", "/2"]
+    state.write("skipped_files", rows.limit(0))
+    assert state.read("skipped_files").count() == 0
+
+
+def test_a_failed_update_leaves_the_old_table(spark, tmp_path, table):
+    state = State(spark, str(tmp_path), parts=4)
+    rows = table(SKIPPED, *[(f"/{i}", i, 1.0, "r", 1.0) for i in range(50)])
     state.write("skipped_files", rows)
-    state.drop_old("skipped_files", keep=1)
-    assert paths(state.read("skipped_files")) == ["/a"]
+    before = files_of(tmp_path / "skipped_files")
+    broken = lambda old, new: old.withColumn("size", F.when(F.col("size") == 49, F.raise_error(F.lit("disk full")).cast("bigint")).otherwise(-1))
+    with pytest.raises(Exception, match="disk full"):
+        state.update("skipped_files", rows, broken)
+    assert files_of(tmp_path / "skipped_files") == before
+    assert {r.size for r in state.read("skipped_files").collect()} == set(range(50))

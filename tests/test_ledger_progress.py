@@ -249,13 +249,18 @@ def test_streams_over_a_table_of_several_files(spark, tmp_path):
         jobs.BATCH_BYTES = before
 
 
-def test_stream_scan_survives_a_repeated_batch(spark, tmp_path):
+def test_stream_scan_merges_into_touched_partitions(spark, tmp_path):
     ddl = "path string, size bigint, ts timestamp"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    # the last batch is far behind the others: a file that only it names is not lost
-    for rows in ([("/a", 1, 100000), ("/a", 1, 100000)], [("/b", 1, 100100), ("/a", 2, 100200)], [("/old", 1, 50), ("/a", 7, 60)]):
+    seen = []
+    # the third batch is far behind the others: a file that only it names is not lost, an old row of /a doesn't win
+    for rows in ([("/a", 1, 100000), ("/a", 1, 100000)], [("/b", 1, 100100), ("/a", 2, 100200)], [("/old", 1, 50), ("/a", 7, 60)], [("/b", 9, 100300)]):
         (spark.createDataFrame(rows, "path string, size bigint, t bigint").select("path", "size", F.timestamp_seconds("t").alias("ts"))
          .coalesce(1).write.mode("append").parquet(src))
-        q = scan.start_scan(spark.readStream.schema(ddl).parquet(src), out, str(tmp_path / "state"), {"availableNow": True})
+        feed = spark.readStream.schema(ddl).parquet(src)
+        q = scan.start_scan(feed, out, str(tmp_path / "state"), {"availableNow": True}, "path", ["ts", "size"], parts=32)
         q.awaitTermination()
-    assert {(r.path, r.size) for r in scan.latest(spark, out, ["path"], ["ts", "size"]).collect()} == {("/a", 2), ("/b", 1), ("/old", 1)}
+        seen.append({str(f) for f in (tmp_path / "out").rglob("part-*.parquet")})
+    assert {(r.path, r.size) for r in scan.latest(spark, out, feed.schema, "path", parts=32).collect()} == {("/a", 2), ("/b", 9), ("/old", 1)}
+    # the last batch replaced the partition of /b and nothing else
+    assert len(seen[3] & seen[2]) == len(seen[2]) - 1
