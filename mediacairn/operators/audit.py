@@ -90,3 +90,35 @@ def library_audit(probes: DataFrame, listing: DataFrame, decisions: DataFrame, *
     return base.cube("codec", "tier").agg(
         F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in (
             "files", "bytes", "skipped", "candidates", "savings_mb")])
+
+
+def size_sketches(probes: DataFrame, k: int = 200) -> DataFrame:
+    """codec, tier, files, sizes: a KLL sketch of file sizes each. Sketches of parts of a library add up.
+
+    k: the sketch's size; a quantile's rank is off by about 1.7 % of the files at 200, with 99 % confidence.
+    """
+    return probes.select(r.codec().alias("codec"), pr.tier_of_height(F.col("height")).alias("tier"), F.col("size").cast("long").alias("size")).groupBy("codec", "tier").agg(
+        F.count("size").alias("files"), F.kll_sketch_agg_bigint("size", k).alias("sizes"))
+
+
+def merged_sketches(sketches: DataFrame, by=("codec", "tier")) -> DataFrame:
+    """Sketches of several parts, or of finer groups, as one for each group of `by`."""
+    return sketches.groupBy(*by).agg(F.sum("files").alias("files"), F.kll_merge_agg_bigint("sizes").alias("sizes"))
+
+
+def size_quantiles(sketches: DataFrame, at=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """One row for each group and quantile: at, size."""
+    keys = [c for c in sketches.columns if c not in ("files", "sizes")]
+    known = sketches.filter("files > 0").select(*keys, "files", F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("at"), F.kll_sketch_get_quantile_bigint("sizes", F.lit(float(q))).alias("size")) for q in at])).alias("q"))
+    return known.select(*keys, "files", "q.at", "q.size")
+
+
+def size_histogram(probes: DataFrame, edges_mb=(100, 500, 1000, 2000, 5000, 10000, 20000, 50000)) -> DataFrame:
+    """codec, tier, from_mb, files, bytes: how many files lie from each edge up to the next one."""
+    mb = F.col("size") / fixed.MIB
+    edge = F.lit(0)
+    for e in sorted(edges_mb):
+        edge = F.when(mb >= e, F.lit(e)).otherwise(edge)
+    return (probes.select(r.codec().alias("codec"), pr.tier_of_height(F.col("height")).alias("tier"), edge.alias("from_mb"), "size")
+            .groupBy("codec", "tier", "from_mb").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")))

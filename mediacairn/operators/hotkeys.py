@@ -8,6 +8,8 @@ and only one summary row per chunk goes through a window over the whole key.
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StructType, VariantType
 
+from ..session import stored
+
 
 def running(df: DataFrame, keys, chunk, order, row_number=None, sums=None, maxes=None,
             lasts=None, previous_only=(), attributes=None) -> DataFrame:
@@ -119,3 +121,20 @@ def first_rows(df: DataFrame, keys, order, n) -> DataFrame:
     """First n rows per key. Spark cuts to n per key in each task before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+
+
+def numbered(df: DataFrame, order, name, after=0) -> DataFrame:
+    """Add `name`: after + 1, after + 2, ... in `order`, which must be total.
+
+    Rows are sorted by ranges and written; a row's place in its range and the sizes of the ranges before it make its
+    number. One number for each range is all that comes together, and a rerun numbers alike, wherever ranges are cut.
+    """
+    low = 33  # monotonically_increasing_id: partition above, place in it below
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", low)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", (before + F.lit(after)).alias("__start"))
+    number = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << low) - 1)) + 1
+    return (rows.withColumn("__part", part).join(F.broadcast(starts), "__part")  # one row for each range
+            .select(*df.columns, number.cast("long").alias(name)))

@@ -4,11 +4,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, gate as g, naming, outcomes, paths as p, probe as pr, rules as r
 from ..functions.let import once
+from .hotkeys import numbered
 
 GATES = ["missing", "stalled", "dv", "reencoded", "existing_output", "av1_source",
          "skipped_codec", "low_bitrate", "extras", "ok"]
 
 
+def covering_roots(probes: DataFrame, roots: DataFrame) -> DataFrame:
+    """probes inside any of the roots, with the columns of the deepest root that holds them.
+
+    roots: root (unique), and what else belongs to it. A path's own ancestors, a handful, meet the roots by equality, so
+    many roots cost no more than one, and a root never takes a neighbour whose name only starts alike.
+    """
+    asked = roots.select(F.regexp_replace("root", "(?<=.)/+$", "").alias("__root"), F.struct("*").alias("__r"))
+    parts = F.split(F.col("path"), "/")
+    # "/", "/a", "/a/b", ... up to the path itself: a root may be a file
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rows = probes.select(F.struct("*").alias("__p"), F.explode(F.transform(above, lambda a: F.when(a == "", "/").otherwise(a))).alias("__root"))
+    deepest = F.max_by(F.struct("__p", "__r"), F.length("__root"))
+    held = rows.join(asked, "__root").groupBy(F.col("__p.path").alias("__path")).agg(deepest.alias("__b"))
+    extra = [F.col("__b.__r")[c].alias(c) for c in roots.columns]
+    return held.select(*[F.col("__b.__p")[c].alias(c) for c in probes.columns], *extra)
+
+
 def path_scope(df: DataFrame, root: str | None) -> DataFrame:
     return df if root is None else df.filter(p.under_root(F.col("path"), root))
 
@@ -121,25 +139,26 @@ def queue_candidates(probes: DataFrame, enabled=None, target="av1+mkv") -> DataF
             .withColumn("remux_only", r.remux_only(F.col("rules_fired"), F.col("video_codec"))))
 
 
-def decision_id(run_id, path):
-    """Stable over recomputation; never a position in a partition."""
-    return F.xxhash64(run_id, path)
-
-
 def pending_rows(cands: DataFrame, run_id: int, decided_at: float) -> DataFrame:
-    run = F.lit(run_id).cast("long")
+    """Rows of a plan, not stored yet: without ids, which `pending_replace` gives."""
     return cands.select(
-        decision_id(run, F.col("path")).alias("id"), "path",
+        F.lit(None).cast("long").alias("id"), "path",
         F.lit(float(decided_at)).alias("decided_at"), "rules_fired", "target",
         "projected_savings_mb", F.lit("pending").alias("status"),
         F.lit(None).cast("string").alias("output_path"),
         F.lit(None).cast("double").alias("actual_savings_mb"),
-        F.lit(None).cast("string").alias("error"), run.alias("run_id"))
+        F.lit(None).cast("string").alias("error"), F.lit(run_id).cast("long").alias("run_id"))
 
 
-def pending_replace(decisions: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Drop every pending row, whatever its scope, then add the new ones."""
-    return decisions.filter(F.col("status") != "pending").unionByName(fresh)
+def pending_replace(decisions: DataFrame, fresh: DataFrame, last_id: int = 0) -> DataFrame:
+    """Drop every pending row, whatever its scope, then add the new ones with ids above all that were ever given.
+
+    Ids rise by path from the largest of the ledger on, pending rows that go included, so that an id held elsewhere
+    never comes to mean another row. last_id: the highest id given so far, where the ledger may have lost it.
+    """
+    top = decisions.agg(F.max("id")).first()[0]
+    rows = numbered(fresh.drop("id"), ["path"], "id", max(top or 0, last_id))
+    return decisions.filter(F.col("status") != "pending").unionByName(rows.select(*decisions.columns))
 
 
 def rank_queue(decisions: DataFrame, limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, paths as p, probe as pr
 from ..operators import incremental as inc
 from ..session import shared_dir
-from ..sources import listing as ls, probe_json as pj
+from ..sources import buckets, listing as ls, probe_json as pj, tree
 from ..sources.state import TABLES, State
 from .registry import query, sql_list
 
@@ -227,6 +227,15 @@ def probe_delta(t):
     return inc.probe_delta(_listing(t), _known(t)).select("path", "size", "mtime")
 
 
+@query("probe_delta_bucketed", "fx_listing fx_probes", """
+SELECT path, size, mtime FROM fx_listing l WHERE NOT EXISTS (
+  SELECT 1 FROM fx_probes p WHERE p.path = l.path AND p.size = l.size AND p.mtime = l.mtime)""")
+def probe_delta_bucketed(t):
+    """The same over tables that are kept in buckets of path: the join needs no exchange."""
+    listing, known = (buckets.bucketed(df, name, buckets=8) for df, name in ((_listing(t), "listing"), (_known(t), "probes")))
+    return inc.probe_delta(listing, known).select("path", "size", "mtime")
+
+
 @query("probe_upsert", "fx_listing fx_probes", """
 SELECT path, size, mtime, last_probed_at FROM (
   SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_probed_at DESC) AS rn FROM (
@@ -297,6 +306,22 @@ def scan_summary(t):
     return inc.scan_summary(_listing(t), _known(t), failed, MIN)
 
 
+@query("scan_tree", "", """
+SELECT concat('/event_type=', event_type, '/part=', user_id % 8) AS dir, CAST(1 AS BIGINT) AS n_files, CAST(0 AS BIGINT) AS n_empty, CAST(0 AS BIGINT) AS n_underscore
+FROM events GROUP BY ALL UNION ALL SELECT '', 1, 1, 1""")
+def scan_tree(t):
+    """A tree of files that Spark writes, one for each kind of event and share of users, listed with its empty marker."""
+    where = f"{shared_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    rows = t.given("events").withColumn("part", F.col("user_id") % 8)
+    rows.repartition("event_type", "part").write.partitionBy("event_type", "part").parquet(where)
+    listing, _ = tree.split_errors(tree.read_tree(t.spark, where, parts=16))
+    name, root = F.element_at(F.split("path", "/"), -1), where.removeprefix("file://")
+    inner = F.expr(f"substring(path, {len(root) + 1})").alias("inner")
+    rows = listing.filter(~name.startswith(".")).select(inner, "size", name.alias("name"))  # checksums are there on local disks only
+    return rows.groupBy(F.regexp_replace("inner", "/[^/]*$", "").alias("dir")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("size") == 0).alias("n_empty"), F.count_if(F.col("name").startswith("_")).alias("n_underscore"))
+
+
 @query("read_write_state", "fx_listing fx_probes fx_decisions fx_skipped fx_runs", """
 SELECT 'probes' AS tbl, count(*) AS n, CAST(sum(size) AS BIGINT) AS total FROM (
   SELECT p.path, CASE WHEN l.path IS NULL THEN p.size ELSE l.size END AS size FROM fx_probes p FULL JOIN fx_listing l ON l.path = p.path) u
@@ -305,7 +330,7 @@ UNION ALL SELECT 'runs', count(*), CAST(sum(started_at) AS BIGINT) FROM fx_runs
 UNION ALL SELECT 'skipped_files', count(*), CAST(sum(size) AS BIGINT) FROM fx_skipped""")
 def read_write_state(t):
     """Write the four state tables, upsert the probes once more, read all back."""
-    state = State(t.spark, f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}")
+    state = State(t.spark, f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}", parts=16)
     state.write("probes", _state_probes(t.nested_probes(), 1.0))
     fresh = _state_probes(_listing(t), 2.0)
     state.update("probes", fresh, inc.probe_upsert)

@@ -286,6 +286,32 @@ def library_audit(t):
     return rows.withColumn("savings_mb", F.floor("savings_mb"))
 
 
+@query("audit_histogram", "fx_probes", f"""
+SELECT {CODEC} AS codec, CASE WHEN height >= 1440 THEN 'UHD' WHEN height >= 720 THEN 'HD' ELSE 'SD' END AS tier,
+  CASE WHEN mb >= 50000 THEN 50000 WHEN mb >= 20000 THEN 20000 WHEN mb >= 10000 THEN 10000 WHEN mb >= 5000 THEN 5000 WHEN mb >= 2000 THEN 2000
+    WHEN mb >= 1000 THEN 1000 WHEN mb >= 500 THEN 500 WHEN mb >= 100 THEN 100 ELSE 0 END AS from_mb, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
+FROM (SELECT *, size / 1048576e0 AS mb FROM fx_probes) q GROUP BY ALL""")
+def audit_histogram(t):
+    return au.size_histogram(t.probes())
+
+
+@query("audit_quantiles", "fx_probes", f"""
+SELECT {CODEC} AS codec, a AS "at", count(*) AS files, TRUE AS close FROM fx_probes, (SELECT unnest([1e-1, 5e-1, 9e-1]) AS a) q GROUP BY ALL""")
+def audit_quantiles(t):
+    """Quantiles of sketches that were made of four parts and added up, and whether their ranks are within 3 % of the exact ones."""
+    probes = t.probes()
+    parts = None
+    for i in range(4):
+        one = au.size_sketches(probes.filter(F.pmod(F.xxhash64("path"), F.lit(4)) == i))
+        parts = one if parts is None else parts.unionByName(one)
+    found = au.size_quantiles(au.merged_sketches(parts, ["codec"]), (0.1, 0.5, 0.9)).withColumnRenamed("codec", "c").withColumnRenamed("size", "q")
+    ranks = (probes.select(F.lower("video_codec").alias("codec"), "size").join(found, F.col("codec") == F.col("c"))
+             .groupBy("codec", "at", "files").agg(F.count_if(F.col("size") < F.col("q")).alias("below"), F.count_if(F.col("size") <= F.col("q")).alias("upto")))
+    slack = 0.03 * F.col("files") + 1
+    close = (F.col("below") <= F.col("at") * F.col("files") + slack) & (F.col("upto") >= F.col("at") * F.col("files") - slack)
+    return ranks.select("codec", "at", "files", close.alias("close"))
+
+
 # ---------------------------------------------------------------- progress
 
 PARSED = r""", ln AS (SELECT *, CAST(nullif(regexp_extract(line, '^out_time_ms=(\d+)$', 1), '') AS DOUBLE) / 1e6 AS o,

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed, gate as g, paths as p, rules as r
-from ..operators import planning as pl
+from ..operators import bands as bn, planning as pl
 from ..session import shared_dir
 from ..sources import reports
 from .registry import query, sql_case, sql_list
@@ -240,12 +240,12 @@ def rank_queue(t):
 
 
 @query("pending_replace", "fx_probes fx_decisions", f"""
-SELECT path, status, run_id FROM fx_decisions WHERE status <> 'pending'
-UNION ALL SELECT path, 'pending', CAST(77 AS BIGINT) FROM fx_probes WHERE {FIRM} <> ''""")
+SELECT id, path, status, run_id FROM fx_decisions WHERE status <> 'pending'
+UNION ALL SELECT row_number() OVER (ORDER BY path) + (SELECT max(id) FROM fx_decisions), path, 'pending', CAST(77 AS BIGINT) FROM fx_probes WHERE {FIRM} <> ''""")
 def pending_replace(t):
-    ledger = t.get("fx_decisions").select("path", "status", "run_id")
-    fresh = pl.pending_rows(pl.queue_candidates(t.probes()), 77, 0.0).select("path", "status", "run_id")
-    return pl.pending_replace(ledger, fresh)
+    columns = ["id", "path", "status", "run_id"]
+    fresh = pl.pending_rows(pl.queue_candidates(t.probes()), 77, 0.0).select(columns)
+    return pl.pending_replace(t.get("fx_decisions").select(columns), fresh)
 
 
 @query("apply_queue", "fx_probes fx_decisions", """
@@ -290,6 +290,38 @@ def preset_resolve(t):
     return film.select("path", "plain.*", F.col("quality").alias("film_quality"))
 
 
+BANDS = """SELECT n_name AS name, CAST(n_nationkey * 7 % 25 AS INT) AS place,
+  CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey * 85 AS INT) END AS min_height,
+  CASE WHEN n_nationkey % 7 <> 0 THEN CAST(n_nationkey * 85 + 60 + n_nationkey % 3 * 400 AS INT) END AS max_height,
+  CAST(15 + n_nationkey % 9 AS INT) AS quality FROM {nation}"""
+
+
+@query("preset_bands", "fx_probes", f"""
+, b AS ({BANDS.format(nation='nation')}), h AS (SELECT path, CAST(height + k % 200 - 90 AS INT) AS height FROM fx_probes),
+best AS (SELECT path, height, arg_min(b, struct_pack(p := place, n := name)) AS w FROM h JOIN b ON height >= coalesce(min_height, -1000000) AND height <= coalesce(max_height, 1000000) GROUP BY ALL)
+SELECT h.path, h.height, w.name AS preset, w.min_height, w.max_height, w.quality FROM h LEFT JOIN best ON best.path = h.path""")
+def preset_bands(t):
+    """Overlapping and open height bands out of a table; the band with the smallest place wins."""
+    bands = t.spark.sql(BANDS, nation=t.spark.read.parquet(f"{t.dir}/nation.parquet"))
+    rows = t.probes().selectExpr("path", "CAST(height + k % 200 - 90 AS INT) AS height")
+    return bn.with_band(rows, bands).select("path", "height", "preset", "min_height", "max_height", "quality")
+
+
+ROOTS = """SELECT DISTINCT root, length(root) * 10 AS run FROM (SELECT dir AS root FROM {fx_probes} WHERE k % 50 = 1
+  UNION ALL SELECT concat('/', split_part(path, '/', 2)) FROM {fx_probes} WHERE k % 3 = 1
+  UNION ALL SELECT substring(path, 1, length(path) - 3) FROM {fx_probes} WHERE k % 40 = 2 UNION ALL SELECT path FROM {fx_probes} WHERE k % 40 = 3) r"""
+
+
+@query("path_scope_roots", "fx_probes", f"""
+, r AS ({ROOTS.format(fx_probes='fx_probes')})
+SELECT path, root, run FROM (SELECT path, root, CAST(run AS INT) AS run, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS i
+  FROM fx_probes JOIN r ON path = root OR starts_with(path, concat(root, '/'))) q WHERE i = 1""")
+def path_scope_roots(t):
+    """Many roots, nested ones too: each file belongs to the deepest that holds it."""
+    roots = t.spark.sql(ROOTS, fx_probes=t.probes())
+    return pl.covering_roots(t.probes().select("path"), roots)
+
+
 @query("tier_time_estimate", "fx_probes fx_decisions", """
 SELECT coalesce(tier, 'total') AS tier, CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(n * s) AS BIGINT) AS seconds FROM (
   SELECT CASE WHEN p.height >= 1440 THEN 'UHD' WHEN p.height >= 720 THEN 'HD' ELSE 'SD' END AS tier, 1 AS n,

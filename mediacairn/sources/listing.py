@@ -1,8 +1,7 @@
 """Listing tables: from a file system, and the filters a scan applies.
 
-Spark's own file listing leaves out zero-byte files and names that start with
-`.` or `_`. Jobs that must see those need a listing table written by another
-tool; every operator takes such a table.
+`sources.tree` lists a mounted tree as it is. `read_listing` takes Spark's own file source, for stores that are not
+mounted; it leaves out empty files and names that start with `.` or `_`.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F

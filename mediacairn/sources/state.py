@@ -52,9 +52,8 @@ class KeyedTable:
         kept = rows.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in zip(names, self.schema.fields)]).withColumn("is_row", F.lit(True)).withColumn("part", self._part())
         marks = self.spark.createDataFrame([(p,) for p in parts], "part int").select(
             *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], F.lit(False).alias("is_row"), "part")
-        # each partition by one or a few tasks: dealt by partition and a second hash, so that a large one is not one task
-        spread = F.pmod(F.xxhash64(*[c for c in names if c == self.key], F.lit(7)), F.lit(8))
-        (kept.unionByName(marks).repartition("part", spread).write.mode("overwrite")
+        # about one file for each partition; adaptive execution splits large ones over more tasks
+        (kept.unionByName(marks).hint("rebalance", "part").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.where))
 
     def write(self, rows: DataFrame) -> None:

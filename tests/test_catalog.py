@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from mediacairn.functions import gate as g, paths as p, probe as pr
 from mediacairn.operators import incremental as inc
-from mediacairn.sources import listing as ls, probe_json as pj
+from mediacairn.sources import listing as ls, probe_json as pj, tree
 from mediacairn.sources.state import State
 
 LIST = "path string, size bigint, mtime double"
@@ -34,6 +34,34 @@ def test_read_listing_from_disk(spark, tmp_path):
     assert row.path == str(tmp_path / "a" / "one two.mkv") and row.size == 3 and row.mtime > 0
 
 
+def test_read_tree_loses_nothing(spark, tmp_path):
+    root = tmp_path / "lib"
+    for name, size in (("a/b/one.mkv", 3), ("a/.hidden.mkv", 4), ("_under/_x.MKV", 5), ("empty.mkv", 0), (".dot/deep/er/z.mkv", 7), ("@Recycle/old.mkv", 2),
+                       ("sp ace/ü%20.mkv", 8), ("Trailers/t.mkv", 1)):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * size)
+    (tmp_path / "outside.mkv").write_bytes(b"x")
+    (root / "in.mkv").symlink_to(root / "a/b/one.mkv")
+    (root / "out.mkv").symlink_to(tmp_path / "outside.mkv")
+    (root / "gone.mkv").symlink_to(root / "nowhere.mkv")
+    (root / "a/up").symlink_to(root)
+    (root / "linked").symlink_to(root / "a/b")
+    want = {"a/b/one.mkv": 3, "a/.hidden.mkv": 4, "_under/_x.MKV": 5, "empty.mkv": 0, ".dot/deep/er/z.mkv": 7, "@Recycle/old.mkv": 2, "sp ace/ü%20.mkv": 8,
+            "Trailers/t.mkv": 1, "in.mkv": 3, "linked/one.mkv": 3}
+    for parts in (1, 3, 200):
+        listing, errors = tree.split_errors(tree.read_tree(spark, str(root), parts=parts))
+        got = listing.collect()
+        assert len(got) == len(want) and {r.path[len(str(root)) + 1:]: r.size for r in got} == want
+        assert all(r.mtime > 0 for r in got) and errors.count() == 0
+    assert tree.read_tree(spark, str(root), parts=200).rdd.getNumPartitions() > 8
+    assert sorted(r.path for r in ls.scan_listing(listing, str(root)).collect()) == sorted(str(root / n) for n in want if n not in ("empty.mkv", "@Recycle/old.mkv", "Trailers/t.mkv"))
+    flat = tree.read_tree(spark, str(root), recursive=False).collect()
+    assert {r.path[len(str(root)) + 1:] for r in flat} == {"empty.mkv", "in.mkv"}
+    assert [(r.path, r.size) for r in tree.read_tree(spark, str(root / "a/b/one.mkv")).collect()] == [(str(root / "a/b/one.mkv"), 3)]
+    gone = tree.split_errors(tree.read_tree(spark, str(root / "nothing")))
+    assert gone[0].count() == 0 and [(r.path, r.error) for r in gone[1].collect()] == [(str(root / "nothing"), "FileNotFoundError")]
+
+
 def test_path_parts_and_tags(table):
     rows = p.with_path_parts(table("path string", ("/a/b.c/d.e.mkv",), ("/.mkv",), ("x.",), ("/n/no_ext",)))
     got = {r.path: (r.dir, r.name, r.stem, r.suffix) for r in rows.collect()}

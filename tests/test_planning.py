@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from mediacairn.functions import rules as r
-from mediacairn.operators import planning as pl
+from mediacairn.operators import audit as au, bands as bn, planning as pl
 
 LIST = "path string, size bigint, mtime double"
 DEC = "id bigint, path string, status string, error string"
@@ -86,3 +88,60 @@ def test_band_before_limit_keeps_unprobed(probe, table):
                    (1, "/uhd", "pending", 9.0), (2, "/hd", "pending", 5.0), (3, "/unknown", "pending", 1.0))
     rows = probe(dict(path="/uhd", height=2160), dict(path="/hd", height=1080))
     assert [x.path for x in pl.apply_queue(ledger, rows, 720, 1439, 2).collect()] == ["/hd", "/unknown"]
+
+
+def test_bands_from_a_table(spark, table):
+    rng = random.Random(6)
+    ddl = "name string, min_height int, max_height int, place int, quality int"
+    for n in (1, 40):
+        bands = []
+        for i in range(n):
+            low = rng.choice([None, rng.randint(-50, 3000), 20_000])
+            high = rng.choice([None, (low or 0) + rng.randint(-20, 900)])
+            bands.append((f"b{i}", low, high, rng.randint(0, 5), i))
+        heights = [(i, rng.choice([None, rng.randint(-200, 4000), rng.randint(0, 100_000), 0])) for i in range(400)]
+
+        def best(h):
+            held = [b for b in bands if h is not None and (b[1] is None or b[1] <= h) and (b[2] is None or h <= b[2])]
+            return min(held, key=lambda b: (b[3], b[0])) if held else (None,) * 5
+        got = bn.with_band(table("id int, height int", *heights), table(ddl, *bands)).collect()
+        assert len(got) == len(heights)
+        assert {(r.id, r.preset, r.min_height, r.max_height, r.quality) for r in got} == {(i, best(h)[0], best(h)[1], best(h)[2], best(h)[4]) for i, h in heights}
+    none = bn.with_band(table("id int, height int", (1, 5)), table(ddl)).collect()
+    assert [(r.id, r.preset) for r in none] == [(1, None)]
+
+
+def test_ids_rise_over_runs_and_reruns_agree(spark, table):
+    ledger = "id bigint, path string, status string, run_id bigint"
+    old = table(ledger, (3, "/a", "completed", 1), (9, "/z", "pending", 1))
+    fresh = table(ledger, *[(None, f"/{i:04d}", "pending", 2) for i in range(1000)]).repartition(7)
+    first = {r.path: r.id for r in pl.pending_replace(old, fresh).collect()}
+    # the dropped row's id is never given again
+    assert first == {"/a": 3} | {f"/{i:04d}": 10 + i for i in range(1000)}
+    assert {r.path: r.id for r in pl.pending_replace(old, fresh.repartition(3)).collect()} == first
+    second = pl.pending_replace(pl.pending_replace(old, fresh), fresh.limit(0).unionByName(table(ledger, (None, "/new", "pending", 3))))
+    assert {r.path: r.id for r in second.collect()} == {"/a": 3, "/new": 1010}
+    empty = pl.pending_replace(old, fresh.limit(0))
+    assert [r.id for r in empty.collect()] == [3]
+    again = pl.pending_replace(empty, table(ledger, (None, "/n", "pending", 4)), last_id=9)
+    assert {r.path: r.id for r in again.collect()} == {"/a": 3, "/n": 10}
+    assert pl.pending_replace(old.limit(0), fresh).agg(F.min("id")).first()[0] == 1
+
+
+def test_the_deepest_root_covers_a_path(table):
+    files = table("path string, size int", *[(x, i) for i, x in enumerate(["/m/a/x.mkv", "/m/a/b/y.mkv", "/m/ab/z.mkv", "/n/w.mkv", "/m/a", "top.mkv"])])
+    roots = table("root string, run int", ("/m", 1), ("/m/a/", 2), ("/m/a/b/y.mkv", 3), ("/q", 4))
+    got = {r.path: (r.root, r.run, r.size) for r in pl.covering_roots(files, roots).collect()}
+    assert got == {"/m/a/x.mkv": ("/m/a/", 2, 0), "/m/a/b/y.mkv": ("/m/a/b/y.mkv", 3, 1), "/m/ab/z.mkv": ("/m", 1, 2), "/m/a": ("/m/a/", 2, 4)}
+    assert {r.path: r.run for r in pl.covering_roots(files, table("root string, run int", ("/", 7))).collect()} == {
+        x: 7 for x in ["/m/a/x.mkv", "/m/a/b/y.mkv", "/m/ab/z.mkv", "/n/w.mkv", "/m/a"]}
+
+
+def test_size_sketches_add_up(spark, probe):
+    rows = probe(dict()).selectExpr("*", "explode(sequence(1, 20000)) AS i").withColumn("size", F.expr("i * i % 7919 * 1000"))
+    halves = [au.size_sketches(rows.filter(f"i % 2 = {n}")) for n in (0, 1)]
+    merged = au.merged_sketches(halves[0].unionByName(halves[1]))
+    exact = sorted(r["size"] for r in rows.select("size").collect())
+    got = au.size_quantiles(merged).collect()
+    assert [r.files for r in got] == [20000] * 5
+    assert all(abs(sum(x <= r["size"] for x in exact) / 20000 - r.at) < 0.03 for r in got)

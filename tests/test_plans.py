@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mediacairn.operators import progress
+from mediacairn.operators import incremental as inc, progress
 from mediacairn.operators.hotkeys import running
 from mediacairn.plans.registry import QUERIES
+from mediacairn.sources import buckets
 
 SF = "/root/testdata/sf0.001"
 EAGER = {"read_write_state", "write_candidates_json", "write_run_report", "progress_windows_stream",
-         "incremental_scan_stream", "stall_watchdog_stream", "probe_scan_stream", "recycle_destination"}
+         "incremental_scan_stream", "scan_tree", "stall_watchdog_stream", "probe_scan_stream", "recycle_destination"}
 
 
 def plan(df):
@@ -87,3 +88,22 @@ def test_watchdog_gathers_lines_once(feed):
     state = lines.select("encode_id", "t_s", "seq", F.col("t_s").cast("double").alias("current_seconds"), F.col("seq").alias("frames"))
     # lines by chunk, maps and encodes by encode, carried pairs by chunk, alarms by encode
     assert final_counts(progress.stall_watchdog(state, encodes)) == (2, 5)
+
+
+def test_joins_of_tables_in_buckets_need_no_exchange(spark):
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = [spark.conf.get(s) for s in settings]
+    try:
+        spark.conf.set(settings[0], "-1")
+        buckets.join_settings(spark)
+        rows = spark.range(1000).selectExpr("concat('/', id) AS path", "id AS size", "double(id % 9) AS mtime")
+        listing = buckets.bucketed(rows.filter("size % 10 <> 0"), "listing", buckets=8)
+        probes = buckets.bucketed(rows.withColumn("mtime", F.expr("if(size % 7 = 0, -1D, mtime)")), "probes", buckets=8)
+        small = buckets.bucketed(rows.filter("size < 100"), "skipped", buckets=8)
+        for df, n in ((inc.probe_delta(listing, probes), 128), (inc.stale_prune(probes, listing), 900), (inc.probe_cache_lookup(listing, probes), 900),
+                      (inc.skip_clear(small, listing), 10), (inc.skip_lookup(listing, small), 90)):
+            assert df.count() == n
+            assert "Exchange" not in plan(df)
+    finally:
+        for s, v in zip(settings, before):
+            spark.conf.set(s, v)
