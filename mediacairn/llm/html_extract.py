@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements; what cannot be article (menus, page headers, footers, asides, forms, scripts, and
-elements whose class, id or role names an advert, notice, comment and the like) is left out of it. Every paragraph earns
+elements whose class, id or role names an advert, notice, comment and the like) is left out of it. A name counts as a whole
+or by its first or last part, and beside a word for content only where the last part says what the thing is; it never
+counts for article and main, nor for an element that holds most of the page, comments apart. Every paragraph earns
 points for its length and its commas and passes them on: in full to the element around it, half to the next, then a
 third of that for each step. An element's points count as far as its text is not links. The best element is kept, and
 of its siblings those with a fair share of its points and paragraphs that stand alone; their blocks are the text.
@@ -11,7 +13,8 @@ Nothing is capped: a page of any size is one tree.
 
 Nulls and empties: a null page counts as empty; a page without text gives the empty text. Markup that is never closed or
 never opened is read as browsers do in the plain cases: a block ends an open paragraph, an end tag without a start is
-skipped. Ties go to the element that comes first. An empty table gives an empty result.
+skipped; a slash closes what is no block, frames and scripts too. Ties go to the element that comes first. Rows that repeat
+are extracted each for itself. An empty table gives an empty result.
 """
 
 import html
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from .common import beside_rows
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object xmp".split())
-LEFT_OUT = RAW | frozenset("nav aside footer form button select menu dialog head audio video map".split())
+RAW = frozenset("script style noscript textarea title iframe xmp".split())
+LEFT_OUT = RAW | frozenset("nav aside footer form button select menu dialog head audio video map svg math object canvas template".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul br""".split())
 #: A start tag ends these open elements, up to the nearest of the elements in the second set.
@@ -40,6 +43,12 @@ NAMES_OUT = frozenset("""ad ads advert adverts advertisement banner breadcrumb b
     subscribe subscription toolbar widget widgets alert complementary contentinfo search""".split())
 QUALIFIERS = frozenset("with has no without is not js".split())
 NAMES_IN = frozenset("article content main post entry story text".split())
+#: Last parts that say what a thing is, whatever content word comes before.
+NAMES_OF = frozenset("""ad ads advert comment comments commentlist footer menu nav navigation newsletter pagination promo related respond
+    share sharing signup subscribe""".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: First parts of names that file a page under a subject.
+FILING = frozenset("category tag format type status postid".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -47,27 +56,33 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "points", "named", "inside")
+    """left: "" if it may be article, "name" if only its name speaks against it, else "out"."""
 
-    def __init__(self, tag, parent, named, inside):
-        self.tag, self.parent, self.children, self.points, self.named, self.inside = tag, parent, [], 0.0, named, inside
+    __slots__ = ("tag", "parent", "children", "points", "named", "inside", "left")
 
+    def __init__(self, tag, parent, named, inside, left=""):
+        self.tag, self.parent, self.children, self.points, self.named, self.inside, self.left = tag, parent, [], 0.0, named, inside, left
 
-def judged(attributes: str) -> tuple[bool, bool]:
-    """(left out, named like content) by class, id, role and visibility."""
-    out = good = False
+
+def judged(attributes: str, inside: bool) -> tuple[str, bool]:
+    """(left out, named like content) by class, id, role and visibility; left out is "", "name" or "out"."""
+    left, good = "", False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            out = True
+            left = "out"
         elif key in ("class", "id", "role"):
             for name in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(name)]
-                if parts and parts[0] not in QUALIFIERS:
-                    out |= any(p in NAMES_OUT for p in parts)
-                    good |= any(p in NAMES_IN for p in parts)
-                    out |= parts == ["header"]
-    return out, good
+                if not parts or parts[0] in QUALIFIERS or parts[0] in FILING and len(parts) > 1:
+                    continue
+                content = any(p in NAMES_IN for p in parts)
+                good |= content
+                if parts[-1] in NAMES_OF or not content and (parts[0] in NAMES_OUT or parts[-1] in NAMES_OUT) or parts == ["header"] and not inside:
+                    left = left or "name"
+                    if not COMMENTS.isdisjoint(parts):
+                        left = "out"
+    return left, good
 
 
 def parse(page: str) -> Element:
@@ -107,23 +122,44 @@ def parse(page: str) -> Element:
             if last is not None:
                 here = last.parent
         attributes = found[3]
+        if attributes.endswith("/") and tag not in BLOCKS:
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        if attributes.endswith("/") and tag not in BLOCKS:
+            if close or tag in ("script", "style"):
+                at = close.end() if close else end
             continue
-        out, good = judged(attributes) if "=" in attributes or "hidden" in attributes else (False, False)
         inside = here.inside or tag in ("article", "main")
-        node = Element(tag, here, good, inside)
-        if tag in ("html", "body"):
-            out = False
-        if not (tag in LEFT_OUT or out or tag == "header" and not inside):
-            here.children.append(node)  # else its subtree hangs on nothing
+        left, good = judged(attributes, inside) if "=" in attributes or "hidden" in attributes else ("", False)
+        if tag in ("html", "body", "article", "main"):
+            left = ""
+        if tag in LEFT_OUT or tag == "header" and not inside:
+            left = "out"
+        node = Element(tag, here, good, inside, left)
+        here.children.append(node)
         here = node
+    prune(root)
     return root
 
 
+def prune(root: Element) -> None:
+    """Take out what is left out; but an element with most of the page's running text is not, where only its name speaks against it."""
+    order, stack = [], [(root, False)]
+    running = {}
+    while stack:
+        node, counts = stack.pop()
+        order.append(node)
+        counts = node.tag != "a" and (counts or node.tag in ("p", "pre", "blockquote"))
+        node.children = [c for c in node.children if c.__class__ is str or c.left != "out"]
+        running[id(node)] = sum(len(c.strip()) for c in node.children if c.__class__ is str) if counts else 0
+        stack.extend([(c, counts) for c in reversed(node.children) if c.__class__ is Element])
+    for node in reversed(order):
+        if node.parent is not None:
+            running[id(node.parent)] += running[id(node)]
+    for node in order:
+        node.children = [c for c in node.children if c.__class__ is str or not c.left or 2 * running[id(c)] > running[id(root)]]
+
+
 def walk(root: Element):
     """Elements in page order."""
     stack = [root]

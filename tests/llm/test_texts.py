@@ -134,6 +134,27 @@ def test_main_text(name):
     assert html_extract.main_text(page) == want
 
 
+KEPT = {
+    "layout": (f'<body><div class="content-sidebar-wrap"><p>{PROSE}</p></div><div class=sidebar><p>Our shop</p></div></body>', PROSE.strip()),
+    "filed": (f'<body><article class="post category-social tag-search"><h1>T</h1><p>{PROSE}</p></article><p>Imprint of the house</p></body>', f"T {PROSE.strip()}"),
+    "drawing": (f'<article><svg class="i"/><p>{PROSE}</p><svg viewBox="0"><text>icon</text></svg><math/><p>{PROSE}</p></article>', f"{PROSE.strip()} {PROSE.strip()}"),
+    "frame": (f'<article><iframe src=a /><p>{PROSE}</p><iframe src=b>no frames</iframe><script src=x /><p>{PROSE}</p></article>', f"{PROSE.strip()} {PROSE.strip()}"),
+    "headline": (f'<div class="header">Site</div><article><div class="header"><h1>Head</h1></div><p>{PROSE}</p></article>', f"Head {PROSE.strip()}"),
+    "wrapper": (f'<body><div id="ad-wrapper"><div class="related-posts"><p>More</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div></div></body>', f"{PROSE.strip()} {PROSE.strip()}"),
+    "threads": (f'<body><div class="entry-content"><p>{PROSE}</p></div>' + f'<div class="post-comments"><p>{PROSE}</p></div>' * 9 + "</body>", PROSE.strip()),
+    "systems": (f'''<body class="single postid-7 content-sidebar"><div id="page" class="hfeed site"><div class="site-header">S</div><div id="primary" class="content-area">
+        <main id="main" class="site-main"><article class="post type-post status-publish format-standard category-ads"><header class="entry-header"><h1 class="entry-title">H</h1></header>
+        <div class="entry-content"><p>{PROSE}</p><div class="sharedaddy share-buttons"><p>Tell others</p></div></div><footer class="entry-footer">Filed</footer></article>
+        <nav class="navigation post-navigation">Next</nav></main></div><div id="secondary" class="widget-area"><p>Blogroll</p></div></div></body>''', f"H {PROSE.strip()}"),
+}
+
+
+@pytest.mark.parametrize("name", list(KEPT))
+def test_articles_that_names_must_not_cost(name):
+    page, want = KEPT[name]
+    assert html_extract.main_text(page) == want
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 20000 + PROSE) == PROSE.strip()
     assert html_extract.main_text(f"<article>{f'<p>{PROSE}</p>' * 5000}</article>") == " ".join([PROSE.strip()] * 5000)
