@@ -3,7 +3,8 @@
 A leaf holds rank and place of the pair that starts at a symbol; the root then holds the leftmost pair of lowest rank.
 A merge changes three leaves: the merged pair's own, its left neighbour's, and the one of the symbol that is gone; each
 is carried up to the root in as many steps as the tree is high. It ends when the root holds no pair. Trees of many words
-of like length lie side by side in one array, so one step serves them all.
+of like length lie side by side in one array, so one step serves them all; when only a few of them still merge, each of
+these is walked by itself in plain integers, since a step of arrays costs as much for one tree as for hundreds.
 
 Words come about as in the tokenizer's file: marked special strings are cut out first, then canonical composition,
 lower case, and the file's own split pattern; every byte of a word is a symbol, the last one with the end-of-word mark.
@@ -30,7 +31,9 @@ from .common import beside_rows, slices
 #: White space by the Unicode property, as the tokenizer's pattern has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 REMEMBERED = 200_000
-NONE = np.iinfo(np.int64).max
+NONE = int(np.iinfo(np.int64).max)
+#: So many trees are few.
+FEW = 24
 
 
 def byte_symbols() -> list[str]:
@@ -69,6 +72,8 @@ class Merger:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.rank_of = dict(zip(vocabulary.pairs.tolist(), vocabulary.ranks.tolist()))
+        self.made = vocabulary.made.tolist()
 
     def rank(self, left, right):
         """Rank of each pair, or NONE."""
@@ -107,7 +112,7 @@ class Merger:
                 np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2], out=tree[:, level // 2:level])
                 level //= 2
         active = row[tree[:, 1] != NONE] if width > 1 else row[:0]
-        while len(active):
+        while len(active) > FEW:
             root = tree[active, 1]
             at = root % width
             ids[active, at] = self.v.made[root // width]
@@ -134,6 +139,8 @@ class Merger:
                 value[known] = ranks[known] * width + p[known]
                 self._set(tree, width, r, p, value)
             active = active[tree[active, 1] != NONE]
+        for k in active.tolist():
+            self._walk(tree[k], ids[k], following[k], leading[k], alive[k], width)
         ends = np.cumsum(alive.sum(1)).tolist()
         kept = ids[alive]
         raw = kept.astype("<u4").tobytes()
@@ -144,6 +151,42 @@ class Merger:
             out[place] = raw[4 * start:4 * end], " ".join(names[start:end])
             start = end
 
+    def _walk(self, tree_row, ids_row, following_row, leading_row, alive_row, width):
+        """The merges of one tree that are left."""
+        tree, ids, following, leading = (x.tolist() for x in (tree_row, ids_row, following_row, leading_row))
+        rank_of, made, gone_ones = self.rank_of, self.made, []
+
+        def put(leaf, value):
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                left, right = tree[node & -2], tree[node | 1]
+                least = left if left < right else right
+                node >>= 1
+                if tree[node] == least:  # and so is all above
+                    return
+                tree[node] = least
+
+        def pair(at, other):
+            rank = rank_of.get(ids[at] << 32 | ids[other])
+            put(at, NONE if rank is None else rank * width + at)
+        while tree[1] != NONE:
+            rank, at = divmod(tree[1], width)
+            ids[at] = made[rank]
+            gone = following[at]
+            after = following[at] = following[gone]
+            gone_ones.append(gone)
+            put(gone, NONE)
+            if after < width:
+                leading[after] = at
+                pair(at, after)
+            else:
+                put(at, NONE)
+            if leading[at] >= 0:
+                pair(leading[at], at)
+        ids_row[:] = ids
+        alive_row[gone_ones] = False
+
     @staticmethod
     def _set(tree, width, rows, leaves, values):
         """Point update: a leaf, then its ancestors."""

@@ -1,6 +1,7 @@
 """Encoding, search and extraction: against a library or plain Python."""
 
 import random
+import time
 from collections import defaultdict
 from hashlib import sha256
 
@@ -70,6 +71,18 @@ def test_tree_takes_the_leftmost_lowest_pair(encoder):
         assert np.frombuffer(ids, "<u4").tolist() == symbols
 
 
+def test_long_words_like_the_library(encoder, library):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(32_000)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(10_000)),
+             "".join(rng.choice("ab") for _ in range(5000)) + " " + "z" * 4097]
+    start = time.process_time()
+    ids, decoded = encoder(texts)
+    assert time.process_time() - start < 3  # 13 s when every merge was a step of arrays
+    for text, i, d in zip(texts, ids, decoded):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(i, "<u4").tolist() == want and d == library.decode(want, skip_special_tokens=False)
+
+
 def test_encode_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op4_bpe"](spark, SF).collect():
