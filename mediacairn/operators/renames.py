@@ -37,7 +37,7 @@ def output_path(probes: DataFrame, target="av1+mkv", mode="keep", rewrite=True,
 
 
 def _tagged(listing: DataFrame, root=None) -> DataFrame:
-    rows = p.with_path_parts(listing.select("path"))
+    rows = listing if "stem" in listing.columns else p.with_path_parts(listing.select("path"))
     rows = rows.filter(
         F.lower("suffix").isin(fixed.VIDEO_EXTENSIONS) & p.has_reencode_marker(F.col("stem"))
         & ~p.any_dir_in(p.dirs_of(F.col("path"), root), fixed.SYSTEM_DIRS))
@@ -62,13 +62,13 @@ def rename_sidecars(listing: DataFrame, root=None) -> DataFrame:
     """Every file that moves with a planned video: same directory, same stem.
 
     One row per moving file, not per (video, file) pair. `blocked` marks files
-    whose new name is taken.
+    whose new name is taken. Paths are taken apart once; what follows reads the parts.
     """
-    groups = rename_plan(listing, root).select("dir", "stem", "new_stem").distinct()
-    files = p.with_path_parts(listing.select("path"))
+    files = stored(p.with_path_parts(listing.select("path")), "rename-files")
+    groups = rename_plan(files, root).select("dir", "stem", "new_stem").distinct()
     moves = files.join(groups, ["dir", "stem"]).withColumn(
         "new_path", p.join_path(F.col("dir"), F.concat("new_stem", "suffix")))
-    have = listing.select(F.col("path").alias("__have")).distinct()
+    have = files.select(F.col("path").alias("__have")).distinct()
     return (moves.join(have, F.col("new_path") == F.col("__have"), "left")
             .select("path", "new_path", F.col("__have").isNotNull().alias("blocked")))
 
@@ -86,15 +86,15 @@ _SLOT_CHUNK = 65536
 
 
 def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
-                        source_root: str | None = None, turn="turn",
-                        turn_chunk=1000000) -> DataFrame:
+                        source_root: str | None = None, turn="turn") -> DataFrame:
     """Add `destination`: a free name under the recycle root for every source, no name twice.
 
     Sources that want one name take its free slots in `turn` order (path breaks ties): the name itself, then
     `_recycled1`, `_recycled2`, ... Slots already in the listing are passed over, and so is a slot that an earlier turn
     has taken as its own plain name, or the other way round: after each round, of two sources with one destination the
-    later one's name counts that slot as held and is planned again. Ranks are running counts over chunks, so a name
-    wanted by very many sources is no problem.
+    later one's name counts that slot as held and is planned again; names that lost nothing keep their plan. Ranks are
+    running counts over chunks, and chunks are ranges of the order itself, so a name wanted by very many sources is no
+    problem, nor a turn that is the same for all or null.
     """
     base = recycle_to.rstrip("/")
     plain = F.concat(F.lit(base + "/"), p.file_name(F.col("path")))
@@ -102,8 +102,8 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
         rel = F.substring(F.col("path"), F.lit(len(source_root.rstrip("/")) + 2), F.length("path"))
         plain = F.when(p.under_root(F.col("path"), source_root),
                        F.concat(F.lit(base + "/"), rel)).otherwise(plain)
-    rows = (sources.withColumn("__want", plain)
-            .withColumn("__chunk", F.floor(F.col(turn) / turn_chunk)))
+    rows = sources.withColumn("__want", plain).repartitionByRange("__want", turn, "path")
+    rows = stored(rows.withColumn("__chunk", F.spark_partition_id()), "recycle-sources")
     rows = running(rows, ["__want"], "__chunk", [turn, "path"], row_number="__r")
     # the source row rides along, so nothing is joined back
     rows = stored(rows.select("__want", (F.col("__r") - 1).alias("__v"), F.struct(*sources.columns).alias("__row")), "recycle-asks")
@@ -118,15 +118,19 @@ def recycle_destination(sources: DataFrame, listing: DataFrame, recycle_to: str,
     wanted = rows.select(F.col("__want").alias("__name")).distinct()
     taken = stored(taken.join(wanted, "__name", "left_semi").distinct(), "recycle-held")
     turn_of = F.struct(F.col(f"__row.{turn}").alias("t"), F.col("__row.path").alias("p"))
+    plan = stored(_placed(rows, taken), "recycle-plan")
     while True:
         # only numbered slots and plain names that look like one can meet
-        plan = stored(_placed(rows, taken), "recycle-plan")
         first = plan.groupBy("destination").agg(F.count(F.lit(1)).alias("claims"), F.min(turn_of).alias("first")).filter("claims > 1")
         lost = plan.join(first, "destination").filter(turn_of > F.col("first")).select(F.col("__want").alias("__name"), F.col("__v").alias("__slot"))
         lost = stored(lost.distinct(), "recycle-lost")
         if lost.isEmpty():
             return plan.select("__row.*", F.col("__v").alias("slot"), "destination")
+        names = lost.select("__name").distinct()
         taken = taken.unionByName(lost)
+        again = _placed(rows.join(names, F.col("__want") == F.col("__name"), "left_semi"), taken.join(names, "__name", "left_semi"))
+        kept = plan.join(names, F.col("__want") == F.col("__name"), "left_anti")
+        plan = kept.unionByName(stored(again, "recycle-again"))
 
 
 def _placed(rows: DataFrame, taken: DataFrame) -> DataFrame:

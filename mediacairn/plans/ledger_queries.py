@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, outcomes as oc
 from ..functions.probe import normalize
 from ..operators import audit as au, ledger as lg, progress as pg
+from ..operators.hotkeys import running
 from ..session import shared_dir
 from ..sources import reports
 from ..streaming import jobs
@@ -149,13 +150,20 @@ LINE = f"""CASE {CLASS} WHEN 'ok' THEN concat('OK', chr(9), coalesce(actual_savi
   ELSE concat('DRY', chr(9), 'dry-run', chr(9), path) END"""
 
 
-@query("write_run_report", D, f"SELECT run_id, {LINE} AS line FROM fx_decisions WHERE {CLASS} <> 'other'")
+SECTION = f"CASE {CLASS} WHEN 'ok' THEN 0 WHEN 'fail' THEN 1 WHEN 'skip' THEN 2 ELSE 3 END"
+
+
+@query("write_run_report", D, f"""
+SELECT run_id, {LINE} AS line, row_number() OVER (PARTITION BY run_id ORDER BY {SECTION}, coalesce(actual_savings_mb, -1) DESC, id) AS place
+FROM fx_decisions WHERE {CLASS} <> 'other'""")
 def write_run_report(t):
-    """Write the text reports, one directory per run, and read them back."""
+    """Write the text reports, one directory per run, and read them back with the place of every line."""
     where = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
     reports.write_run_report(_ledger(t), where)
-    return t.spark.read.schema("value string, run_id bigint").text(where).select(
-        "run_id", F.col("value").alias("line"))
+    lines = t.spark.read.schema("value string, run_id bigint").text(where).select(
+        "run_id", F.col("value").alias("line"), "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    rows = running(lines, ["run_id"], "file_name", ["file_name", "file_block_start", "at"], row_number="place")
+    return rows.select("run_id", "line", "place")
 
 
 TOKENS = sorted({b for _, b in fixed.ERROR_TOKENS} | {fixed.ERROR_TOKEN_DEFAULT})

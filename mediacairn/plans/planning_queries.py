@@ -334,14 +334,17 @@ def tier_time_estimate(t):
 
 @query("write_candidates_json", "fx_probes", f"""
 SELECT path, round_even({SIZE_MB}, 2) AS size_mb, {BUCKET} AS resolution, round_even({MBPS}, 2) AS video_bitrate_mbps,
-  {REMUX} AS remux_only, {ALL_FIRED} AS fired, CAST(k % 6 AS INTEGER) AS n_audio FROM fx_probes WHERE {FIRM} <> ''""")
+  {REMUX} AS remux_only, {ALL_FIRED} AS fired, CAST(k % 6 AS INTEGER) AS n_audio,
+  count(*) OVER () AS candidate_count, CAST(floor(sum({SAVED}) OVER ()) AS BIGINT) AS total_savings_mb FROM fx_probes WHERE {FIRM} <> ''""")
 def write_candidates_json(t):
-    """Write the candidate items and read them back."""
+    """Write the candidate items and the totals and read both back."""
     where = f"{shared_dir(t.spark)}/candidates-{uuid.uuid4().hex}"
     reports.write_candidates_json(pl.candidates(t.nested_probes()), where)
     items = t.spark.read.schema(
         "path string, size_mb double, resolution string, video_bitrate_mbps double, remux_only boolean, "
         "fired_rules array<struct<rule:string>>, audio_tracks array<struct<codec:string>>").json(where + "/items")
+    totals = t.spark.read.schema("candidate_count bigint, total_projected_savings_mb double").json(where + "/summary").first()
     return items.select("path", "size_mb", "resolution", "video_bitrate_mbps", "remux_only",
                         F.array_join("fired_rules.rule", ",").alias("fired"),
-                        F.size("audio_tracks").alias("n_audio"))
+                        F.size("audio_tracks").alias("n_audio"), F.lit(totals.candidate_count).cast("long").alias("candidate_count"),
+                        F.floor(F.lit(totals.total_projected_savings_mb)).alias("total_savings_mb"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mediacairn.functions import fixed, naming as n, tracks as tf
 from mediacairn.operators import renames as rn, tracks as tk
-from mediacairn.plans.media_queries import GOLDENS, HEVC_GOLDENS
+from mediacairn.plans.media_queries import spelled
 
 LANGS = ["en", "und"]
 AUDIO = ("array<struct<index:int, codec:string, language:string, channels:int, channel_layout:string, "
@@ -77,12 +77,37 @@ def test_stream_usage(spark):
     assert use(keep_audio=True, keep_subs=True) == ([0, 1, 2, 3], [], [0, 1, 2], [])
 
 
-@pytest.mark.parametrize("codec,pairs", [("av1", GOLDENS), ("hevc", HEVC_GOLDENS)])
-def test_rewrite_goldens_and_idempotence(spark, codec, pairs):
+@pytest.mark.parametrize("codec", ["av1", "hevc", "h264"])
+def test_rewrite_of_composed_names_and_idempotence(spark, codec):
+    rng = random.Random(codec)
+    foreign, own = [spelled(x) for x in fixed.FOREIGN_TOKENS[codec]], fixed.CANONICAL_TOKEN[codec]
+    lost = [spelled(x) for x in fixed.LOST_METADATA_TOKENS["av1"]]
+    pairs = []
+    for _ in range(300):
+        parts, kept, joint, named = [], [], rng.choice([".", " ", "_", " . "]), False
+        for _ in range(rng.randint(1, 3)):
+            word = "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(4, 7)))
+            parts.append(word)
+            kept.append(word)
+        for _ in range(rng.randint(0, 4)):
+            kind, token = rng.randrange(4), rng.choice(foreign)
+            if kind == 0:
+                parts.append(rng.choice([token, token.upper(), token.lower(), f"[{token}]", f"{token}+{rng.choice(foreign)}"]))
+            elif kind == 1:
+                parts.append("5ch")
+                kept.append("5ch")
+            elif kind == 2 and codec == "av1":
+                parts.append(rng.choice(lost))
+                kept += [] if named else ["HDR10"]
+                named = True
+            else:
+                parts.append(f"x{token}y")  # part of a longer word: no token
+                kept.append(f"x{token}y")
+        pairs.append((joint.join(parts), ".".join(kept) + "." + own))
     df = spark.createDataFrame(pairs, "stem string, want string")
     df = n.rewrite_name(n.rewrite_name(df, "stem", "got", codec), "got", "again", codec)
     for r in df.collect():
-        assert r.got == r.want and r.again == r.want
+        assert r.got == r.want and r.again == r.want, r.stem
     assert n.rewrite_name(df, "stem", "same", "vp8").filter("same <> stem").count() == 0
 
 
@@ -99,7 +124,7 @@ def test_recycle_against_brute_force(spark, table):
             dst = f"{base}_recycled{k}.mkv"
         taken.add(dst)
         want[path] = dst
-    rows = rn.recycle_destination(table("turn bigint, path string", *src), table("path string", *[(h,) for h in held]), "/bin", turn_chunk=2)
+    rows = rn.recycle_destination(table("turn bigint, path string", *src), table("path string", *[(h,) for h in held]), "/bin")
     assert {r.path: r.destination for r in rows.collect()} == want
     kept = rn.recycle_destination(table("turn bigint, path string", (1, "/lib/d/x.mkv"), (2, "/else/y.mkv")), table("path string", ("/q",)), "/bin", "/lib")
     assert sorted(r.destination for r in kept.collect()) == ["/bin/d/x.mkv", "/bin/y.mkv"]
@@ -126,3 +151,11 @@ def test_output_path_modes(table):
     assert out(rewrite=False, name_suffix="_v2") == ["/lib/d/My Film.x264 REENCODE_v2.mkv", "/top REENCODE_v2.mkv"]
     with pytest.raises(ValueError):
         rn.output_path(df, target="vp8")
+
+
+def test_recycle_when_all_turns_are_the_same(spark, table):
+    names = [f"/lib/{i:05d}/x.mkv" for i in range(3000)]
+    for turn in (None, 7):
+        got = rn.recycle_destination(table("turn bigint, path string", *[(turn, x) for x in reversed(names)]), table("path string", ("/bin/x_recycled1.mkv",)), "/bin")
+        slots = {r.path: r.slot for r in got.collect()}
+        assert slots == {x: i + (i > 0) for i, x in enumerate(names)}
