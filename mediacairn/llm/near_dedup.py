@@ -165,16 +165,16 @@ class Forest:
         self.up[self.root(self.at[i])] = self.root(self.at[j])
 
 
-def block_edges(members: DataFrame, size: int, judge, named="doc_id") -> DataFrame:
+def block_edges(members: DataFrame, carried: DataFrame, size: int, judge, named="doc_id") -> DataFrame:
     """Edges (a, b) between members of a group that lie in different components and pass a test.
 
-    members: key, doc_id, component, sketch and what else `judge` needs. A group's largest component is cut into blocks
+    members: key, doc_id, component. carried: doc_id, sketch and what else `judge` needs. A group's largest component is cut into blocks
     by hash, and so are its other members; each block of these meets each block of the largest one, and each other, in
     about 2 * size rows. The largest component never meets itself, and no task grows with a group. Only edges that join
     something are returned, fewer than rows. judge(rows) -> test(i, j): are these rows linked? named: what an edge tells
     of its ends.
     """
-    extra = [c for c in members.columns if c not in ("key", "doc_id", "component", "sketch")]
+    extra = [c for c in carried.columns if c not in ("doc_id", "sketch")]
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select(
         "key", F.col("top.component").alias("most"), F.ceil(F.col("top.n") / size).cast("int").alias("large"),
@@ -188,7 +188,7 @@ def block_edges(members: DataFrame, size: int, judge, named="doc_id") -> DataFra
     cells = F.when(is_large, F.transform(each("small"), lambda i: cell(i, me, F.lit(-1)))).otherwise(F.concat(
         F.transform(each("large"), lambda j: cell(me, j, me)),
         F.transform(each("small"), lambda i: cell(F.least(me, i), -1 - F.greatest(me, i), me))))
-    spread = (members.join(groups.filter("small > 0"), "key").withColumn("own", own).withColumn("cell", F.explode(cells))
+    spread = (members.join(groups.filter("small > 0"), "key").join(carried, "doc_id").withColumn("own", own).withColumn("cell", F.explode(cells))
               .select("key", "cell.i", "cell.j", F.col("cell.side").alias("own"), "doc_id", "component", "sketch", *extra))
     # of a block against the largest component, its own rows come first: each is compared with all that follow
     ordered = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("own"))
@@ -236,17 +236,15 @@ def settled(shared: DataFrame, joined: DataFrame, heads: DataFrame, texts: DataF
              .agg(F.count(F.lit(1)).alias("parts"), sum_of(1).alias("x"), sum_of(2).alias("y")).filter("parts > 1")
              .select("key", F.xxhash64("parts", "x", "y").alias("group")))
     sketches = heads.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    members = (placed.join(open_, "key").select(F.col("group").alias("key"), "doc_id", "component").distinct()
-               .join(sketches, "doc_id").select("key", "doc_id", "component", "sketch"))
-    alike = stored(block_edges(members, BLOCK, lambda rows: lambda i, j: True, "component"), f"{folder}/alike")
+    members = stored(placed.join(open_, "key").select(F.col("group").alias("key"), "doc_id", "component").distinct(), f"{folder}/members")
+    alike = stored(block_edges(members, sketches, BLOCK, lambda rows: lambda i, j: True, "component"), f"{folder}/alike")
     if alike.isEmpty():
         return None
     # components that look alike, over however many steps, are compared on full sets
     stars = components(alike, f"{folder}/clusters")
     clusters = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
-    members = (members.drop("key").dropDuplicates(["doc_id"])
-               .join(clusters.select(F.col("component").alias("key"), F.col("node").alias("component")), "component")
-               .join(texts, "doc_id").select("key", "doc_id", "component", "sketch", "text"))
+    members = stored(members.drop("key").dropDuplicates(["doc_id"])
+                     .join(clusters.select(F.col("component").alias("key"), F.col("node").alias("component")), "component"), f"{folder}/clustered")
 
     def judge(rows):
         sets = []
@@ -254,7 +252,7 @@ def settled(shared: DataFrame, joined: DataFrame, heads: DataFrame, texts: DataF
             sets += signer(width).sets(offsets, data)
         return lambda i, j: similar(sets[i], sets[j], percent)
 
-    return stored(block_edges(members, TEXT_BLOCK, judge), f"{folder}/settled")
+    return stored(block_edges(members, sketches.join(texts, "doc_id"), TEXT_BLOCK, judge), f"{folder}/settled")
 
 
 def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
