@@ -5,9 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed, gate as g, paths as p, rules as r
-from ..operators import bands as bn, planning as pl
+from ..operators import bands as bn, imports as im, planning as pl
 from ..session import shared_dir
 from ..sources import reports
+from ..sources.state import KeyedTable
 from .registry import query, sql_case, sql_list
 
 BUCKET = ("CASE WHEN height <= 0 THEN 'unknown' WHEN height <= 480 THEN '480p' WHEN height <= 720 THEN '720p' "
@@ -322,6 +323,39 @@ def path_scope_roots(t):
     return pl.covering_roots(t.probes().select("path"), roots)
 
 
+ARRIVALS = """SELECT path, CAST(k % 1000 AS DOUBLE) AS seen_at, CAST(NULL AS STRING) AS replaces, k FROM {fx_probes} WHERE k % 2 = 0"""
+UPGRADES = """SELECT path, CAST(2000 + k % 1000 AS DOUBLE) AS seen_at, CASE WHEN k % 12 = 0 THEN path END AS replaces, k FROM {fx_probes} WHERE k % 3 = 0
+  UNION ALL SELECT path, CAST(k % 1000 AS DOUBLE), NULL, k FROM {fx_probes} WHERE k % 4 = 0"""
+WORTH = f"(({RULE_MB['over_bitrate']}) IS NOT NULL OR ({RULE_MB['legacy_codec']}) IS NOT NULL)"
+
+
+def _drained(rows, limit):
+    """SQL of a queue after one drain."""
+    return f"""SELECT path, seen_at, replaces, CASE WHEN gate = 'take' AND i <= {limit} THEN 'taken' WHEN gate = 'left' THEN 'left' ELSE status END AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY seen_at, path) AS i FROM (
+    SELECT q.*, CASE WHEN status <> 'pending' THEN 'held' WHEN p.path IS NULL THEN 'unprobed' WHEN worth THEN 'take' ELSE 'left' END AS gate
+    FROM {rows} q LEFT JOIN known p ON p.path = q.path) a) b"""
+
+
+@query("import_queue", "fx_probes", f"""
+, known AS (SELECT path, {WORTH} AS worth FROM fx_probes WHERE st <> 'F'),
+first AS (SELECT path, seen_at, replaces, 'pending' AS status FROM ({ARRIVALS.replace('STRING', 'VARCHAR').format(fx_probes='fx_probes')}) a),
+one AS ({_drained('first', 500)}),
+fresh AS (SELECT path, max(seen_at) AS seen_at, arg_max(replaces, seen_at) FILTER (seen_at >= 2000) AS replaces FROM ({UPGRADES.format(fx_probes='fx_probes')}) u GROUP BY path),
+merged AS (SELECT coalesce(f.path, o.path) AS path, CASE WHEN f.seen_at > coalesce(o.seen_at, -1) THEN f.seen_at ELSE o.seen_at END AS seen_at,
+    CASE WHEN f.seen_at > coalesce(o.seen_at, -1) THEN f.replaces ELSE o.replaces END AS replaces, CASE WHEN f.seen_at > coalesce(o.seen_at, -1) THEN 'pending' ELSE o.status END AS status
+  FROM one o FULL JOIN fresh f ON f.path = o.path)
+SELECT * FROM ({_drained("merged", 800)}) z""")
+def import_queue(t):
+    """Arrivals, a drain, upgrades and repeats, and another drain, over a table that is merged into."""
+    probes = t.probes().filter("st <> 'F'")
+    table = KeyedTable(t.spark, f"{shared_dir(t.spark)}/imports-{uuid.uuid4().hex}", im.QUEUE, "path", parts=8)
+    for arrivals, limit in ((ARRIVALS, 500), (UPGRADES, 800)):
+        table.update(t.spark.sql(arrivals, fx_probes=t.probes()).drop("k"), im.merge_arrivals)
+        table.update(im.drain(table.read(), probes, limit), im.settle)
+    return table.read()
+
+
 @query("tier_time_estimate", "fx_probes fx_decisions", """
 SELECT coalesce(tier, 'total') AS tier, CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(n * s) AS BIGINT) AS seconds FROM (
   SELECT CASE WHEN p.height >= 1440 THEN 'UHD' WHEN p.height >= 720 THEN 'HD' ELSE 'SD' END AS tier, 1 AS n,

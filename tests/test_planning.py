@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediacairn.functions import rules as r
-from mediacairn.operators import audit as au, bands as bn, planning as pl
+from mediacairn.operators import audit as au, bands as bn, imports as im, planning as pl
 
 LIST = "path string, size bigint, mtime double"
 DEC = "id bigint, path string, status string, error string"
@@ -145,3 +145,21 @@ def test_size_sketches_add_up(spark, probe):
     got = au.size_quantiles(merged).collect()
     assert [r.files for r in got] == [20000] * 5
     assert all(abs(sum(x <= r["size"] for x in exact) / 20000 - r.at) < 0.03 for r in got)
+
+
+def test_import_queue(probe, table):
+    probes = probe(dict(path="/fat.mkv", video_bitrate=30_000_000), dict(path="/old.mkv", video_codec="mpeg2video", video_bitrate=1), dict(path="/fine.mkv", video_codec="av1", video_bitrate=1_000_000))
+    arrivals = "path string, seen_at double, replaces string"
+    queue = im.merge_arrivals(table(im.QUEUE), table(arrivals, ("/old.mkv", 2.0, None), ("/fat.mkv", 1.0, None), ("/fine.mkv", 0.0, None), ("/new.mkv", 0.5, None), ("/fat.mkv", 1.0, None)))
+    changed = im.drain(queue, probes, 1)
+    queue = im.settle(queue, changed)
+    state = lambda q: {r.path: r.status for r in q.collect()}
+    assert state(queue) == {"/fat.mkv": "taken", "/old.mkv": "pending", "/fine.mkv": "left", "/new.mkv": "pending"}
+    # told once more: nothing; an upgrade: pending again
+    queue = im.merge_arrivals(queue, table(arrivals, ("/fat.mkv", 1.0, None), ("/fine.mkv", 5.0, "/was.mkv"), ("/fine.mkv", 4.0, None)))
+    assert state(queue) == {"/fat.mkv": "taken", "/old.mkv": "pending", "/fine.mkv": "pending", "/new.mkv": "pending"}
+    # what came again while the worker looked stays pending
+    late = im.merge_arrivals(queue, table(arrivals, ("/old.mkv", 9.0, None)))
+    assert state(im.settle(late, im.drain(queue, probes, 5)))["/old.mkv"] == "pending"
+    ledger = table("id bigint, path string, status string, output_path string, decided_at double", (1, "/was.mkv", "completed", "/was.AV1.mkv", 1.0), (2, "/was.mkv", "failed", None, 2.0))
+    assert [tuple(r) for r in im.outdated_outputs(queue, ledger).collect()] == [("/was.mkv", "/was.AV1.mkv", "/fine.mkv")]

@@ -13,7 +13,7 @@ from mediacairn.sources import buckets
 
 SF = "/root/testdata/sf0.001"
 EAGER = {"read_write_state", "write_candidates_json", "write_run_report", "progress_windows_stream",
-         "incremental_scan_stream", "scan_tree", "stall_watchdog_stream", "probe_scan_stream", "recycle_destination"}
+         "incremental_scan_stream", "scan_tree", "import_queue", "stall_watchdog_stream", "probe_scan_stream", "recycle_destination"}
 
 
 def plan(df):
