@@ -34,8 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that `stored` has made in this process.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that what reads it more than once makes it only once."""
     where = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(where)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove the tables that `stored` has made so far; call it when the results that read them are done with."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

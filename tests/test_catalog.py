@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from mediacairn import session
 from mediacairn.functions import gate as g, paths as p, probe as pr
 from mediacairn.operators import incremental as inc
 from mediacairn.sources import listing as ls, probe_json as pj, tree
@@ -147,3 +150,11 @@ def test_a_failed_update_leaves_the_old_table(spark, tmp_path, table):
         state.update("skipped_files", rows, broken)
     assert files_of(tmp_path / "skipped_files") == before
     assert {r.size for r in state.read("skipped_files").collect()} == set(range(50))
+
+
+def test_clean_up_removes_stored_tables(spark):
+    session.clean_up(spark)
+    made = session.stored(spark.range(5), "kept-for-a-while")
+    where = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert made.count() == 5 and Path(where).is_dir()
+    assert session.clean_up(spark) == 1 and not Path(where).exists() and session.clean_up(spark) == 0
