@@ -6,7 +6,7 @@ vectors meet: products of the leading coordinates are accumulated first, and wha
 product of the two suffix norms. A pair is dropped as soon as its cosine cannot reach the threshold any more; pairs
 that last to the end are links, and those within 1e-9 of the threshold are worked out again from the given vectors.
 
-Which tiles meet is decided by the same leading coordinates: a tree of splits, fitted on a sample of SAMPLE vectors and
+Which tiles meet is decided by the same leading coordinates: a tree of splits, fitted on about SAMPLE vectors and
 never more than LEAVES leaves (bounds of the layout only, no result depends on it), gives each vector a leaf; a leaf's
 box holds all its vectors. A vector goes to another leaf only if it is no farther from that box than linked vectors can
 be, and leaves with many vectors are cut into tiles of about TILE by hash. So no task grows with the input or with a
@@ -109,16 +109,26 @@ class Layout:
 
 
 def layout_of(classes: DataFrame, tile: int) -> Layout:
-    basis = axes(classes)
+    """Axes of all vectors, and splits by the leading coordinates of about SAMPLE of them, drawn by hash."""
     counts = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}
-    drawn = {}
-    for r in classes.select("dim", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
-        drawn.setdefault(r.dim, []).append(r.vec)
-    trees = {}
-    for dim, n in counts.items():
-        x = unit(pa.array(drawn[dim], pa.list_(pa.float64()))) @ basis[dim][:, :BOX] if dim in drawn else np.zeros((0, 1))
-        trees[dim] = split_tree(x, min(LEAVES, -(-n // tile)))
-    return Layout(basis, trees)
+    layout = Layout(axes(classes), {})
+    shared = classes.sparkSession.sparkContext.broadcast(layout)
+    share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+    drawn = classes.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).select("dim", "vec")
+
+    def run(batches):
+        for batch in batches:
+            for dim, _, x in shared.value.by_length(batch, 0, 1):
+                lead = shared.value.leading(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lead), dim, np.int32)), pa.array(list(lead), pa.list_(pa.float64()))], names=["dim", "lead"])
+
+    points = {}
+    for r in map_batches(drawn, run, "dim int, lead array<double>").collect():
+        points.setdefault(r.dim, []).append(r.lead)
+    # in one order, however tasks end: the splits are then the same in a rerun
+    layout.trees = {dim: split_tree(np.array(sorted(points.get(dim, []))).reshape(-1, min(dim, BOX)), min(LEAVES, -(-n // tile))) for dim, n in counts.items()}
+    return layout
 
 
 def placed(classes: DataFrame, layout) -> DataFrame:

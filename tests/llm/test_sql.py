@@ -26,7 +26,7 @@ def test_query(spark, con, name):
 @pytest.fixture(scope="module")
 def bare(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("bare")
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return str(folder)
 
