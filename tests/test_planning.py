@@ -73,14 +73,19 @@ def test_own_rule_needs_no_udf(probe):
         del r.RULES["tall"]
 
 
-def test_plan_twice_gives_the_same_table(probe, table):
+def test_plan_twice_gives_the_same_table_with_ids_of_its_own(probe, table):
     rows = probe(dict(path="/a"), dict(path="/b", height=480))
     old = table("id bigint, path string, decided_at double, rules_fired array<string>, target string, projected_savings_mb double, "
                 "status string, output_path string, actual_savings_mb double, error string, run_id bigint",
                 (1, "/z", 0.0, [], "t", 1.0, "pending", None, None, None, 1), (2, "/y", 0.0, [], "t", 1.0, "failed", None, None, "e", 1))
     once = pl.pending_replace(old, pl.pending_rows(pl.candidates(rows), 5, 0.0))
     twice = pl.pending_replace(once, pl.pending_rows(pl.candidates(rows), 5, 0.0))
-    assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 3
+    rest = lambda df: sorted(str(r) for r in df.drop("id").collect())
+    assert rest(once) == rest(twice) and once.count() == 3
+    # a stored plan that is replaced gives its ids to no other row; the plan alone, made again, is the same
+    ids = lambda df: {r.id for r in df.filter("status = 'pending'").collect()}
+    assert ids(once) == {3, 4} and ids(twice) == {5, 6}
+    assert sorted(once.collect()) == sorted(pl.pending_replace(old, pl.pending_rows(pl.candidates(rows), 5, 0.0)).collect())
 
 
 def test_band_before_limit_keeps_unprobed(probe, table):
