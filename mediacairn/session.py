@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,13 @@ def local_session(cores="8", shuffle_partitions=8) -> SparkSession:
             .getOrCreate())
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library from where the driver has it; elsewhere it is installed."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import importable
+
 NAME = "file_tree"
 
 
@@ -107,6 +109,7 @@ class TreeSource(DataSource):
 
 def read_tree(spark: SparkSession, root: str, recursive=True, parts=200) -> DataFrame:
     """path, size, mtime, error of every file under `root`."""
+    importable(spark)
     spark.dataSource.register(TreeSource)
     return (spark.read.format(NAME).option("recursive", str(recursive).lower()).option("parts", str(parts)).load(root))
 

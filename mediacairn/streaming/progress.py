@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
 from ..operators.progress import progress_parse, progress_windows
+from ..session import importable
 
 WATERMARK = "10 minutes"
 MINUTE_MS = 60_000
@@ -168,6 +169,7 @@ def watch(lines: DataFrame, encodes: DataFrame, **options) -> DataFrame:
 
     encodes: a table of encode_id, start_ms, timeout_s, duration_seconds, source_size.
     """
+    importable(lines.sparkSession)
     rows = minutes(lines).join(encodes.select("encode_id", "start_ms", "timeout_s", "duration_seconds", "source_size"), "encode_id", "left")
     return rows.groupBy("encode_id").transformWithStateInPandas(
         statefulProcessor=EncodeWatch(**options), outputStructType=ALARM,
