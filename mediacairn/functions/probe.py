@@ -125,11 +125,14 @@ def normalize(df: DataFrame) -> DataFrame:
     Needs path, stat_size, mtime, format and streams. Rows without a video
     stream are not returned; see `sources.probe_json.split_probe_errors`.
     """
+    return typed(df.withColumn("video", primary_video(F.col("streams"))).filter(F.col("video").isNotNull()))
+
+
+def typed(df: DataFrame, *keep: str) -> DataFrame:
+    """One typed probe row for every row, and the columns `keep` with it. Needs what `normalize` does, and video."""
     fmt = F.col("format")
     staged = (
-        df.withColumn("video", primary_video(F.col("streams")))
-        .filter(F.col("video").isNotNull())
-        .withColumn("audio_tracks", audio_tracks(F.col("streams")))
+        df.withColumn("audio_tracks", audio_tracks(F.col("streams")))
         .withColumn("subtitle_tracks", subtitle_tracks(F.col("streams")))
         .withColumn("duration_seconds", F.coalesce(fmt["duration"].try_cast("double"), F.lit(0.0)))
         .withColumn("size", F.coalesce(to_int(fmt["size"]), F.col("stat_size")))
@@ -155,4 +158,4 @@ def normalize(df: DataFrame) -> DataFrame:
                F.col("bit_depth")).alias("is_hdr"),
         "audio_tracks", "subtitle_tracks",
         creation_time(fmt["tags"]).alias("creation_time"),
-        dv_profile(v).alias("dv_profile"))
+        dv_profile(v).alias("dv_profile"), *keep)

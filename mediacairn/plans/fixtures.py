@@ -304,7 +304,13 @@ class Tables:
                 .withColumn("subtitle_tracks", F.expr(subs)))
 
     def probe_docs(self) -> DataFrame:
-        """Probe documents as JSON text, with broken ones and ones without video."""
+        """Probe documents as JSON text, with broken ones and ones without video.
+
+        Titles are spread over all tasks before the wide work, however few row groups hold them.
+        """
+        titles = self.given("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
+        # by number, since adaptive execution would put titles this narrow back into a few tasks
+        titles = titles.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
         return self.spark.sql("""
           SELECT k, path, size AS stat_size, mtime,
             CASE WHEN k % 37 = 0 THEN concat('{{"format": {{"duration": "', k, '"') ELSE doc END AS doc
@@ -349,4 +355,4 @@ class Tables:
                 'tags', named_struct('language', """ + TRACK_SQL["lang"] + """, 'title', cast(NULL AS string)),
                 'disposition', named_struct('default', 0, 'forced', CASE WHEN (k + i) % 5 = 0 THEN 1 ELSE 0 END)))),
               s -> s IS NOT NULL))) AS doc
-            FROM {fx_doc_files}) d""", fx_doc_files=self.get("fx_doc_files"))
+            FROM {fx_doc_files}) d""", fx_doc_files=self.over(**self.instead | {"orders": titles}).get("fx_doc_files"))

@@ -5,7 +5,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed, outcomes as oc
-from ..functions.probe import normalize
 from ..operators import audit as au, ledger as lg, progress as pg
 from ..operators.hotkeys import running
 from ..session import shared_dir
@@ -443,8 +442,7 @@ SELECT path, CASE WHEN k % 37 = 0 THEN 'not json' WHEN k % 41 = 0 THEN 'no video
 def probe_scan_stream(t):
     """Probe documents as a stream, parsed, normalised and latest-wins; bad ones on the error side."""
     rows = jobs.probes_over_documents(t.spark, lambda feed: t.over(orders=feed).probe_docs(), t.given("orders"))
-    good = normalize(rows.filter("reason IS NULL").drop("reason", "corrupt")).select("path", F.lit("ok").alias("outcome"), "video_codec")
-    return good.unionByName(rows.filter("reason IS NOT NULL").select("path", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("video_codec")))
+    return rows.select("path", F.coalesce("reason", F.lit("ok")).alias("outcome"), F.when(F.col("reason").isNull(), F.col("video_codec")).alias("video_codec"))
 
 
 @query("stall_watchdog_stream", "", """

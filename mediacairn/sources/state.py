@@ -6,6 +6,8 @@ that dies leaves the table as it was, and files of other partitions stay untouch
 that is no row of the table, so that a partition can become empty; readers leave it out. One writer per table.
 """
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,12 +26,17 @@ TABLES = {
 }
 
 
+def nullable(schema: StructType) -> StructType:
+    """The schema as files have it: nothing in it is known not to be null."""
+    return StructType.fromJson(json.loads(re.sub(r'"(nullable|containsNull|valueContainsNull)":false', r'"\1":true', schema.json())))
+
+
 class KeyedTable:
     """One table, in `parts` partitions by hash of `key`. Keep `parts` for the life of a table."""
 
     def __init__(self, spark: SparkSession, where: str, schema, key: str, parts=PARTS):
         self.spark, self.where, self.key, self.parts = spark, where.rstrip("/"), key, parts
-        self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        self.schema = nullable(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def _there(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.where + "/part=0")

@@ -14,6 +14,8 @@ from . import progress, scan
 DONE = {"availableNow": True}
 #: What a micro-batch reads at most, but for one file larger than that.
 BATCH_BYTES = 1 << 30
+#: Micro-batches that the probe feed is read in, of equal bytes.
+PROBE_BATCHES = 2
 #: The watched feed runs a thousand times as fast as the events, so that pauses are minutes.
 FASTER = 1000
 EPOCH_US = 1704067200000000  # 2024-01-01
@@ -83,14 +85,19 @@ def latest_over_events(spark, folder) -> DataFrame:
 
 
 def probes_over_documents(spark, docs_of, orders: DataFrame) -> DataFrame:
-    """Probe documents as a feed in several micro-batches -> newest document per path, good and bad.
+    """Probe documents as a feed in several micro-batches -> newest typed probe per path, good and bad.
 
-    docs_of: titles (a stream) -> probe documents. The feed holds an older version of some paths in its last file.
+    docs_of: titles (a stream) -> probe documents. The feed holds an older version of some paths in its last files. A
+    batch replaces most of the table, so there are PROBE_BATCHES of them, or one a file if files are fewer, and not more
+    with more files.
     """
     where = _place(spark, "probes")
     orders.write.parquet(where + "/feed/0")
     orders.filter("o_orderkey % 3 = 0").write.parquet(where + "/feed/1")
-    feed = spark.readStream.schema(orders.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(where + "/feed")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where + "/feed")
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    feed = (spark.readStream.schema(orders.schema).option("recursiveFileLookup", True)
+            .option("maxBytesPerTrigger", str(held // PROBE_BATCHES + 1)).parquet(where + "/feed"))
     rows = scan.probe_rows(docs_of(feed))
     q = scan.start_scan(rows, where + "/rows", where + "/state", DONE, "path", ["mtime", "stat_size"])
     q.awaitTermination()

@@ -1,7 +1,8 @@
 """Incremental scan as a stream: new rows in, latest row per file out."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import probe as pr
 from ..sources.probe_json import parse_probe_text, tag_probe_errors
 from ..sources.state import PARTS, KeyedTable
 
@@ -28,5 +29,11 @@ def latest(spark: SparkSession, where: str, schema, key, parts=PARTS) -> DataFra
 
 
 def probe_rows(docs: DataFrame) -> DataFrame:
-    """Parsed probe documents of a stream of texts; bad ones stay, with a reason."""
-    return tag_probe_errors(parse_probe_text(docs))
+    """Typed probe rows of a stream of texts, with stat_size; bad ones stay, with a reason and nothing read from the text.
+
+    A row is typed before it is shuffled and stored, since a parsed document is many times as wide.
+    """
+    tagged = tag_probe_errors(parse_probe_text(docs))
+    good = F.col("reason").isNull()
+    rows = tagged.withColumn("format", F.when(good, F.col("format"))).withColumn("streams", F.when(good, F.col("streams")))
+    return pr.typed(rows.withColumn("video", pr.primary_video(F.col("streams"))), "stat_size", "reason")
