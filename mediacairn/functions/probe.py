@@ -136,7 +136,10 @@ def typed(df: DataFrame, *keep: str) -> DataFrame:
         .withColumn("subtitle_tracks", subtitle_tracks(F.col("streams")))
         .withColumn("duration_seconds", F.coalesce(fmt["duration"].try_cast("double"), F.lit(0.0)))
         .withColumn("size", F.coalesce(to_int(fmt["size"]), F.col("stat_size")))
-        .withColumn("bit_depth", bit_depth(F.col("video.pix_fmt"))))
+        .withColumn("bit_depth", bit_depth(F.col("video.pix_fmt")))
+        # read several times below, so columns of their own
+        .withColumn("stream_bps", to_int(F.col("video.bit_rate")))
+        .withColumn("format_bps", to_int(fmt["bit_rate"])))
     v = F.col("video")
     return staged.select(
         "path", "size", "mtime", "duration_seconds",
@@ -148,7 +151,7 @@ def typed(df: DataFrame, *keep: str) -> DataFrame:
         frame_rate(v["r_frame_rate"]).alias("frame_rate"),
         F.coalesce(v["pix_fmt"], F.lit("")).alias("pixel_format"),
         "bit_depth",
-        video_bitrate(to_int(v["bit_rate"]), to_int(fmt["bit_rate"]), F.col("size"),
+        video_bitrate(F.col("stream_bps"), F.col("format_bps"), F.col("size"),
                       F.col("duration_seconds"),
                       F.transform("audio_tracks", lambda a: a["bitrate"])).alias("video_bitrate"),
         v["color_primaries"].alias("color_primaries"),
