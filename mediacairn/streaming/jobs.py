@@ -14,7 +14,7 @@ from . import progress, scan
 DONE = {"availableNow": True}
 #: What a micro-batch reads at most, but for one file larger than that.
 BATCH_BYTES = 1 << 30
-#: Micro-batches that the probe feed is read in, of equal bytes.
+#: Micro-batches that the probe feed is read in, of about equal bytes; files are not cut, so there may be one more.
 PROBE_BATCHES = 2
 #: The watched feed runs a thousand times as fast as the events, so that pauses are minutes.
 FASTER = 1000
