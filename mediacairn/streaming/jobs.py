@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from . import progress, scan
 
 DONE = {"availableNow": True}
@@ -114,6 +114,7 @@ def watch_over_events(spark, folder) -> DataFrame:
             F.col("user_id").alias("encode_id")).agg(F.floor(F.min(_fast(F.col("ts"))) / 1000).alias("start_ms")).select(
             "encode_id", "start_ms", F.when(F.col("encode_id") % 5 == 0, 1200).otherwise(0).cast("bigint").alias("timeout_s"),
             F.when(F.col("encode_id") % 4 == 0, 6600.0).alias("duration_seconds"), F.lit(120000000).cast("bigint").alias("source_size"))
-        return _run(progress.watch(lines, encodes), _place(spark, "watch"))
+        # read by every micro-batch
+        return _run(progress.watch(lines, stored(encodes, "encodes")), _place(spark, "watch"))
     finally:
         spark.conf.set(key, before)

@@ -1,16 +1,15 @@
 """Encode watch as a stream: stall, time limit and size overrun per encode.
 
 Two stateful steps. The first gathers the lines of an encode in a minute and closes the minute by the watermark;
-the second keeps one small state per encode and takes whole minutes at a time, as arrays. Needs the RocksDB state store;
-see `watch_settings`. Unlike the batch form, which looks only when a line arrives, timers also find an encode that has
-gone silent. Files of a feed come in the order of time; what is later than the watermark is dropped.
+the second keeps one small state per encode and takes whole minutes at a time, each as one array of numbers. Needs the
+RocksDB state store; see `watch_settings`. Unlike the batch form, which looks only when a line arrives, timers also find
+an encode that has gone silent. Files of a feed come in the order of time; what is later than the watermark is dropped.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
@@ -19,19 +18,36 @@ from ..session import importable
 
 WATERMARK = "10 minutes"
 MINUTE_MS = 60_000
+SHORT = 150  # a minute of so many lines is walked line by line, a longer one by arrays: the same results, each where it is faster
 FORGET_MS = 24 * 3600 * 1000  # a finished encode is remembered this long, then dropped
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALARM = "encode_id bigint, alarm string, at_ms bigint, anchor_ms bigint"
+#: A minute comes as one array: the encode's values, then each value of all lines. What a row costs in Python goes by its columns.
+ENCODE = ("start_ms", "timeout_s", "duration_seconds", "source_size")
+LINE = ("ts_ms", "out_seconds", "frames", "ended", "out_size")
 
 
 def watch_settings(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def known(value) -> bool:
+    return value is not None and value == value
+
+
+def unpacked(values: list) -> dict:
+    """A minute by the names of its values; lists if it is short, else numpy arrays, a quarter as large."""
+    at, n = len(ENCODE), (len(values) - len(ENCODE)) // len(LINE)
+    m = dict(zip(ENCODE, values))
+    if n > SHORT:
+        values = np.asarray(values, float)
+    m.update((c, values[at + i * n:at + (i + 1) * n]) for i, c in enumerate(LINE))
+    return m
+
+
 def filled(values: np.ndarray, before: float) -> np.ndarray:
     """Each null (NaN) takes the last value before it."""
-    known = ~np.isnan(values)
-    at = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    at = np.maximum.accumulate(np.where(~np.isnan(values), np.arange(len(values)), -1))
     return np.where(at >= 0, values[np.maximum(at, 0)], before)
 
 
@@ -59,43 +75,77 @@ class EncodeWatch(StatefulProcessor):
             "encode", "out double, frames double, o double, f double, "
                       "anchor bigint, start bigint, limit_ms bigint, used int, done boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        # one row per minute of the encode; minutes of a batch come in any order
-        minutes = sorted((m for frame in rows for m in frame.to_dict("records")), key=lambda m: m["first_ms"])
-        if self.state.exists():
-            state = list(self.state.get())
-        else:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        # one row per minute of the encode; minutes of a batch come in any order. Each call of the state or a timer is a
+        # message to the JVM and back, and most encodes have few lines, so there are as few calls as will do
+        minutes = sorted((unpacked(r["minute"]) for r in rows), key=lambda m: m["ts_ms"][0])
+        before = self.state.get()
+        if before is None:
             m = minutes[0]
-            start = int(m["start_ms"]) if pd.notna(m["start_ms"]) else int(m["first_ms"])
-            limit = int(m["timeout_s"]) * 1000 if pd.notna(m["timeout_s"]) else 0
-            state = [0.0, 0.0, 0.0, 0.0, start, start, limit, 0, False]
+            start = int(m["start_ms"] if known(m["start_ms"]) else m["ts_ms"][0])
+            limit = int(m["timeout_s"]) * 1000 if known(m["timeout_s"]) else 0
+            state, timers = [0.0, 0.0, 0.0, 0.0, start, start, limit, 0, False], []
+        else:
+            state = list(before)
+            timers = list(self.handle.listTimers()) if state[8] else [self._wake(state)]
         alarm = None
         for m in minutes:
             if state[8]:
                 break
             state, alarm = self.take(state, m)
-        self.state.update(tuple(state))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if state[8]:
-            self.handle.registerTimer(int(minutes[-1]["last_ms"]) + FORGET_MS)
-        else:
-            self.handle.registerTimer(self._wake(state))
+        timer = int(minutes[-1]["ts_ms"][-1]) + FORGET_MS if state[8] else self._wake(state)
+        if not state[8] and timer <= timerValues.getCurrentWatermarkInMs():  # what the timer would do later in this batch
+            at, kind = self._due(*state[4:7])
+            state[8], alarm, timer = True, (kind, at), at + FORGET_MS
+        if before is None or tuple(state) != tuple(before):
+            self.state.update(tuple(state))
+        if timers != [timer]:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timer)
         if alarm:
             yield self._row(key, *alarm, state[4])
 
     def take(self, state, m):
         """(state after a minute, (alarm, when) or None). What comes first in time ends the watch."""
+        return (self.take_lines if len(m["ts_ms"]) <= SHORT else self.take_arrays)(state, m)
+
+    def take_lines(self, state, m):
+        """`take`, line by line."""
+        out, frames, o, f, anchor, start, limit, used, _ = state
+        duration = m["duration_seconds"] if known(m["duration_seconds"]) else 0.0
+        source = m["source_size"] if known(m["source_size"]) else 0.0
+        marks = self.checkpoints if duration > 0 and source > 0 else ()
+        due, kind = self._due(anchor, start, limit)
+        for t, x, y, ended, size in zip(map(int, m["ts_ms"]), *(m[c] for c in LINE[1:])):
+            if t > due:
+                return [out, frames, o, f, anchor, start, limit, used, True], (kind, due)
+            out, frames = x if known(x) else out, y if known(y) else frames
+            if ended:
+                out = max(out, duration)
+            if out > o or frames > f:
+                o, f, anchor = out, frames, t
+                due, kind = self._due(anchor, start, limit)
+            if used < len(marks) and out / duration >= marks[used]:
+                used, done = used + 1, out / duration
+                if known(size) and size > 0 and done >= 0.01 and size / done >= source * self.threshold:
+                    return [out, frames, o, f, anchor, start, limit, used, True], ("bloat", t)
+            if ended:
+                return [out, frames, o, f, anchor, start, limit, used, True], None
+        return [out, frames, o, f, anchor, start, limit, used, False], None
+
+    def take_arrays(self, state, m):
+        """`take`, over the whole minute at a time."""
         out, frames, o, f, anchor, start, limit, used, _ = state
         ts = np.asarray(m["ts_ms"], np.int64)
         x, y = filled(np.asarray(m["out_seconds"], float), out), filled(np.asarray(m["frames"], float), frames)
-        size, last = np.asarray(m["out_size"], float), int(m["last_ms"])
+        size, last = np.asarray(m["out_size"], float), int(ts[-1])
         ended = np.flatnonzero(np.asarray(m["ended"], bool))
-        known = pd.notna(m["duration_seconds"]) and m["duration_seconds"] > 0
+        timed = known(m["duration_seconds"]) and m["duration_seconds"] > 0
         if len(ended):
             n = int(ended[0]) + 1
             ts, x, y, size, last = ts[:n], x[:n].copy(), y[:n], size[:n], int(ts[n - 1])
-            x[-1] = max(x[-1], m["duration_seconds"] if known else 0.0)
+            x[-1] = max(x[-1], m["duration_seconds"] if timed else 0.0)
         # line by line, and before each line: is the time up?
         moving = np.flatnonzero((x > o) | (y > f))
         due, kind = self._due(anchor, start, limit)
@@ -103,7 +153,7 @@ class EncodeWatch(StatefulProcessor):
             due, kind = (start + limit, "timeout") if limit > 0 else (last, "")
         at = due if kind and last > due else None
         bloat = None
-        if known and pd.notna(m["source_size"]) and m["source_size"] > 0:
+        if timed and known(m["source_size"]) and m["source_size"] > 0:
             ratio, i = x / m["duration_seconds"], 0
             while used < len(self.checkpoints):
                 past = np.flatnonzero(ratio[i:] >= self.checkpoints[used])
@@ -135,9 +185,9 @@ class EncodeWatch(StatefulProcessor):
         return self._due(*state[4:7])[0] + MINUTE_MS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
+        state = self.state.get()
+        if state is None:
             return
-        state = list(self.state.get())
         if state[8]:
             self.state.clear()
             return
@@ -151,17 +201,16 @@ class EncodeWatch(StatefulProcessor):
 
     @staticmethod
     def _row(key, alarm, at, anchor):
-        return pd.DataFrame({"encode_id": [key[0]], "alarm": [alarm], "at_ms": [at], "anchor_ms": [anchor]})
+        return Row(encode_id=key[0], alarm=alarm, at_ms=at, anchor_ms=anchor)
 
 
 def minutes(lines: DataFrame) -> DataFrame:
-    """The lines of each encode, minute by minute: arrays in the order of time."""
+    """The lines of each encode, minute by minute, in the order of time: each value of all lines, one after the other."""
     rows = progress_parse(lines.withWatermark("ts", WATERMARK)).withColumn("ts_ms", F.unix_millis("ts"))
-    line = F.struct("ts_ms", "seq", "out_seconds", F.col("frames").cast("double").alias("frames"), "ended", F.col("out_size").cast("double").alias("out_size"))
-    each = rows.groupBy("encode_id", F.window("ts", f"{MINUTE_MS} milliseconds")).agg(
-        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return each.select("encode_id", "window", "first_ms", "last_ms", *[
-        F.col("lines")[c].alias(c) for c in ("ts_ms", "out_seconds", "frames", "ended", "out_size")])
+    rows = rows.withColumn("ended", F.coalesce("ended", F.lit(False)))
+    line = F.struct("ts_ms", "seq", *[F.col(c).cast("double").alias(c) for c in LINE[1:]])
+    each = rows.groupBy("encode_id", F.window("ts", f"{MINUTE_MS} milliseconds")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return each.select("encode_id", F.concat(*[F.col("lines")[c].cast("array<double>") for c in LINE]).alias("minute"))
 
 
 def watch(lines: DataFrame, encodes: DataFrame, **options) -> DataFrame:
@@ -170,8 +219,9 @@ def watch(lines: DataFrame, encodes: DataFrame, **options) -> DataFrame:
     encodes: a table of encode_id, start_ms, timeout_s, duration_seconds, source_size.
     """
     importable(lines.sparkSession)
-    rows = minutes(lines).join(encodes.select("encode_id", "start_ms", "timeout_s", "duration_seconds", "source_size"), "encode_id", "left")
-    return rows.groupBy("encode_id").transformWithStateInPandas(
+    rows = minutes(lines).join(encodes.select("encode_id", F.array(*[F.col(c).cast("double") for c in ENCODE]).alias("encode")), "encode_id", "left")
+    encode = F.coalesce("encode", F.array(*[F.lit(None).cast("double") for _ in ENCODE]))
+    return rows.select("encode_id", F.concat(encode, "minute").alias("minute")).groupBy("encode_id").transformWithState(
         statefulProcessor=EncodeWatch(**options), outputStructType=ALARM,
         outputMode="Append", timeMode="EventTime")
 
